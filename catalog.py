@@ -37,14 +37,14 @@ def register(name: str, sql: str | None = None):
 CORPUS = {"documents": tables.documents, "pages": tables.pages, "conversations": tables.conversations}
 
 
-def _search(corpus: str, query: Query):
+def _search(corpus: str, query: Query, ordered: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search(CORPUS[corpus](spark, sf_dir), query)
+        return search(CORPUS[corpus](spark, sf_dir), query, ordered=ordered)
 
     return run
 
 
-def _search_item(name, corpus, query: Query, sql_kind: str | None):
+def _search_item(name, corpus, query: Query, sql_kind: str | None, ordered: bool = False):
     sql = None
     if sql_kind == "literal":
         sql = O.literal_search(corpus, query.text, query.case_sensitive, query.context_lines)
@@ -52,12 +52,14 @@ def _search_item(name, corpus, query: Query, sql_kind: str | None):
         sql = O.line_regex_search(corpus, query.text, query.case_sensitive, query.context_lines)
     elif sql_kind == "text_regex":
         sql = O.text_regex_search(corpus, query.text, query.case_sensitive, query.context_lines)
-    CATALOG[name] = Item(_search(corpus, query), O.wrap_findings(sql) if sql else None)
+    CATALOG[name] = Item(_search(corpus, query, ordered), O.wrap_findings(sql) if sql else None)
 
 
 # ---------------------------------------------------------------- match operators
 # P1, the flagship: the default mode (literal, case-insensitive, 3 lines of context).
-_search_item("search_documents", "documents", Query("license"), "literal")
+# Report order (A3: path, line, column) is part of the flagship; the operator queries
+# below return the same findings as an unordered set.
+_search_item("search_documents", "documents", Query("license"), "literal", ordered=True)
 _search_item("search_literal_ci", "documents", Query("the"), "literal")
 _search_item("search_literal_cs", "documents", Query("The", case_sensitive=True), "literal")
 _search_item("search_literal_metachars", "documents", Query(". The", case_sensitive=True), "literal")

@@ -21,8 +21,9 @@ def newline_lines(text: Column) -> Column:
 
 
 def number_prefix(n: Column) -> Column:
-    """``'{n: >4}: '`` (pads to four, never truncates)."""
-    return F.format_string("%4d: ", n)
+    """``'{n: >4}: '`` (pads to four, never truncates; ``lpad`` alone would cut)."""
+    digits = n.cast("string")
+    return F.concat(F.when(n < 10000, F.lpad(digits, 4, " ")).otherwise(digits), F.lit(": "))
 
 
 def java_literal(s: str) -> str:

@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from trawl.functions.text import highlight, java_literal, newline_lines, number_prefix, splitlines
 from trawl.model import FINDING_COLUMNS, FINDING_SCHEMA, SNIPPET_LINE_MISMATCH, Query
 
-# Characters whose lower-case form differs between the JVM and Python
-# (U+0130 lower-cases to two characters, which shifts offsets; the others are
-# Unicode 16 letters the JVM lower-cases but Python 3.13 does not).
-LOWER_MISMATCH_CLASS = r"[\u0130\u1C89\uA7CB\uA7CC\uA7DA\uA7DC\x{10D50}-\x{10D65}]"
+# Characters whose lower-case form differs between the JVM and Python.
+# U+0130 lower-cases to two characters in both, which shifts the offsets the original
+# tool reports for everything after it; such documents take the Python route.
+LENGTH_CHANGING_LOWER = "\u0130"
+# Unicode 16 letters that the JVM lower-cases and Python 3.13 does not, and their JVM
+# lower-case forms.  They only matter when the query contains one of them.
+JVM_ONLY_LOWER = "\u1C89\uA7CB\uA7CC\uA7DA\uA7DC" + "".join(chr(c) for c in range(0x10D50, 0x10D66))
+JVM_ONLY_LOWERED = "\u1C8A\u0264\uA7CD\uA7DB\u019B" + "".join(chr(c) for c in range(0x10D70, 0x10D86))
 
 
 # --------------------------------------------------------------------------- python

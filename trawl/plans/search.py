@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 
 from trawl.functions.regex_dialect import FOLD_SPECIAL_CLASS, java_line_pattern
 from trawl.model import FINDING_COLUMNS, Query
-from trawl.operators.match import LOWER_MISMATCH_CLASS, native_literal, native_regex, python_route
+from trawl.operators.match import (
+    JVM_ONLY_LOWER,
+    JVM_ONLY_LOWERED,
+    LENGTH_CHANGING_LOWER,
+    native_literal,
+    native_regex,
+    python_route,
+)
 
 ORDER = ["file_path", "line_number", "char_start_in_line"]
 
@@ -62,8 +69,11 @@ def route(query: Query) -> str:
         return "native" if java_line_pattern(query) else "python"
     if "\n" in query.text or "\r" in query.text:
         return "python"
-    if not query.case_sensitive and len(query.text.lower()) != len(query.text):
-        return "python"
+    if not query.case_sensitive:
+        if len(query.text.lower()) != len(query.text):
+            return "python"
+        if any(ch in JVM_ONLY_LOWER or ch in JVM_ONLY_LOWERED for ch in query.text):
+            return "python"
     return "native"
 
 
@@ -81,7 +91,7 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
             return python_route(cand, query)
         if query.case_sensitive:
             return native_literal(cand, query)
-        odd = text.rlike(LOWER_MISMATCH_CLASS)
+        odd = text.contains(LENGTH_CHANGING_LOWER)
         return native_literal(cand.where(~odd), query).unionByName(python_route(cand.where(odd), query))
     java = java_line_pattern(query)
     if java is None:
