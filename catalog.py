@@ -95,3 +95,97 @@ def docs_matching(spark, sf_dir):
     """M9: documents that match at all, with their match count."""
     found = search(tables.documents(spark, sf_dir), Query("license"), ordered=False)
     return found.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- corpus filters
+from trawl.operators import filters as FL  # noqa: E402
+
+NO_RULES = FL.PathRules(excluded_dirs=(), excluded_files=(), binary_extensions=(), custom_patterns=(), exclude_dot_items=False)
+
+
+def _tree_filter(rules: FL.PathRules):
+    def run(spark, sf_dir):
+        return FL.filter_paths(tables.document_tree(spark, sf_dir), rules).select("path")
+
+    return run
+
+
+CATALOG["filter_hidden"] = Item(
+    _tree_filter(FL.PathRules(excluded_dirs=(), excluded_files=(), binary_extensions=())),
+    O.tree_where(f"NOT ({O.HIDDEN})"),
+)
+CATALOG["filter_excluded_dirs"] = Item(
+    _tree_filter(FL.PathRules(excluded_files=(), binary_extensions=(), exclude_dot_items=False)),
+    O.tree_where(f"NOT ({O.EXCLUDED_DIR})"),
+)
+CATALOG["filter_excluded_globs"] = Item(
+    _tree_filter(FL.PathRules(excluded_dirs=(), binary_extensions=(), exclude_dot_items=False)),
+    O.tree_where(f"NOT {O.EXCLUDED_GLOB}"),
+)
+CATALOG["filter_binary_ext"] = Item(
+    _tree_filter(FL.PathRules(excluded_dirs=(), excluded_files=(), exclude_dot_items=False)),
+    O.tree_where(f"NOT ({O.BINARY_EXT})"),
+)
+# directory patterns: a name, 'dir/*' (also the dir itself), 'path/dir/' and a path
+CATALOG["filter_custom_dirs"] = Item(
+    _tree_filter(
+        FL.PathRules(excluded_dirs=(), excluded_files=(), binary_extensions=(), exclude_dot_items=False,
+                     custom_patterns=("src1", "src4/*", "src5/fr/", "src6/e?"))
+    ),
+    O.tree_where(
+        "NOT (parts[1] IN ('src1', 'src4') OR (parts[1] = 'src5' AND parts[2] = 'fr') "
+        "OR (parts[1] = 'src6' AND parts[2] LIKE 'e_' AND len(parts) > 2))"
+    ),
+)
+# file patterns on the name or the relative path; 'x/' patterns are directory-only
+# (custom patterns also prune directories, so 'fr/' removes every 'fr' folder)
+CATALOG["filter_custom_files"] = Item(
+    _tree_filter(
+        FL.PathRules(excluded_dirs=(), excluded_files=(), binary_extensions=(), exclude_dot_items=False,
+                     custom_patterns=("*.md", "src7/*/doc_1*", "fr/", "doc_2?.txt"))
+    ),
+    O.tree_where(
+        "NOT (name LIKE '%.md' OR (rel LIKE 'src7/%/doc\\_1%' ESCAPE '\\') "
+        "OR regexp_full_match(name, 'doc_2.\\.txt') OR parts[2] = 'fr')"
+    ),
+)
+# F1-F6 together with the defaults: what a plain scan keeps
+CATALOG["scan_filter"] = Item(
+    _tree_filter(FL.PathRules()),
+    O.tree_where(f"NOT ({O.HIDDEN}) AND NOT ({O.EXCLUDED_DIR}) AND NOT {O.EXCLUDED_GLOB} AND NOT ({O.BINARY_EXT})"),
+)
+
+
+@register(
+    "filter_nontext_ratio",
+    "SELECT path, "
+    f"len(list_filter({O.utf8_probe_pairs('text')}, lambda b: b = '00')) > 0 AS has_nul, "
+    f"CAST(len(list_filter({O.utf8_probe_pairs('text')}, lambda b: NOT regexp_matches(b, '{O.TEXT_BYTE_HEX}'))) AS DOUBLE) "
+    f"/ len({O.utf8_probe_pairs('text')}) > 0.30 AS mostly_nontext, "
+    f"len(list_filter({O.utf8_probe_pairs('text')}, lambda b: b = '00')) > 0 OR CAST(len(list_filter({O.utf8_probe_pairs('text')}, "
+    f"lambda b: NOT regexp_matches(b, '{O.TEXT_BYTE_HEX}'))) AS DOUBLE) / len({O.utf8_probe_pairs('text')}) > 0.30 AS is_binary "
+    f"FROM ({O.CORPORA['documents']}) c WHERE length(text) > 0",
+)
+def filter_nontext_ratio(spark, sf_dir):
+    """F7-F9 over the UTF-8 bytes of every document (non-Latin prose counts as binary)."""
+    docs = tables.documents(spark, sf_dir).where(F.length("text") > 0)
+    content = F.encode("text", "UTF-8")
+    chunk = FL.probe(content)
+    return docs.select(
+        "path",
+        FL.has_nul(chunk).alias("has_nul"),
+        (FL.nontext_share(chunk) > FL.NONTEXT_RATIO).alias("mostly_nontext"),
+        FL.binary_by_content(content).alias("is_binary"),
+    )
+
+
+@register(
+    "decode_corpus",
+    f"SELECT path, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM ({O.CORPORA['documents']}) c",
+)
+def decode_corpus(spark, sf_dir):
+    """S5 on the UTF-8 bytes of every document: valid UTF-8 decodes back to the text."""
+    from trawl.sources.content import decode_text
+
+    docs = tables.documents(spark, sf_dir)
+    return docs.select("path", decode_text(F.encode("text", "UTF-8")).alias("text"))

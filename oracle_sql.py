@@ -148,3 +148,42 @@ FROM pos
 
 def wrap_findings(inner: str) -> str:
     return f"SELECT {FINDING_SELECT} FROM ({inner}) f"
+
+
+# --------------------------------------------------------------------------- path rules
+
+TREE_PATH = (
+    "'/corpus/' || source || '/' || CASE lang WHEN 'de' THEN '.de' WHEN 'es' THEN 'node_modules' ELSE lang END"
+    " || '/doc_' || CAST(doc_id AS VARCHAR) || '.' || CASE source WHEN 'src0' THEN 'log' WHEN 'src1' THEN 'PDF'"
+    " WHEN 'src2' THEN 'tmp' WHEN 'src3' THEN 'md' ELSE 'txt' END"
+)
+TREE = f"SELECT {TREE_PATH} AS path, substring({TREE_PATH}, 9) AS rel, text FROM documents"
+
+
+def tree_where(cond: str) -> str:
+    """Paths of the synthetic tree that satisfy ``cond`` (over ``path``, ``rel``, ``parts``, ``name``)."""
+    return (
+        "SELECT path FROM (SELECT path, rel, string_split(rel, '/') AS parts, "
+        "string_split(rel, '/')[-1] AS name, text FROM (" + TREE + ") t0) t WHERE " + cond
+    )
+
+
+HIDDEN = "len(list_filter(parts, lambda p: starts_with(p, '.') AND p NOT IN ('.', '..'))) > 0"
+EXCLUDED_DIR = "len(list_filter(parts[1:len(parts) - 1], lambda p: p IN ('.git', '__pycache__', 'venv', 'node_modules', '.hg', '.svn'))) > 0"
+EXCLUDED_GLOB = "(name LIKE '%.log' OR name LIKE '%.tmp' OR name LIKE '%.swp' OR name LIKE '%.bak')"
+BINARY_EXT = (
+    "lower(regexp_extract(name, '^\\.*[^.].*(\\.[^.]*)$', 1)) IN ('.pyc', '.pyo', '.o', '.so', '.obj', '.dll', "
+    "'.exe', '.class', '.jar', '.zip', '.tar', '.gz', '.bz2', '.rar', '.7z', '.iso', '.png', '.jpg', '.jpeg', "
+    "'.gif', '.bmp', '.tiff', '.ico', '.mp3', '.wav', '.ogg', '.mp4', '.avi', '.mov', '.flv', '.mkv', '.pdf', "
+    "'.doc', '.docx', '.xls', '.xlsx', '.ppt', '.pptx', '.odt', '.db', '.sqlite', '.dat')"
+)
+
+
+# --------------------------------------------------------------------------- content probes
+
+def utf8_probe_pairs(text_expr: str) -> str:
+    """The first 1,024 bytes of the UTF-8 encoding, as a list of two-digit hex strings."""
+    return f"regexp_extract_all(left(hex(encode({text_expr})), 2048), '..')"
+
+
+TEXT_BYTE_HEX = "^(2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E]|0A|0D|09|08)$"

@@ -41,3 +41,34 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as a corpus: ``/conversations/<conv_id>/<turn>.txt``."""
     c = table(spark, sf_dir, "conversations")
     return c.select(conversation_path().alias("path"), "text", F.col("conv_id").cast("double").alias("mtime"))
+
+
+def document_tree_path():
+    """A synthetic file tree over ``documents``, used to exercise the path rules.
+
+    ``/corpus/<source>/<dir>/doc_<id>.<ext>``: German texts sit in a hidden ``.de``
+    folder, Spanish ones in ``node_modules``; a few sources get their own extension.
+    """
+    lang, source = F.col("lang"), F.col("source")
+    folder = F.when(lang == "de", ".de").when(lang == "es", "node_modules").otherwise(lang)
+    ext = (
+        F.when(source == "src0", "log")
+        .when(source == "src1", "PDF")
+        .when(source == "src2", "tmp")
+        .when(source == "src3", "md")
+        .otherwise("txt")
+    )
+    return F.concat(
+        F.lit("/corpus/"), source, F.lit("/"), folder, F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext
+    )
+
+
+def document_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a listing of files under the root ``/corpus``."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        document_tree_path().alias("path"),
+        F.lit("/corpus").alias("root"),
+        "text",
+        F.col("doc_id").cast("double").alias("mtime"),
+    )
