@@ -189,3 +189,69 @@ def decode_corpus(spark, sf_dir):
 
     docs = tables.documents(spark, sf_dir)
     return docs.select("path", decode_text(F.encode("text", "UTF-8")).alias("text"))
+
+
+# ---------------------------------------------------------------- reports
+from trawl.operators import report as R  # noqa: E402
+
+_LICENSE_SQL = O.literal_search("documents", "license")
+
+
+def _license(spark, sf_dir):
+    return search(tables.documents(spark, sf_dir), Query("license"), ordered=False)
+
+
+@register("match_count", f"SELECT CAST(count(*) AS BIGINT) AS total_matches FROM ({O.literal_search('documents', 'the')}) f")
+def match_count(spark, sf_dir):
+    return R.match_count(search(tables.documents(spark, sf_dir), Query("the"), ordered=False))
+
+
+@register("finding_ids", O.ordered_findings(_LICENSE_SQL))
+def finding_ids(spark, sf_dir):
+    return R.with_finding_ids(_license(spark, sf_dir))
+
+
+@register("finding_lookup", f"SELECT * FROM ({O.ordered_findings(_LICENSE_SQL)}) x WHERE finding_id = 10")
+def finding_lookup(spark, sf_dir):
+    return R.lookup(R.with_finding_ids(_license(spark, sf_dir)), "10")
+
+
+@register(
+    "report_file_headers",
+    "SELECT file_path, CAST(line_number AS BIGINT) AS line_number, CAST(char_start_in_line AS BIGINT) AS char_start_in_line, "
+    "row_number() OVER (PARTITION BY file_path ORDER BY line_number, char_start_in_line) = 1 AS new_file "
+    f"FROM ({O.literal_search('documents', 'the')}) f",
+)
+def report_file_headers(spark, sf_dir):
+    found = search(tables.documents(spark, sf_dir), Query("the"), ordered=False)
+    return R.with_file_headers(found.select(*R.ORDER)).select(*R.ORDER, "new_file")
+
+
+@register("finding_markdown", O.markdown_blocks(_LICENSE_SQL))
+def finding_markdown(spark, sf_dir):
+    return R.report_blocks(_license(spark, sf_dir), "md")
+
+
+@register("finding_console", O.console_blocks(_LICENSE_SQL))
+def finding_console(spark, sf_dir):
+    return R.report_blocks(_license(spark, sf_dir), "console")
+
+
+@register("finding_json")
+def finding_json(spark, sf_dir):
+    """K1: exact ``json.dumps(indent=4)`` text, one element per row (ASCII-escaped by
+    Python's json, which SQL cannot state, so rows-only)."""
+    return R.report_blocks(_license(spark, sf_dir), "json")
+
+
+@register(
+    "files_per_root",
+    "SELECT '/corpus/' || split_part(path, '/', 3) AS root, CAST(count(*) AS BIGINT) AS files "
+    f"FROM ({O.tree_where(f'NOT ({O.HIDDEN}) AND NOT ({O.EXCLUDED_DIR}) AND NOT {O.EXCLUDED_GLOB} AND NOT ({O.BINARY_EXT})')}) x "
+    "GROUP BY 1",
+)
+def files_per_root(spark, sf_dir):
+    """A6 with one root per source folder: ``/corpus/<source>``."""
+    tree = tables.document_tree(spark, sf_dir).withColumn("root", F.regexp_extract("path", r"^(/corpus/[^/]+)", 1))
+    kept = FL.filter_paths(tree, FL.PathRules())
+    return R.files_per_root(kept)

@@ -187,3 +187,39 @@ def utf8_probe_pairs(text_expr: str) -> str:
 
 
 TEXT_BYTE_HEX = "^(2[0-9A-F]|[3-6][0-9A-F]|7[0-9A-E]|0A|0D|09|08)$"
+
+
+# --------------------------------------------------------------------------- reports
+
+def ordered_findings(inner: str) -> str:
+    """Findings with their 0-based report position ``finding_id``."""
+    return (
+        "SELECT CAST(row_number() OVER (ORDER BY file_path, line_number, char_start_in_line) - 1 AS BIGINT) "
+        f"AS finding_id, {FINDING_SELECT} FROM ({inner}) f"
+    )
+
+
+def markdown_blocks(inner: str) -> str:
+    return f"""
+WITH f AS ({ordered_findings(inner)}), n AS (SELECT count(*) AS total FROM f),
+g AS (SELECT f.*, row_number() OVER (PARTITION BY file_path ORDER BY line_number, char_start_in_line) = 1 AS new_file FROM f)
+SELECT finding_id,
+  CASE WHEN finding_id = 0 THEN '# Code Search Results' || chr(10) || chr(10) || 'Found ' || CAST(total AS VARCHAR)
+       || ' match(es) in total.' || chr(10) ELSE '' END
+  || CASE WHEN new_file THEN CASE WHEN finding_id > 0 THEN chr(10) || '---' || chr(10) ELSE '' END
+       || chr(10) || '## File: `' || file_path || '`' || chr(10) ELSE '' END
+  || chr(10) || '### Match at Line ' || CAST(line_number AS VARCHAR) || chr(10) || '```text' || chr(10)
+  || snippet || chr(10) || '```' AS value
+FROM g, n
+"""
+
+
+def console_blocks(inner: str) -> str:
+    return f"""
+WITH f AS ({ordered_findings(inner)}), n AS (SELECT count(*) AS total FROM f)
+SELECT finding_id,
+  chr(10) || 'Match in: ' || file_path || chr(10) || 'Line ' || CAST(line_number AS VARCHAR) || ':' || chr(10) || snippet
+  || CASE WHEN finding_id = total - 1 THEN chr(10) || chr(10) || 'Found ' || CAST(total AS VARCHAR)
+       || ' match(es) in total.' ELSE '' END AS value
+FROM f, n
+"""

@@ -52,12 +52,14 @@ def _configured_dir(spark: SparkSession) -> str | None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (lineage cuts, result tables).
 
-    Never invents a folder on a cluster: if nothing is configured, it raises.  Tests
-    get one from :func:`local_session`.
+    Never invents a folder on a cluster: if nothing is configured there, it raises.
+    Only a ``local[...]`` session without a setting (a test run) gets a scratch folder.
     """
     found = _configured_dir(spark)
-    if not found:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; configure a shared folder for this session"
-        )
-    return found
+    if found:
+        return found
+    if spark.sparkContext.master.startswith("local"):
+        local = tempfile.mkdtemp(prefix="trawl-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.sparkContext.setCheckpointDir(local)
+        return spark.sparkContext.getCheckpointDir() or local
+    raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for this session")
