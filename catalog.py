@@ -255,3 +255,86 @@ def files_per_root(spark, sf_dir):
     tree = tables.document_tree(spark, sf_dir).withColumn("root", F.regexp_extract("path", r"^(/corpus/[^/]+)", 1))
     kept = FL.filter_paths(tree, FL.PathRules())
     return R.files_per_root(kept)
+
+
+# ---------------------------------------------------------------- elaboration
+from trawl.operators import elaborate as EL  # noqa: E402
+
+_LICENSE_IDS_SQL = O.ordered_findings(_LICENSE_SQL)
+
+
+def _license_ids(spark, sf_dir):
+    return R.with_finding_ids(_license(spark, sf_dir))
+
+
+@register(
+    "elab_context",
+    f"SELECT finding_id, has_content, file_context FROM ({O.elab_context(_LICENSE_IDS_SQL)}) x",
+)
+def elab_context(spark, sf_dir):
+    """E1 + E3: each finding joined back to its document, ±10 numbered lines."""
+    ctx = EL.context_lines(_license_ids(spark, sf_dir), tables.documents(spark, sf_dir), 10)
+    return ctx.select("finding_id", "has_content", "file_context")
+
+
+@register("elab_prompt", f"SELECT finding_id, context, prompt FROM ({O.elab_prompt(_LICENSE_IDS_SQL)}) x")
+def elab_prompt(spark, sf_dir):
+    """E4 + E5: context block (snippet + file window) and the prompt text."""
+    return EL.prompts(_license_ids(spark, sf_dir), tables.documents(spark, sf_dir), 10).select("finding_id", "context", "prompt")
+
+
+@register(
+    "elab_missing_source",
+    f"SELECT finding_id, context FROM ({O.elab_prompt(_LICENSE_IDS_SQL, 'pages')}) x",
+)
+def elab_missing_source(spark, sf_dir):
+    """E1 left outer: the findings' files are not in this corpus -> snippet only."""
+    return EL.prompts(_license_ids(spark, sf_dir), tables.pages(spark, sf_dir), 10).select("finding_id", "context")
+
+
+@register(
+    "elaborate_stub",
+    f"SELECT finding_id, {O.stub_reply('prompt')} AS elaboration, 'ok' AS status FROM ({O.elab_prompt(_LICENSE_IDS_SQL)}) x",
+)
+def elaborate_stub(spark, sf_dir):
+    """E6 + E9: bulk elaboration through a deterministic stand-in model."""
+    return EL.elaborate(_license_ids(spark, sf_dir), tables.documents(spark, sf_dir), EL.stub_model, 10)
+
+
+@register(
+    "elab_errors",
+    f"SELECT finding_id, {O.flaky_reply('prompt')} AS elaboration, "
+    "CASE WHEN left(sha256(prompt), 1) IN ('0', '1', '2') THEN 'error' ELSE 'ok' END AS status "
+    f"FROM ({O.elab_prompt(_LICENSE_IDS_SQL)}) x",
+)
+def elab_errors(spark, sf_dir):
+    """No answer / blank answer / failed call become 'Error: ...' rows, never task failures."""
+    return EL.elaborate(_license_ids(spark, sf_dir), tables.documents(spark, sf_dir), EL.flaky_stub_model, 10)
+
+
+@register(
+    "finding_validation",
+    "SELECT finding_id, CASE WHEN char_start_in_line = 0 THEN FALSE ELSE TRUE END AS valid, "
+    "CASE WHEN char_start_in_line = 0 THEN 'Error: Finding at index ' || CAST(finding_id AS VARCHAR) || "
+    "' has an invalid structure. Missing one of [''file_path'', ''line_number'', ''snippet'', ''match_text''].' END AS error "
+    f"FROM ({_LICENSE_IDS_SQL}) x",
+)
+def finding_validation(spark, sf_dir):
+    """E8 on a damaged report: findings that start a line lose their snippet."""
+    damaged = _license_ids(spark, sf_dir).withColumn(
+        "snippet", F.when(F.col("char_start_in_line") == 0, F.lit(None)).otherwise(F.col("snippet"))
+    )
+    return EL.validate(damaged).select("finding_id", "valid", "error")
+
+
+@register(
+    "search_then_elaborate",
+    f"SELECT finding_id, file_path, line_number, {O.stub_reply('prompt')} AS elaboration "
+    f"FROM ({O.elab_prompt(_LICENSE_IDS_SQL)}) x",
+)
+def search_then_elaborate(spark, sf_dir):
+    """Search -> report ids -> elaborate every finding -> findings with elaboration."""
+    corpus = tables.documents(spark, sf_dir)
+    ids = R.with_finding_ids(search(corpus, Query("license"), ordered=False))
+    done = EL.elaborate(ids, corpus, EL.stub_model, 10)
+    return ids.join(done, "finding_id").select("finding_id", "file_path", "line_number", "elaboration")

@@ -223,3 +223,49 @@ SELECT finding_id,
        || ' match(es) in total.' ELSE '' END AS value
 FROM f, n
 """
+
+
+# --------------------------------------------------------------------------- elaboration
+
+def elab_context(findings_with_ids: str, corpus: str = "documents", window: int = 10) -> str:
+    """finding_id, file_path, line_number, snippet, has_content, file_context."""
+    return f"""
+WITH f AS ({findings_with_ids}),
+src AS (SELECT path, text, {splitlines('text')} AS sl FROM ({CORPORA[corpus]}) c WHERE path IN (SELECT file_path FROM f))
+SELECT f.finding_id, f.file_path, f.line_number, f.snippet, f.match_text,
+       coalesce(length(src.text) > 0, FALSE) AS has_content,
+       coalesce(array_to_string(list_transform(
+           range(greatest(CAST(f.line_number AS BIGINT) - 1 - {window}, 0),
+                 least(len(src.sl), CAST(f.line_number AS BIGINT) - 1 + {window} + 1)),
+           lambda j: CASE WHEN j = f.line_number - 1 THEN '>> ' ELSE '  ' END || printf('%4d: ', j + 1) || src.sl[j + 1]),
+         chr(10)), '') AS file_context
+FROM f LEFT JOIN src ON src.path = f.file_path
+"""
+
+
+def elab_prompt(findings_with_ids: str, corpus: str = "documents", window: int = 10) -> str:
+    from trawl.operators.elaborate import CONTEXT_HEAD, CONTEXT_TAIL, PROMPT_BODY, PROMPT_HEAD, SNIPPET_HEAD, SNIPPET_TAIL
+
+    return f"""
+WITH x AS ({elab_context(findings_with_ids, corpus, window)}),
+y AS (SELECT x.*, CASE WHEN has_content THEN {q(SNIPPET_HEAD)} || snippet || {q(SNIPPET_TAIL)} || {q(CONTEXT_HEAD)}
+        || file_context || {q(CONTEXT_TAIL)} ELSE snippet END AS context FROM x)
+SELECT y.*, {q(PROMPT_HEAD)} || file_path || chr(10) || 'Line: ' || CAST(line_number AS VARCHAR) || chr(10) || chr(10)
+       || 'Context/Code:' || chr(10) || context || {q(PROMPT_BODY)} AS prompt
+FROM y
+"""
+
+
+def stub_reply(prompt: str) -> str:
+    return f"'Elaboration ' || left(sha256({prompt}), 16) || ' (' || CAST(length({prompt}) AS VARCHAR) || ' chars)'"
+
+
+def flaky_reply(prompt: str) -> str:
+    from trawl.operators.elaborate import ERR_EMPTY, ERR_NO_CHOICES
+
+    h = f"left(sha256({prompt}), 1)"
+    return (
+        f"CASE {h} WHEN '0' THEN {q(ERR_NO_CHOICES)} WHEN '1' THEN {q(ERR_EMPTY)} "
+        "WHEN '2' THEN 'Error: API error during elaboration for ' || file_path || ':' || CAST(line_number AS VARCHAR) "
+        f"|| ' (model): RuntimeError - stub failure' ELSE {stub_reply(prompt)} END"
+    )
