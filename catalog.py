@@ -338,3 +338,117 @@ def search_then_elaborate(spark, sf_dir):
     ids = R.with_finding_ids(search(corpus, Query("license"), ordered=False))
     done = EL.elaborate(ids, corpus, EL.stub_model, 10)
     return ids.join(done, "finding_id").select("finding_id", "file_path", "line_number", "elaboration")
+
+
+# ---------------------------------------------------------------- result tables
+import datetime as _dt  # noqa: E402
+
+from trawl.operators import cache as C  # noqa: E402
+
+T0 = _dt.datetime(2026, 1, 1, 0, 0, 0)
+T1 = _dt.datetime(2026, 1, 1, 0, 10, 0)
+_LICENSE = Query("license")
+
+
+def _docs_v2(spark, sf_dir):
+    """The same documents after an edit of every French text (mtime + 100 s)."""
+    d = tables.documents(spark, sf_dir)
+    lang = F.split("path", "/").getItem(3)
+    return d.withColumn("mtime", F.col("mtime") + F.when(lang == "fr", F.lit(100.0)).otherwise(F.lit(0.0)))
+
+
+@register(
+    "cache_key",
+    f"SELECT path, {O.file_key_sql('search', O.SEARCH_PARAMS_LICENSE, 'path', 'mtime')} AS key "
+    f"FROM ({O.CORPORA['documents']}) c",
+)
+def cache_key(spark, sf_dir):
+    """One key per (operation, parameters, file, mtime)."""
+    d = tables.documents(spark, sf_dir)
+    return d.select("path", C.file_key("search", _LICENSE.params(), F.col("path"), F.col("mtime")).alias("key"))
+
+
+def _populated(spark, sf_dir, **kw):
+    table = C.scratch_table(spark, "search", **kw)
+    C.cached_search(tables.documents(spark, sf_dir), _LICENSE, table, now=T0).count()
+    return table
+
+
+@register("cache_hits", "SELECT path, lang <> 'fr' AS hit FROM (" + O.DOCS_V2 + ") d")
+def cache_hits(spark, sf_dir):
+    """C2 + C5: after the edit, only the edited files miss."""
+    table = _populated(spark, sf_dir)
+    return C.lookup_keys(_docs_v2(spark, sf_dir), _LICENSE, table, now=T1).select("path", "hit")
+
+
+@register("search_incremental", O.wrap_findings(_LICENSE_SQL))
+def search_incremental(spark, sf_dir):
+    """C4: the second search recomputes only edited files and reads the rest from the table."""
+    table = _populated(spark, sf_dir)
+    return C.cached_search(_docs_v2(spark, sf_dir), _LICENSE, table, now=T1)
+
+
+@register("cache_ttl", f"SELECT path, FALSE AS hit FROM ({O.CORPORA['documents']}) c")
+def cache_ttl(spark, sf_dir):
+    """Entries stored with a one-hour TTL have all expired two hours later."""
+    table = _populated(spark, sf_dir, ttl_seconds=3600)
+    return C.lookup_keys(tables.documents(spark, sf_dir), _LICENSE, table, now=T0 + _dt.timedelta(hours=2)).select("path", "hit")
+
+
+@register("cache_delete", f"SELECT path, split_part(path, '/', 3) <> 'src0' AS hit FROM ({O.CORPORA['documents']}) c")
+def cache_delete(spark, sf_dir):
+    """Deleting the keys of one source folder turns exactly those into misses."""
+    table = _populated(spark, sf_dir)
+    docs = tables.documents(spark, sf_dir)
+    gone = docs.where(F.col("path").startswith("/corpus/src0/")).select(
+        C.file_key("search", _LICENSE.params(), F.col("path"), F.col("mtime")).alias("key")
+    )
+    table.delete(gone)
+    return C.lookup_keys(docs, _LICENSE, table, now=T1).select("path", "hit")
+
+
+EVICT_LIMIT = 40_000
+
+
+@register(
+    "cache_evict",
+    f"""
+WITH f AS ({_LICENSE_SQL}),
+sz AS (SELECT file_path, sum(length(snippet) + length(match_text) + length(file_path) + 32) AS b FROM f GROUP BY 1),
+e1 AS (SELECT path, {O.file_key_sql('search', O.SEARCH_PARAMS_LICENSE, 'path', 'mtime')} AS key, 0 AS t, lang
+       FROM ({O.CORPORA['documents']}) c JOIN (SELECT doc_id, lang FROM documents) l
+       ON path LIKE '%/doc_' || CAST(l.doc_id AS VARCHAR) || '.txt'),
+e2a AS (SELECT path, {O.file_key_sql('search', O.SEARCH_PARAMS_LICENSE, 'path', 'mtime')} AS key, 1 AS t
+       FROM ({O.DOCS_V2}) d),
+b1 AS (SELECT e1.path, e1.key, e1.t, coalesce(sz.b, 0) AS b FROM e1 LEFT JOIN sz ON sz.file_path = e1.path),
+k1 AS (SELECT path, key, t, b FROM (SELECT *, sum(b) OVER (ORDER BY t DESC, key ROWS BETWEEN UNBOUNDED PRECEDING
+       AND CURRENT ROW) AS running FROM b1) x WHERE running <= {EVICT_LIMIT}),
+e2 AS (SELECT * FROM e2a WHERE key NOT IN (SELECT key FROM k1)),
+b2 AS (SELECT e2.path, e2.key, e2.t, coalesce(sz.b, 0) AS b FROM e2 LEFT JOIN sz ON sz.file_path = e2.path),
+eb AS (SELECT * FROM k1 UNION ALL SELECT * FROM b2),
+r AS (SELECT *, sum(b) OVER (ORDER BY t DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM eb)
+SELECT key, CAST(t AS BIGINT) AS batch FROM r WHERE running <= {EVICT_LIMIT}
+""",
+)
+def cache_evict(spark, sf_dir):
+    """With a size limit, every commit keeps the newest entries while their total
+    fits.  The first commit already trims; the second stores every file whose key is
+    no longer live (edited or evicted before)."""
+    table = _populated(spark, sf_dir, size_limit_bytes=EVICT_LIMIT)
+    C.cached_search(_docs_v2(spark, sf_dir), _LICENSE, table, now=T1).count()
+    return table.entries().select("key", F.when(F.col("stored_at") == F.lit(T1), 1).otherwise(0).cast("long").alias("batch"))
+
+
+@register(
+    "elab_cache",
+    f"SELECT finding_id, CASE WHEN left(sha256(prompt), 1) IN ('0', '1', '2') THEN 'error' ELSE 'ok' END AS status, "
+    f"left(sha256(prompt), 1) NOT IN ('0', '1', '2') AS from_cache FROM ({O.elab_prompt(_LICENSE_IDS_SQL)}) x",
+)
+def elab_cache(spark, sf_dir):
+    """The second elaboration run reads every stored answer; errors were not stored
+    and are asked again."""
+    corpus = tables.documents(spark, sf_dir)
+    ids = _license_ids(spark, sf_dir)
+    table = C.scratch_table(spark, "elaborate")
+    C.cached_elaborate(ids, corpus, EL.flaky_stub_model, table, now=T0).count()
+    return C.cached_elaborate(ids, corpus, EL.flaky_stub_model, table, now=T1).select("finding_id", "status", "from_cache")

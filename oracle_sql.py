@@ -269,3 +269,21 @@ def flaky_reply(prompt: str) -> str:
         "WHEN '2' THEN 'Error: API error during elaboration for ' || file_path || ':' || CAST(line_number AS VARCHAR) "
         f"|| ' (model): RuntimeError - stub failure' ELSE {stub_reply(prompt)} END"
     )
+
+
+# --------------------------------------------------------------------------- result tables
+
+SEARCH_PARAMS_LICENSE = '{"context_lines": 3, "is_case_sensitive": false, "is_regex": false, "query": "license"}'
+
+
+def file_key_sql(op: str, params_json: str, path: str, mtime: str) -> str:
+    return (
+        f"sha256(concat_ws(chr(31), {q(op)}, {q(params_json)}, {path}, "
+        f"CAST(CAST(round(coalesce({mtime}, 0.0) * 1000000) AS BIGINT) AS VARCHAR)))"
+    )
+
+
+DOCS_V2 = (
+    f"SELECT {DOCUMENT_PATH} AS path, text, lang, source, "
+    "CAST(doc_id AS DOUBLE) + CASE WHEN lang = 'fr' THEN 100.0 ELSE 0.0 END AS mtime FROM documents"
+)
