@@ -342,6 +342,7 @@ def search_then_elaborate(spark, sf_dir):
 
 # ---------------------------------------------------------------- result tables
 import datetime as _dt  # noqa: E402
+import os  # noqa: E402
 
 from trawl.operators import cache as C  # noqa: E402
 
@@ -452,3 +453,35 @@ def elab_cache(spark, sf_dir):
     table = C.scratch_table(spark, "elaborate")
     C.cached_elaborate(ids, corpus, EL.flaky_stub_model, table, now=T0).count()
     return C.cached_elaborate(ids, corpus, EL.flaky_stub_model, table, now=T1).select("finding_id", "status", "from_cache")
+
+
+# ---------------------------------------------------------------- file source
+import uuid as _uuid  # noqa: E402
+
+from trawl.sources import files as FS  # noqa: E402
+
+
+def _local_dir(spark) -> str:
+    from trawl.session import checkpoint_dir
+
+    d = checkpoint_dir(spark)
+    return d[len("file:"):] if d.startswith("file:") else d
+
+
+@register(
+    "scan_files",
+    O.tree_where(
+        f"NOT ({O.HIDDEN}) AND NOT ({O.EXCLUDED_DIR}) AND NOT {O.EXCLUDED_GLOB} AND NOT ({O.BINARY_EXT}) AND NOT ("
+        f"len(list_filter({O.utf8_probe_pairs('text')}, lambda b: b = '00')) > 0 OR "
+        f"(length(text) > 0 AND CAST(len(list_filter({O.utf8_probe_pairs('text')}, lambda b: NOT regexp_matches(b, "
+        f"'{O.TEXT_BYTE_HEX}'))) AS DOUBLE) / len({O.utf8_probe_pairs('text')}) > 0.30))"
+    ),
+)
+def scan_files(spark, sf_dir):
+    """S1-S4 + F1-F9 on real files: ``documents`` written out as the synthetic tree,
+    then listed level by level, pruned, probed and de-duplicated."""
+    base = os.path.join(_local_dir(spark), f"tree-{_uuid.uuid4().hex}")
+    tree = tables.document_tree(spark, sf_dir)
+    FS.write_tree(tree, base)
+    found = FS.scan(spark, [os.path.join(base, "corpus")])
+    return found.select(F.concat(F.lit("/corpus/"), F.expr(f"substring(path, {len(base) + len('/corpus/') + 1})")).alias("path"))

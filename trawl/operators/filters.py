@@ -77,20 +77,22 @@ def _ancestors(rel: Column) -> Column:
     )
 
 
+def dir_excluded(d: Column, rules: PathRules) -> Column:
+    """F2 + F4 for one directory given by its relative path: excluded name (exact), or a
+    custom pattern on its name or relative path (``x/`` and ``x/*`` also hit ``x``)."""
+    name = basename(d)
+    cond = name.isin(*rules.excluded_dirs) if rules.excluded_dirs else F.lit(False)
+    for pat in rules.custom_patterns:
+        stripped = pat.rstrip("/")
+        cond = cond | glob_match(name, stripped) | glob_match(d, stripped)
+        if pat.endswith("/*"):
+            cond = cond | glob_match(d, pat[:-2])
+    return cond
+
+
 def excluded_dir(rel: Column, rules: PathRules) -> Column:
-    """F2 + F4: an ancestor directory is excluded by name or by a custom pattern."""
-
-    def dir_rule(d: Column) -> Column:
-        name = basename(d)
-        cond = name.isin(*rules.excluded_dirs) if rules.excluded_dirs else F.lit(False)
-        for pat in rules.custom_patterns:
-            stripped = pat.rstrip("/")
-            cond = cond | glob_match(name, stripped) | glob_match(d, stripped)
-            if pat.endswith("/*"):
-                cond = cond | glob_match(d, pat[:-2])
-        return cond
-
-    return F.exists(_ancestors(rel), dir_rule)
+    """Some ancestor directory of the file (below the root) is excluded."""
+    return F.exists(_ancestors(rel), lambda d: dir_excluded(d, rules))
 
 
 def excluded_file(rel: Column, rules: PathRules) -> Column:
