@@ -485,3 +485,19 @@ def scan_files(spark, sf_dir):
     FS.write_tree(tree, base)
     found = FS.scan(spark, [os.path.join(base, "corpus")])
     return found.select(F.concat(F.lit("/corpus/"), F.expr(f"substring(path, {len(base) + len('/corpus/') + 1})")).alias("path"))
+
+
+# ---------------------------------------------------------------- streaming
+from trawl.streaming.search_stream import corpus_stream, run_until_caught_up  # noqa: E402
+
+
+@register("search_stream", O.wrap_findings(_LICENSE_SQL))
+def search_stream(spark, sf_dir):
+    """The incremental search as a stream: the documents table read by a file-stream
+    source, searched per micro-batch, appended to a findings table."""
+    base = os.path.join(_local_dir(spark), f"stream-{_uuid.uuid4().hex}")
+    schema = tables.table(spark, sf_dir, "documents").schema
+    docs = corpus_stream(
+        spark, sf_dir, schema, lambda raw: raw.select(tables.document_path().alias("path"), "text"), glob="documents.parquet"
+    )
+    return run_until_caught_up(docs, _LICENSE, f"{base}/findings", f"{base}/_checkpoint")

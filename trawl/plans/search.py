@@ -56,6 +56,8 @@ def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
     Only when the scan yields fewer partitions than the cluster has cores (small
     tables stored as one row group) are the surviving rows spread round-robin.
     """
+    if df.isStreaming:
+        return df  # micro-batches are sized by the source
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
