@@ -188,3 +188,15 @@ def test_no_exchange_before_final_sort(spark, corpus):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # only the optional spreading of an under-partitioned scan may shuffle
     assert plan.count("Exchange") <= 1
+
+
+def test_fold_sensitive_patterns_route_special_documents(corpus):
+    from trawl.functions.regex_dialect import fold_sensitive
+
+    assert not fold_sensitive(Query("[a-z]+k", regex=True))
+    assert fold_sensitive(Query("x[A-Z]", regex=True))
+    assert not fold_sensitive(Query("[A-Z]", regex=True, case_sensitive=True))
+    files = {"/k.txt": "Kelvin K and İ here\nplain K", "/n.txt": "no special K"}
+    for pat in ["[J-L]", "[H-J]", "k", "[a-z]+"]:
+        q = Query(pat, regex=True)
+        assert rows(search(corpus(files), q)) == model(files, q), pat

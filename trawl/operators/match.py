@@ -110,8 +110,12 @@ def python_route(docs: DataFrame, query: Query) -> DataFrame:
 # --------------------------------------------------------------------------- native
 
 
+UNROLL_LIMIT = 32  # context sizes up to this are built with unrolled, compiled expressions
+
+
 def _windows(hit_idx: Column, olines: Column, slines: Column, context: int, extra=None) -> Column:
-    """Per hit line: its index, its text and the ±context window of snippet lines."""
+    """Per hit line: its index, its text and the ±context window of snippet lines
+    (a slice: one cheap step inside the lambda; numbering happens later, compiled)."""
     nsl = F.size(slines)
 
     def one(i):
@@ -131,33 +135,52 @@ def _windows(hit_idx: Column, olines: Column, slines: Column, context: int, extr
     return F.transform(hit_idx, one)
 
 
-def snippet_column(li: Column, start: Column, end: Column, ctx: Column, ctx_first: Column, nsl: Column) -> Column:
-    """The reference snippet from a pre-cut window of snippet lines."""
-    body = F.array_join(
-        F.transform(
-            ctx,
-            lambda line, j: F.concat(
-                number_prefix(ctx_first + j + 1),
-                F.when(ctx_first + j == li, highlight(line, start, end)).otherwise(line),
-            ),
-        ),
-        "\n",
-    )
+def _numbered_line(h: Column, index: Column) -> Column:
+    """``'%4d: ' + line`` for snippet line ``index`` of the window (null if outside)."""
+    line = F.get(h["ctx"], index - h["ctx_first"])
+    return F.when((index >= 0) & line.isNotNull(), F.concat(number_prefix(index + 1), line))
+
+
+def with_context(hits: DataFrame, context: int) -> DataFrame:
+    """Adds ``before``, ``after`` (numbered, joined) and ``sline`` to each hit line.
+
+    Computed once per hit line and shared by its matches.  For windows up to
+    ``UNROLL_LIMIT`` lines each side, every slot is a plain (compiled) expression."""
+    h = F.col("h")
+    li = h["li"]
+    if context <= UNROLL_LIMIT:
+        before = F.concat_ws("\n", *[_numbered_line(h, li - d) for d in range(context, 0, -1)])
+        after = F.concat_ws("\n", *[_numbered_line(h, li + d) for d in range(1, context + 1)])
+    else:
+        rel = li - h["ctx_first"]
+        numbered = lambda arr, first: F.array_join(
+            F.transform(arr, lambda x, j: F.concat(number_prefix(first + j + 1), x)), "\n"
+        )
+        before = numbered(F.slice(h["ctx"], 1, rel), h["ctx_first"])
+        after = numbered(F.slice(h["ctx"], rel + 2, F.greatest(F.size(h["ctx"]) - rel - 1, F.lit(0))), li + 1)
+    sline = F.get(h["ctx"], li - h["ctx_first"])
+    return hits.withColumn("before", before).withColumn("after", after).withColumn("sline", sline)
+
+
+def snippet_column(li: Column, nsl: Column, sline: Column, before: Column, after: Column, start: Column, end: Column) -> Column:
+    """The reference snippet: prepared context around the highlighted match line."""
+    marked = F.concat(number_prefix(li + 1), highlight(sline, start, end))
+    body = F.concat_ws("\n", F.nullif(before, F.lit("")), marked, F.nullif(after, F.lit("")))
     return F.when(li < nsl, body).otherwise(F.lit(SNIPPET_LINE_MISMATCH))
 
 
 def _finish(matches: DataFrame) -> DataFrame:
-    """matches(path, h: hit struct, k, start, matched) -> findings rows."""
-    h = F.col("h")
+    """matches(path, h, before, after, sline, start, matched) -> findings rows."""
+    li = F.col("h.li")
     start = F.col("start")
     end = start + F.length("matched")
     return matches.select(
         F.col("path").alias("file_path"),
-        (h["li"] + 1).cast("long").alias("line_number"),
+        (li + 1).cast("long").alias("line_number"),
         F.col("matched").alias("match_text"),
         start.cast("long").alias("char_start_in_line"),
         end.cast("long").alias("char_end_in_line"),
-        snippet_column(h["li"], start, end, h["ctx"], h["ctx_first"], h["nsl"]).alias("snippet"),
+        snippet_column(li, F.col("h.nsl"), F.col("sline"), F.col("before"), F.col("after"), start, end).alias("snippet"),
     )
 
 
@@ -171,13 +194,9 @@ def _lines(docs: DataFrame, lowered: bool) -> DataFrame:
     return docs.select(*cols)
 
 
-def _starts(pieces: Column, gaps: Column) -> Column:
-    """Start offsets of the matches between ``pieces`` (``gaps[k]`` = length of match k)."""
-    return F.transform(
-        gaps,
-        lambda _g, k: F.aggregate(F.slice(pieces, 1, k + 1), F.lit(0), lambda acc, x: acc + F.length(x))
-        + F.aggregate(F.slice(gaps, 1, k), F.lit(0), lambda acc, x: acc + x),
-    )
+def _prefix_length(pieces: Column, k: Column) -> Column:
+    """Total length of ``pieces[0..k]`` (compiled; no lambda)."""
+    return F.length(F.array_join(F.slice(pieces, 1, k + 1), ""))
 
 
 def native_literal(docs: DataFrame, query: Query) -> DataFrame:
@@ -196,12 +215,14 @@ def native_literal(docs: DataFrame, query: Query) -> DataFrame:
     probe = (lambda i: F.get(ll, i)) if lowered else None
     hits = lines.select("path", F.explode(_windows(hit_idx, ol, sl, query.context_lines, probe)).alias("h"))
     searched = F.col("h.probe") if lowered else F.col("h.line")
-    split = hits.select("path", "h", F.split(searched, java_literal(q), -1).alias("pieces"))
-    pieces = F.col("pieces")
-    gaps = F.array_repeat(F.lit(qlen), F.size(pieces) - 1)
-    matches = split.select("path", "h", F.explode(_starts(pieces, gaps)).alias("start")).withColumn(
-        "matched", F.col("h.line").substr(F.col("start") + 1, F.lit(qlen))
-    )
+    hits = with_context(hits, query.context_lines).withColumn("pieces", F.split(searched, java_literal(q), -1))
+    k = F.col("k")
+    matches = hits.select(
+        "path", "h", "before", "after", "sline", "pieces", F.explode(F.sequence(F.lit(0), F.size("pieces") - 2)).alias("k")
+    ).select(
+        "path", "h", "before", "after", "sline",
+        (_prefix_length(F.col("pieces"), k) + k * qlen).alias("start"),
+    ).withColumn("matched", F.col("h.line").substr(F.col("start") + 1, F.lit(qlen)))
     return _finish(matches)
 
 
@@ -216,16 +237,19 @@ def native_regex(docs: DataFrame, query: Query, java_pattern: str) -> DataFrame:
     hit_idx = F.filter(F.sequence(F.lit(0), F.size(ol) - 1), lambda i: F.get(ol, i).rlike(java_pattern))
     hits = lines.select("path", F.explode(_windows(hit_idx, ol, sl, query.context_lines)).alias("h"))
     line = F.col("h.line")
-    split = hits.select(
-        "path",
-        "h",
+    hits = with_context(hits, query.context_lines).select(
+        "path", "h", "before", "after", "sline",
         F.regexp_extract_all(line, F.lit(java_pattern), F.lit(0)).alias("found"),
         F.split(line, java_pattern, -1).alias("pieces"),
     )
-    found, pieces = F.col("found"), F.col("pieces")
-    gaps = F.transform(found, lambda m: F.length(m))
-    pairs = F.arrays_zip(_starts(pieces, gaps).alias("start"), found.alias("matched"))
-    matches = split.select("path", "h", F.explode(pairs).alias("m")).select(
-        "path", "h", F.col("m.start").alias("start"), F.col("m.matched").alias("matched")
+    k = F.col("k")
+    found = F.col("found")
+    matches = hits.select(
+        "path", "h", "before", "after", "sline", "found", "pieces",
+        F.explode(F.sequence(F.lit(0), F.size("found") - 1)).alias("k"),
+    ).select(
+        "path", "h", "before", "after", "sline",
+        (_prefix_length(F.col("pieces"), k) + F.length(F.array_join(F.slice(found, 1, k), ""))).alias("start"),
+        F.get(found, k).alias("matched"),
     )
     return _finish(matches)

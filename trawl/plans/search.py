@@ -17,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.regex_dialect import FOLD_SPECIAL_CLASS, java_line_pattern
+from trawl.functions.regex_dialect import FOLD_SPECIAL_CLASS, fold_sensitive, java_line_pattern
 from trawl.model import FINDING_COLUMNS, Query
 from trawl.operators.match import (
     JVM_ONLY_LOWER,
@@ -88,21 +88,27 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
     if not query.regex:
         needle = query.text if query.case_sensitive else query.text.lower()
         hay = text if query.case_sensitive else F.lower(text)
-        cand = spread(docs.where(hay.contains(needle)))
+        matching = docs.where(hay.contains(needle))
         if route(query) == "python":
-            return python_route(cand, query)
+            return python_route(spread(matching), query)
         if query.case_sensitive:
-            return native_literal(cand, query)
+            return native_literal(spread(matching), query)
+        # documents whose lower-casing shifts offsets (rare) take the Python route,
+        # unspread: one task is enough for them
         odd = text.contains(LENGTH_CHANGING_LOWER)
-        return native_literal(cand.where(~odd), query).unionByName(python_route(cand.where(odd), query))
+        return native_literal(spread(matching.where(~odd)), query).unionByName(
+            python_route(matching.where(odd), query)
+        )
     java = java_line_pattern(query)
     if java is None:
         return python_route(spread(docs), query)
     cand = spread(docs.where(text.rlike(java)))
-    if query.case_sensitive:
+    if not fold_sensitive(query):
         return native_regex(cand, query, java)
     odd = text.rlike(FOLD_SPECIAL_CLASS)
-    return native_regex(cand.where(~odd), query, java).unionByName(python_route(spread(docs.where(odd)), query))
+    return native_regex(spread(docs.where(text.rlike(java) & ~odd)), query, java).unionByName(
+        python_route(docs.where(odd), query)
+    )
 
 
 def search(corpus: DataFrame, query: Query, ordered: bool = True) -> DataFrame:
