@@ -107,15 +107,46 @@ def python_route(docs: DataFrame, query: Query) -> DataFrame:
     return docs.select("path", "text").mapInPandas(run, FINDING_SCHEMA)
 
 
+PY_FINDINGS_TYPE = (
+    "array<struct<line_number:bigint,match_text:string,char_start_in_line:bigint,"
+    "char_end_in_line:bigint,snippet:string>>"
+)
+
+
+def python_findings_udf(query: Query):
+    """Per-row Python findings as a column (Arrow-batched).  Fed ``NULL`` for every row
+    that the JVM handles, so only the rare rows that need Python cost anything."""
+    q = query
+
+    @F.pandas_udf(PY_FINDINGS_TYPE)
+    def findings_of(texts: pd.Series) -> pd.Series:
+        pattern = q.compiled() if q.regex else None
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            out.append(
+                [
+                    {"line_number": r[1], "match_text": r[2], "char_start_in_line": r[3], "char_end_in_line": r[4], "snippet": r[5]}
+                    for r in python_findings_of("", t, q, pattern)
+                ]
+            )
+        return pd.Series(out, dtype=object)
+
+    return findings_of
+
+
 # --------------------------------------------------------------------------- native
 
 
 UNROLL_LIMIT = 32  # context sizes up to this are built with unrolled, compiled expressions
 
 
-def _windows(hit_idx: Column, olines: Column, slines: Column, context: int, extra=None) -> Column:
+def _windows(hit_idx: Column, olines: Column, slines: Column, context: int, extra=None, py: Column | None = None) -> Column:
     """Per hit line: its index, its text and the ±context window of snippet lines
-    (a slice: one cheap step inside the lambda; numbering happens later, compiled)."""
+    (a slice: one cheap step inside the lambda; numbering happens later, compiled).
+    Index ``-1`` is the pseudo line of a document handled in Python (``py``)."""
     nsl = F.size(slines)
 
     def one(i):
@@ -130,6 +161,8 @@ def _windows(hit_idx: Column, olines: Column, slines: Column, context: int, extr
         ]
         if extra is not None:
             fields.append(extra(i).alias("probe"))
+        if py is not None:
+            fields.append(F.when(i < 0, py).alias("py"))
         return F.struct(*fields)
 
     return F.transform(hit_idx, one)
@@ -169,28 +202,40 @@ def snippet_column(li: Column, nsl: Column, sline: Column, before: Column, after
     return F.when(li < nsl, body).otherwise(F.lit(SNIPPET_LINE_MISMATCH))
 
 
-def _finish(matches: DataFrame) -> DataFrame:
-    """matches(path, h, before, after, sline, start, matched) -> findings rows."""
+def _finish(matches: DataFrame, with_py: bool = False) -> DataFrame:
+    """matches(path, h, before, after, sline, start, matched[, f]) -> findings rows;
+    rows of Python-handled documents carry their finished finding in ``f``."""
     li = F.col("h.li")
     start = F.col("start")
     end = start + F.length("matched")
-    return matches.select(
-        F.col("path").alias("file_path"),
-        (li + 1).cast("long").alias("line_number"),
-        F.col("matched").alias("match_text"),
-        start.cast("long").alias("char_start_in_line"),
-        end.cast("long").alias("char_end_in_line"),
-        snippet_column(li, F.col("h.nsl"), F.col("sline"), F.col("before"), F.col("after"), start, end).alias("snippet"),
-    )
+    cols = {
+        "line_number": (li + 1).cast("long"),
+        "match_text": F.col("matched"),
+        "char_start_in_line": start.cast("long"),
+        "char_end_in_line": end.cast("long"),
+        "snippet": snippet_column(li, F.col("h.nsl"), F.col("sline"), F.col("before"), F.col("after"), start, end),
+    }
+    if with_py:
+        f = F.col("f")
+        cols = {k: F.when(f.isNotNull(), f[k]).otherwise(v) for k, v in cols.items()}
+    return matches.select(F.col("path").alias("file_path"), *[v.alias(k) for k, v in cols.items()])
+
+
+def _occurrence_index(n: Column) -> Column:
+    """``0 .. n-1`` (empty for ``n <= 0``; ``sequence`` would count down)."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _lines(docs: DataFrame, lowered: bool) -> DataFrame:
+def _lines(docs: DataFrame, lowered: bool, odd: Column | None = None, query: Query | None = None) -> DataFrame:
     """Per document, the line arrays as columns (computed once, then referenced by
-    name inside lambdas: an expression inside a lambda is re-evaluated per element)."""
+    name inside lambdas: an expression inside a lambda is re-evaluated per element).
+    Documents flagged ``odd`` get their findings from Python in column ``py``."""
     text = F.col("text")
     cols = [F.col("path"), newline_lines(text).alias("ol"), splitlines(text).alias("sl")]
     if lowered:
         cols.append(newline_lines(F.lower(text)).alias("ll"))
+    if odd is not None:
+        cols += [odd.alias("odd"), python_findings_udf(query)(F.when(odd, text)).alias("py")]
     return docs.select(*cols)
 
 
@@ -199,57 +244,75 @@ def _prefix_length(pieces: Column, k: Column) -> Column:
     return F.length(F.array_join(F.slice(pieces, 1, k + 1), ""))
 
 
-def native_literal(docs: DataFrame, query: Query) -> DataFrame:
+def _hits(lines: DataFrame, hit_idx: Column, query: Query, probe=None, with_py: bool = False) -> DataFrame:
+    ol, sl = F.col("ol"), F.col("sl")
+    if with_py:
+        hit_idx = F.when(F.col("odd"), F.array(F.lit(-1))).otherwise(hit_idx)
+    windows = _windows(hit_idx, ol, sl, query.context_lines, probe, F.col("py") if with_py else None)
+    return with_context(lines.select("path", F.explode(windows).alias("h")), query.context_lines)
+
+
+def _explode_matches(hits: DataFrame, n: Column, extra: list, with_py: bool) -> DataFrame:
+    """One row per occurrence ``k`` of each hit line (or per Python finding)."""
+    base = ["path", "h", "before", "after", "sline"] + extra
+    if with_py:
+        n = F.when(F.col("h.py").isNotNull(), F.size("h.py")).otherwise(n)
+    out = hits.select(*base, F.explode(_occurrence_index(n)).alias("k"))
+    if with_py:
+        out = out.withColumn("f", F.when(F.col("h.py").isNotNull(), F.get(F.col("h.py"), F.col("k"))))
+    return out
+
+
+def native_literal(docs: DataFrame, query: Query, odd: Column | None = None) -> DataFrame:
     """Non-overlapping literal occurrences, found line by line on the JVM.
 
-    Requires that the query has no ``\\n`` and (case-insensitive) that lower-casing
-    keeps the length of the query and of the documents (the caller routes the rest).
+    Requires that the query has no ``\\n``.  Case-insensitive: documents where
+    lower-casing changes lengths must be flagged by ``odd``; they are answered by the
+    Python model in the same pass (no second scan).
     """
     q = query.text if query.case_sensitive else query.text.lower()
     qlen = len(query.text)
     lowered = not query.case_sensitive
-    lines = _lines(docs, lowered)
-    ol, sl = F.col("ol"), F.col("sl")
+    with_py = odd is not None
+    lines = _lines(docs, lowered, odd, query)
+    ol = F.col("ol")
     ll = F.col("ll") if lowered else ol
     hit_idx = F.filter(F.sequence(F.lit(0), F.size(ol) - 1), lambda i: F.get(ll, i).contains(q))
     probe = (lambda i: F.get(ll, i)) if lowered else None
-    hits = lines.select("path", F.explode(_windows(hit_idx, ol, sl, query.context_lines, probe)).alias("h"))
+    hits = _hits(lines, hit_idx, query, probe, with_py)
     searched = F.col("h.probe") if lowered else F.col("h.line")
-    hits = with_context(hits, query.context_lines).withColumn("pieces", F.split(searched, java_literal(q), -1))
+    hits = hits.withColumn("pieces", F.split(searched, java_literal(q), -1))
     k = F.col("k")
-    matches = hits.select(
-        "path", "h", "before", "after", "sline", "pieces", F.explode(F.sequence(F.lit(0), F.size("pieces") - 2)).alias("k")
-    ).select(
-        "path", "h", "before", "after", "sline",
+    matches = _explode_matches(hits, F.size("pieces") - 1, ["pieces"], with_py).select(
+        "path", "h", "before", "after", "sline", *(["f"] if with_py else []),
         (_prefix_length(F.col("pieces"), k) + k * qlen).alias("start"),
     ).withColumn("matched", F.col("h.line").substr(F.col("start") + 1, F.lit(qlen)))
-    return _finish(matches)
+    return _finish(matches, with_py)
 
 
-def native_regex(docs: DataFrame, query: Query, java_pattern: str) -> DataFrame:
+def native_regex(docs: DataFrame, query: Query, java_pattern: str, odd: Column | None = None) -> DataFrame:
     """Regex occurrences for line-safe patterns (cannot match ``\\n`` or the empty string).
 
     ``regexp_extract_all`` gives the matched texts and ``split`` the text between
-    them; both scan left to right with the same engine, so they pair up.
+    them; both scan left to right with the same engine, so they pair up.  Documents
+    flagged ``odd`` are answered by Python in the same pass.
     """
-    lines = _lines(docs, False)
-    ol, sl = F.col("ol"), F.col("sl")
+    with_py = odd is not None
+    lines = _lines(docs, False, odd, query)
+    ol = F.col("ol")
     hit_idx = F.filter(F.sequence(F.lit(0), F.size(ol) - 1), lambda i: F.get(ol, i).rlike(java_pattern))
-    hits = lines.select("path", F.explode(_windows(hit_idx, ol, sl, query.context_lines)).alias("h"))
+    hits = _hits(lines, hit_idx, query, None, with_py)
     line = F.col("h.line")
-    hits = with_context(hits, query.context_lines).select(
+    hits = hits.select(
         "path", "h", "before", "after", "sline",
         F.regexp_extract_all(line, F.lit(java_pattern), F.lit(0)).alias("found"),
         F.split(line, java_pattern, -1).alias("pieces"),
     )
     k = F.col("k")
     found = F.col("found")
-    matches = hits.select(
-        "path", "h", "before", "after", "sline", "found", "pieces",
-        F.explode(F.sequence(F.lit(0), F.size("found") - 1)).alias("k"),
-    ).select(
-        "path", "h", "before", "after", "sline",
+    matches = _explode_matches(hits, F.size("found"), ["found", "pieces"], with_py).select(
+        "path", "h", "before", "after", "sline", *(["f"] if with_py else []),
         (_prefix_length(F.col("pieces"), k) + F.length(F.array_join(F.slice(found, 1, k), ""))).alias("start"),
         F.get(found, k).alias("matched"),
     )
-    return _finish(matches)
+    return _finish(matches, with_py)

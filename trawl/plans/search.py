@@ -93,12 +93,9 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
             return python_route(spread(matching), query)
         if query.case_sensitive:
             return native_literal(spread(matching), query)
-        # documents whose lower-casing shifts offsets (rare) take the Python route,
-        # unspread: one task is enough for them
-        odd = text.contains(LENGTH_CHANGING_LOWER)
-        return native_literal(spread(matching.where(~odd)), query).unionByName(
-            python_route(matching.where(odd), query)
-        )
+        # documents whose lower-casing shifts offsets (rare) are answered by the
+        # Python model inside the same pass
+        return native_literal(spread(matching), query, odd=text.contains(LENGTH_CHANGING_LOWER))
     java = java_line_pattern(query)
     if java is None:
         return python_route(spread(docs), query)
@@ -106,9 +103,7 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
     if not fold_sensitive(query):
         return native_regex(cand, query, java)
     odd = text.rlike(FOLD_SPECIAL_CLASS)
-    return native_regex(spread(docs.where(text.rlike(java) & ~odd)), query, java).unionByName(
-        python_route(docs.where(odd), query)
-    )
+    return native_regex(spread(docs.where(text.rlike(java) | odd)), query, java, odd=odd)
 
 
 def search(corpus: DataFrame, query: Query, ordered: bool = True) -> DataFrame:
