@@ -200,3 +200,23 @@ def test_fold_sensitive_patterns_route_special_documents(corpus):
     for pat in ["[J-L]", "[H-J]", "k", "[a-z]+"]:
         q = Query(pat, regex=True)
         assert rows(search(corpus(files), q)) == model(files, q), pat
+
+
+def test_required_literal_and_one_sided_boundaries():
+    from trawl.functions.regex_dialect import required_literal
+
+    assert required_literal(Query(r"\bQu\w+", regex=True)) == "qu"
+    assert required_literal(Query(r"ab(c|d)efg", regex=True, case_sensitive=True)) == "efg"
+    assert required_literal(Query(r"(?=x)", regex=True)) is None
+    assert required_literal(Query("é+x", regex=True)) is None  # non-ASCII under IGNORECASE
+    j = java_line_pattern(Query(r"\bword\b", regex=True, case_sensitive=True))
+    assert "(?<=" not in j and "(?<!" in j and "(?!" in j
+
+
+def test_folded_letters_still_found_by_prefilter(corpus):
+    # long s and dotless/dotted i match ASCII letters under IGNORECASE; the literal
+    # prefilter must not drop such documents
+    files = {"/f.txt": "ſub line\nİt is\nqıx", "/g.txt": "nothing"}
+    for pat in [r"sub", r"\bit\b", r"q[a-z]x", r"qix"]:
+        q = Query(pat, regex=True)
+        assert rows(search(corpus(files), q)) == model(files, q), pat

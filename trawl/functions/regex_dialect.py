@@ -37,6 +37,12 @@ FOLD_SPECIAL_CLASS = r"[\u212A\u0130]"
 UPPER_FIRST, UPPER_LAST = ord("A"), ord("Z")
 
 
+# The non-ASCII characters that IGNORECASE matches to an ASCII letter and
+# that lower() does not turn into that letter (checked over all code points).
+FOLD_TO_ASCII_FROM = "\u0130\u0131\u017F"
+FOLD_TO_ASCII_TO = "iis"
+
+
 class _Unsafe(Exception):
     pass
 
@@ -97,9 +103,45 @@ def _boundary(negated: bool) -> str:
     return f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
 
 
+def _is_word_token(tok) -> bool:
+    """A token that always consumes one word character (so ``\\b`` next to it is one-sided)."""
+    op, av = tok
+    if op is C.LITERAL:
+        ch = chr(av)
+        return ch.isalnum() or ch == "_"
+    if op is C.IN:
+        items = [x for x in av if x[0] is not C.NEGATE]
+        if len(items) != len(av) or not items:
+            return False
+        for iop, iav in items:
+            if iop is C.CATEGORY and iav is C.CATEGORY_WORD:
+                continue
+            if iop is C.LITERAL and (chr(iav).isalnum() or chr(iav) == "_"):
+                continue
+            if iop is C.RANGE and all(chr(c).isalnum() for c in (iav[0], iav[1])) and (
+                iav[1] - iav[0] < 26 and (chr(iav[0]).isdigit() == chr(iav[1]).isdigit())
+            ):
+                continue
+            return False
+        return True
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT) and av[0] >= 1:
+        sub = list(av[2])
+        return bool(sub) and _is_word_token(sub[0]) and len(sub) == 1
+    return False
+
+
 def _seq(tokens, ascii_only: bool) -> str:
     out = []
-    for op, av in tokens:
+    tokens = list(tokens)
+    for pos, (op, av) in enumerate(tokens):
+        nxt = tokens[pos + 1] if pos + 1 < len(tokens) else None
+        prv = tokens[pos - 1] if pos > 0 else None
+        if op is C.AT and av is C.AT_BOUNDARY and (nxt is not None and _is_word_token(nxt)):
+            out.append(f"(?<![{WORD}])")  # a word character follows: only the left side matters
+            continue
+        if op is C.AT and av is C.AT_BOUNDARY and (prv is not None and _is_word_token(prv)):
+            out.append(f"(?![{WORD}])")
+            continue
         if op is C.LITERAL:
             if av == NL or (ascii_only and av > 127):
                 raise _Unsafe
@@ -141,6 +183,40 @@ def _seq(tokens, ascii_only: bool) -> str:
     return "".join(out)
 
 
+def required_literal(query: Query) -> str | None:
+    """The longest run of literal characters that every match must contain (top-level
+    only), lower-cased for case-insensitive queries; ``None`` if there is none usable."""
+    if not query.regex:
+        return None
+    try:
+        parsed = P.parse(query.text, 0 if query.case_sensitive else 2)
+    except Exception:
+        return None
+    best, run = "", ""
+    for op, av in parsed:
+        if op is C.LITERAL:
+            run += chr(av)
+            best = max(best, run, key=len)
+        else:
+            run = ""
+    if not best:
+        return None
+    if not query.case_sensitive:
+        if not best.isascii():
+            return None
+        best = best.lower()
+    return best
+
+
+def literal_probe(text, query: Query):
+    """The column to test a required literal against (case-folded for ci queries)."""
+    from pyspark.sql import functions as F
+
+    if query.case_sensitive:
+        return text
+    return F.lower(F.translate(text, FOLD_TO_ASCII_FROM, FOLD_TO_ASCII_TO))
+
+
 def fold_sensitive(query: Query) -> bool:
     """Case-insensitive pattern with a range reaching into A-Z (see FOLD_SPECIAL_CLASS)."""
     if query.case_sensitive or not query.regex:

@@ -290,7 +290,9 @@ def native_literal(docs: DataFrame, query: Query, odd: Column | None = None) ->
     return _finish(matches, with_py)
 
 
-def native_regex(docs: DataFrame, query: Query, java_pattern: str, odd: Column | None = None) -> DataFrame:
+def native_regex(
+    docs: DataFrame, query: Query, java_pattern: str, odd: Column | None = None, must: str | None = None
+) -> DataFrame:
     """Regex occurrences for line-safe patterns (cannot match ``\\n`` or the empty string).
 
     ``regexp_extract_all`` gives the matched texts and ``split`` the text between
@@ -300,7 +302,18 @@ def native_regex(docs: DataFrame, query: Query, java_pattern: str, odd: Column |
     with_py = odd is not None
     lines = _lines(docs, False, odd, query)
     ol = F.col("ol")
-    hit_idx = F.filter(F.sequence(F.lit(0), F.size(ol) - 1), lambda i: F.get(ol, i).rlike(java_pattern))
+    if must:
+        from trawl.functions.regex_dialect import literal_probe
+
+        def line_hit(i):
+            line = F.get(ol, i)
+            return literal_probe(line, query).contains(must) & line.rlike(java_pattern)
+    else:
+
+        def line_hit(i):
+            return F.get(ol, i).rlike(java_pattern)
+
+    hit_idx = F.filter(F.sequence(F.lit(0), F.size(ol) - 1), line_hit)
     hits = _hits(lines, hit_idx, query, None, with_py)
     line = F.col("h.line")
     hits = hits.select(

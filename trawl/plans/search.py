@@ -17,7 +17,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.regex_dialect import FOLD_SPECIAL_CLASS, fold_sensitive, java_line_pattern
+from trawl.functions.regex_dialect import (
+    FOLD_SPECIAL_CLASS,
+    fold_sensitive,
+    java_line_pattern,
+    literal_probe,
+    required_literal,
+)
 from trawl.model import FINDING_COLUMNS, Query
 from trawl.operators.match import (
     JVM_ONLY_LOWER,
@@ -97,13 +103,22 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
         # Python model inside the same pass
         return native_literal(spread(matching), query, odd=text.contains(LENGTH_CHANGING_LOWER))
     java = java_line_pattern(query)
+    must = required_literal(query)
+    # a literal every match contains is a cheap document test (compiled `contains`);
+    # the regex itself then only runs on candidate documents, after spreading
+    if must:
+        cand = docs.where(literal_probe(text, query).contains(must))
+    elif java is not None:
+        cand = docs.where(text.rlike(java))
+    else:
+        cand = docs
     if java is None:
-        return python_route(spread(docs), query)
-    cand = spread(docs.where(text.rlike(java)))
+        return python_route(spread(cand), query)
     if not fold_sensitive(query):
-        return native_regex(cand, query, java)
+        return native_regex(spread(cand), query, java, must=must)
     odd = text.rlike(FOLD_SPECIAL_CLASS)
-    return native_regex(spread(docs.where(text.rlike(java) | odd)), query, java, odd=odd)
+    wider = docs.where(literal_probe(text, query).contains(must) | odd) if must else docs.where(text.rlike(java) | odd)
+    return native_regex(spread(wider), query, java, odd=odd, must=must)
 
 
 def search(corpus: DataFrame, query: Query, ordered: bool = True) -> DataFrame:
