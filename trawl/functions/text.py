@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 SPLITLINES_PATTERN = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 
 
-def splitlines(text: Column) -> Column:
-    """``text.splitlines()``: split on every line boundary, drop one empty tail piece."""
-    pieces = F.split(text, SPLITLINES_PATTERN, -1)
+# Line boundaries other than "\n" (if a text has none, its lines are its "\n" pieces).
+OTHER_BOUNDARIES = r"[\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+
+
+def _drop_empty_tail(pieces: Column) -> Column:
     return F.when(F.element_at(pieces, -1) == F.lit(""), F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
+def splitlines(text: Column, newline_pieces: Column | None = None) -> Column:
+    """``text.splitlines()``: split on every line boundary, drop one empty tail piece.
+
+    With ``newline_pieces`` (the text split on ``\n``) the regex split is only done
+    for texts that hold another boundary character."""
+    full = _drop_empty_tail(F.split(text, SPLITLINES_PATTERN, -1))
+    if newline_pieces is None:
+        return full
+    return F.when(text.rlike(OTHER_BOUNDARIES), full).otherwise(_drop_empty_tail(newline_pieces))
+
+
 def newline_lines(text: Column) -> Column:
     """Lines as numbered by match positions: pieces between ``\\n`` characters only."""
     return F.split(text, "\n", -1)

@@ -231,7 +231,8 @@ def _lines(docs: DataFrame, lowered: bool, odd: Column | None = None, query: Que
     name inside lambdas: an expression inside a lambda is re-evaluated per element).
     Documents flagged ``odd`` get their findings from Python in column ``py``."""
     text = F.col("text")
-    cols = [F.col("path"), newline_lines(text).alias("ol"), splitlines(text).alias("sl")]
+    ol = newline_lines(text)
+    cols = [F.col("path"), ol.alias("ol"), splitlines(text, ol).alias("sl")]
     if lowered:
         cols.append(newline_lines(F.lower(text)).alias("ll"))
     if odd is not None:
