@@ -236,13 +236,19 @@ def required_literal(query: Query) -> str | None:
     return best
 
 
-def literal_probe(text, query: Query):
-    """The column to test a required literal against (case-folded for ci queries)."""
+def literal_test(text, query: Query, must: str):
+    """A cheap test that is true for every text holding a match (``must`` comes from
+    :func:`required_literal`).  Case-insensitive: ``lower(text)`` contains it, or the
+    text holds one of the few characters that fold onto a letter of it."""
     from pyspark.sql import functions as F
 
     if query.case_sensitive:
-        return text
-    return F.lower(F.translate(text, FOLD_TO_ASCII_FROM, FOLD_TO_ASCII_TO))
+        return text.contains(must)
+    test = F.lower(text).contains(must)
+    for src, dst in zip(FOLD_TO_ASCII_FROM, FOLD_TO_ASCII_TO):
+        if dst in must:
+            test = test | text.contains(src)
+    return test
 
 
 def fold_sensitive(query: Query) -> bool:

@@ -304,11 +304,11 @@ def native_regex(
     lines = _lines(docs, False, odd, query)
     ol = F.col("ol")
     if must:
-        from trawl.functions.regex_dialect import literal_probe
+        from trawl.functions.regex_dialect import literal_test
 
         def line_hit(i):
             line = F.get(ol, i)
-            return literal_probe(line, query).contains(must) & line.rlike(java_pattern)
+            return literal_test(line, query, must) & line.rlike(java_pattern)
     else:
 
         def line_hit(i):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.regex_dialect import (
     java_line_pattern,
-    literal_probe,
+    literal_test,
     required_literal,
 )
 from trawl.model import FINDING_COLUMNS, Query
@@ -105,7 +105,7 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
     # a literal every match contains is a cheap document test (compiled `contains`);
     # the regex itself then only runs on candidate documents, after spreading
     if must:
-        cand = docs.where(literal_probe(text, query).contains(must))
+        cand = docs.where(literal_test(text, query, must))
     elif java is not None:
         cand = docs.where(text.rlike(java))
     else:
