@@ -501,3 +501,27 @@ def search_stream(spark, sf_dir):
         spark, sf_dir, schema, lambda raw: raw.select(tables.document_path().alias("path"), "text"), glob="documents.parquet"
     )
     return run_until_caught_up(docs, _LICENSE, f"{base}/findings", f"{base}/_checkpoint")
+
+
+# ---------------------------------------------------------------- query batches
+from trawl import search_many  # noqa: E402
+
+BATCH = [Query("license"), Query("The", case_sensitive=True), Query(r"qu[a-z]+", regex=True, case_sensitive=True)]
+
+
+@register(
+    "search_batch",
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS query_id, {O.FINDING_SELECT} FROM ({sql}) f{i}"
+        for i, sql in enumerate(
+            [
+                O.literal_search("documents", "license"),
+                O.literal_search("documents", "The", True),
+                O.line_regex_search("documents", r"qu[a-z]+", True),
+            ]
+        )
+    ),
+)
+def search_batch(spark, sf_dir):
+    """Several queries over one corpus, tagged with their position in the batch."""
+    return search_many(tables.documents(spark, sf_dir), BATCH)
