@@ -223,8 +223,9 @@ def finding_lookup(spark, sf_dir):
     f"FROM ({O.literal_search('documents', 'the')}) f",
 )
 def report_file_headers(spark, sf_dir):
-    found = search(tables.documents(spark, sf_dir), Query("the"), ordered=False)
-    return R.with_file_headers(found.select(*R.ORDER)).select(*R.ORDER, "new_file")
+    """A2 on the materialized report (the search runs once)."""
+    report = R.with_finding_ids(search(tables.documents(spark, sf_dir), Query("the"), ordered=False))
+    return R.with_file_headers(report.select(*R.ORDER)).select(*R.ORDER, "new_file")
 
 
 @register("finding_markdown", O.markdown_blocks(_LICENSE_SQL))

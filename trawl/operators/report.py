@@ -36,10 +36,15 @@ MD_TITLE = "# Code Search Results"
 
 
 def with_finding_ids(findings: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Add ``finding_id`` (0-based, consecutive, in report order)."""
-    ordered = findings.orderBy(*ORDER)
+    """Add ``finding_id`` (0-based, consecutive, in report order).
+
+    The findings are written once before sorting: a range sort samples its input in a
+    separate job, which would otherwise run the whole search a second time."""
     if checkpoint:
         checkpoint_dir(findings.sparkSession)
+        findings = findings.checkpoint(eager=True)
+    ordered = findings.orderBy(*ORDER)
+    if checkpoint:
         ordered = ordered.checkpoint(eager=True)
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").count().orderBy("_pid").collect()  # one row per partition
@@ -89,7 +94,8 @@ def with_file_headers(findings: DataFrame) -> DataFrame:
     """A2: ``new_file`` is true on the first finding of each file in report order.
 
     Joined on (file, line, column), which is unique per finding, so a file with many
-    findings does not make a skewed join key."""
+    findings does not make a skewed join key.  ``findings`` is read twice: pass a
+    materialized report (e.g. from :func:`with_finding_ids`), not a fresh search."""
     firsts = file_firsts(findings).withColumn("new_file", F.lit(True))
     return findings.join(firsts, on=ORDER, how="left").withColumn("new_file", F.coalesce("new_file", F.lit(False)))
 
