@@ -129,3 +129,24 @@ def test_read_report(corpus, spark, tmp_path):
     q.write_text('{"a": 1}')
     st = {r.report.rsplit("/", 1)[-1]: r.is_list for r in report_status(spark, str(tmp_path / "*.json")).collect()}
     assert st == {"report.json": True, "object.json": False}
+
+
+def test_rows_append_only_and_compaction(corpus, spark, tmp_path):
+    import os
+
+    c1 = corpus(FILES, {"/w/a.txt": 1.0, "/w/b.txt": 2.0})
+    c2 = corpus(FILES, {"/w/a.txt": 1.0, "/w/b.txt": 3.0})  # b edited
+    q = Query("alpha")
+    table = C.ResultTable(spark, str(tmp_path / "t"))
+    first = sorted(tuple(r) for r in C.cached_search(c1, q, table, now=dt.datetime(2026, 1, 1)).collect())
+    second = sorted(tuple(r) for r in C.cached_search(c2, q, table, now=dt.datetime(2026, 1, 2)).collect())
+    assert first == second
+    batches = sorted(os.listdir(tmp_path / "t" / "search" / "rows"))
+    assert [b for b in batches if b.startswith("batch=")] == ["batch=000001", "batch=000002"]
+    table.compact()
+    left = [b for b in os.listdir(tmp_path / "t" / "search" / "rows") if b.startswith("batch=")]
+    assert left == ["batch=000003"]
+    # the compacted table still answers every file from storage, with the same findings
+    assert all(r.hit for r in C.lookup_keys(c2, q, table, now=dt.datetime(2026, 1, 3)).collect())
+    again = sorted(tuple(r) for r in C.cached_search(c2, q, table, now=dt.datetime(2026, 1, 3)).collect())
+    assert again == second

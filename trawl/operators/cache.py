@@ -1,15 +1,18 @@
 """Result tables: the original tool's key/value result cache, as versioned Parquet tables.
 
 A result table lives in a folder (by default under the session's shared
-``spark.checkpoint.dir``) with one sub-folder per committed version::
+``spark.checkpoint.dir``)::
 
-    <base>/<op>/v=000007/entries   key, op, file_path, mtime, stored_at, expires_at, bytes
-    <base>/<op>/v=000007/rows      key + result columns (findings, elaborations)
+    <base>/<op>/rows/batch=000007/   key + result columns, written once by commit 7
+    <base>/<op>/v=000007/entries     key, op, file_path, mtime, stored_at, expires_at, bytes, batch
 
-A commit writes a new version next to the old one; readers of the old version are
-never disturbed, and the newest version whose ``entries`` has a ``_SUCCESS`` marker is
-current.  Keys are per file (search) or per finding (elaboration), so a changed
-file only invalidates its own results.
+Rows are append-only: a commit writes only the rows it computed, in a new batch
+folder, and then a new version of the (small) ``entries`` table, whose ``_SUCCESS``
+marker makes the commit visible.  An entry names the batch that holds its rows, so a
+key stored again later never picks up stale rows; rows without a live entry are
+invisible and are dropped by :meth:`ResultTable.compact`.  Readers of an older version
+are never disturbed.  Keys are per file (search) or per finding (elaboration), so a
+changed file only invalidates its own results.
 
 Lookups are joins: hits are a ``left_semi`` and misses a ``left_anti`` join of the
 requested keys against live entries.  A failure to read the table never fails the
@@ -37,7 +40,7 @@ DEFAULT_TTL_SECONDS = 7 * 24 * 60 * 60
 DEFAULT_SIZE_LIMIT_BYTES = 100 * 1024 * 1024
 
 SEP = "\u001f"
-ENTRY_COLUMNS = ["key", "op", "file_path", "mtime", "stored_at", "expires_at", "bytes"]
+ENTRY_COLUMNS = ["key", "op", "file_path", "mtime", "stored_at", "expires_at", "bytes", "batch"]
 
 
 def mtime_micros(mtime: Column) -> Column:
@@ -124,17 +127,22 @@ class ResultTable:
         vs = self.versions()
         if version is None and not vs:
             return self.spark.createDataFrame(
-                [], "key string, op string, file_path string, mtime double, stored_at timestamp, expires_at timestamp, bytes bigint"
+                [],
+                "key string, op string, file_path string, mtime double, stored_at timestamp, "
+                "expires_at timestamp, bytes bigint, batch int",
             )
         v = vs[-1] if version is None else version
         return self.spark.read.parquet(f"{self._dir(v)}/entries")
 
-    def rows(self, version: int | None = None) -> DataFrame | None:
-        vs = self.versions()
-        if version is None and not vs:
+    def rows(self, entries: DataFrame | None = None) -> DataFrame | None:
+        """Stored rows of the given (default: current) entries."""
+        fs, _root = self._fs()
+        rows_dir = f"{self.root}/rows"
+        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(rows_dir)):
             return None
-        v = vs[-1] if version is None else version
-        return self.spark.read.parquet(f"{self._dir(v)}/rows")
+        stored = self.spark.read.parquet(rows_dir)
+        ent = self.entries() if entries is None else entries
+        return stored.join(ent.select("key", "batch"), ["key", "batch"], "left_semi").drop("batch")
 
     def live_keys(self, now: Column) -> DataFrame | None:
         """Keys of entries that have not expired; ``None`` if the table cannot be read."""
@@ -144,15 +152,19 @@ class ResultTable:
             log.warning("result table %s unreadable, treating all keys as misses: %s", self.root, exc)
             return None
 
-    def commit(self, entries: DataFrame, rows: DataFrame, extra: dict[str, DataFrame] | None = None) -> int:
-        """Write a new version (rows first, entries last: its marker commits)."""
+    def commit(self, entries: DataFrame, new_rows: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> int:
+        """Write the new rows as a batch, then the new entries version (its marker
+        commits).  Entries without a ``batch`` get this commit's batch."""
         vs = self.versions()
         v = (vs[-1] + 1) if vs else 1
-        d = self._dir(v)
-        rows.write.mode("overwrite").parquet(f"{d}/rows")
+        if new_rows is not None:
+            new_rows.write.mode("overwrite").parquet(f"{self.root}/rows/batch={v:06d}")
         for name, df in (extra or {}).items():
-            df.write.mode("overwrite").parquet(f"{d}/{name}")
-        entries.select(*ENTRY_COLUMNS).write.mode("overwrite").parquet(f"{d}/entries")
+            df.write.mode("overwrite").parquet(f"{self._dir(v)}/{name}")
+        batch = F.coalesce(F.col("batch"), F.lit(v)) if "batch" in entries.columns else F.lit(v)
+        entries.withColumn("batch", batch.cast("int")).select(*ENTRY_COLUMNS).write.mode("overwrite").parquet(
+            f"{self._dir(v)}/entries"
+        )
         self._prune(vs + [v])
         return v
 
@@ -161,6 +173,22 @@ class ResultTable:
         for old in vs[: -self.keep_versions]:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._dir(old)), True)
 
+    def compact(self) -> int:
+        """Rewrite the live rows into one batch and drop every older batch folder."""
+        vs = self.versions()
+        if not vs:
+            return 0
+        ent = self.entries(vs[-1])
+        live = self.rows(ent)
+        v = self.commit(ent.drop("batch"), live)
+        fs, _root = self._fs()
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path
+        for st in fs.listStatus(jpath(f"{self.root}/rows")):
+            name = st.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) < v:
+                fs.delete(st.getPath(), True)
+        return v
+
     # ------------------------------------------------------------------ maintenance
 
     def evict(self, entries: DataFrame) -> DataFrame:
@@ -175,9 +203,7 @@ class ResultTable:
             return 0
         old = self.entries(vs[-1])
         before = old.count()
-        kept = old.join(keys.select("key"), "key", "left_anti")
-        rows = self.rows(vs[-1]).join(kept.select("key"), "key", "left_semi")
-        self.commit(kept, rows)
+        self.commit(old.join(keys.select("key"), "key", "left_anti"))
         return before - self.entries().count()
 
     def clear(self) -> int:
@@ -187,7 +213,7 @@ class ResultTable:
             return 0
         old = self.entries(vs[-1])
         n = old.count()
-        self.commit(old.limit(0), self.rows(vs[-1]).limit(0))
+        self.commit(old.limit(0))
         return n
 
 
@@ -220,7 +246,6 @@ def cached_search(
         "path", "text", "mtime", file_key(table.op, query.params(), F.col("path"), F.col("mtime")).alias("key")
     )
     live = table.live_keys(t)
-    old_rows = table.rows() if live is not None else None
     misses = keyed if live is None else keyed.join(live, "key", "left_anti")
 
     # The search treats ``path`` as an opaque label: carrying the key inside it keeps
@@ -241,20 +266,17 @@ def cached_search(
         .join(sizes, "key", "left")
         .select(
             "key", "op", "file_path", "mtime", t.alias("stored_at"), _expiry(t, table.ttl_seconds).alias("expires_at"),
-            F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"),
+            F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), F.lit(None).cast("int").alias("batch"),
         )
     )
     if live is None:
-        kept_entries, kept_rows = new_entries, new_rows
+        kept_entries = new_entries
     else:
-        old_live = table.entries().join(live, "key", "left_semi")
-        kept_entries = old_live.unionByName(new_entries)
-        kept_rows = (old_rows.unionByName(new_rows) if old_rows is not None else new_rows)
+        kept_entries = table.entries().join(live, "key", "left_semi").unionByName(new_entries)
     kept_entries = table.evict(kept_entries)
     try:
-        table.commit(kept_entries, kept_rows.join(kept_entries.select("key"), "key", "left_semi"))
-        stored = table.rows()
-        return stored.join(keyed.select("key"), "key", "left_semi").select(*FINDING_COLUMNS)
+        table.commit(kept_entries, new_rows)  # only the new rows are written
+        return table.rows().join(keyed.select("key"), "key", "left_semi").select(*FINDING_COLUMNS)
     except Exception as exc:  # noqa: BLE001 - C10: a failed store never fails the search
         log.warning("could not store results in %s: %s", table.root, exc)
         return find(corpus, query).select(*FINDING_COLUMNS)
@@ -311,19 +333,18 @@ def cached_elaborate(
     new_entries = ok.select(
         "key", F.lit(table.op).alias("op"), "file_path", F.col("source_mtime").alias("mtime"), t.alias("stored_at"),
         _expiry(t, table.ttl_seconds).alias("expires_at"), (F.length("elaboration") + 32).cast("long").alias("bytes"),
+        F.lit(None).cast("int").alias("batch"),
     ).dropDuplicates(["key"])
     new_rows = ok.select("key", "elaboration").dropDuplicates(["key"])
     if live is None:
-        kept_entries, kept_rows = new_entries, new_rows
+        kept_entries = new_entries
     else:
         kept_entries = table.entries().join(live, "key", "left_semi").unionByName(new_entries)
-        old_rows = table.rows()
-        kept_rows = old_rows.unionByName(new_rows) if old_rows is not None else new_rows
     kept_entries = table.evict(kept_entries)
     errors = fresh.where(F.col("status") != "ok").select("finding_id", "elaboration", "status")
-    table.commit(kept_entries, kept_rows.join(kept_entries.select("key"), "key", "left_semi"), {"errors": errors})
+    table.commit(kept_entries, new_rows, {"errors": errors})
     v = table.versions()[-1]
-    stored = table.spark.read.parquet(f"{table._dir(v)}/rows")
+    stored = table.rows()
     hits = keyed.join(stored, "key", "inner").select("finding_id", "elaboration", F.lit("ok").alias("status"))
     errs = table.spark.read.parquet(f"{table._dir(v)}/errors").withColumn("from_cache", F.lit(False))
     # a finding elaborated in this run is marked as not from the cache
