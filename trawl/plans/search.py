@@ -23,6 +23,7 @@ from trawl.functions.regex_dialect import (
     required_literal,
 )
 from trawl.model import FINDING_COLUMNS, Query
+from trawl.session import checkpoint_dir
 from trawl.operators.match import (
     JVM_ONLY_LOWER,
     JVM_ONLY_LOWERED,
@@ -116,9 +117,16 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
 
 
 def search(corpus: DataFrame, query: Query, ordered: bool = True) -> DataFrame:
-    """Findings in report order (path, line, column) unless ``ordered=False``."""
+    """Findings in report order (path, line, column) unless ``ordered=False``.
+
+    Ordering writes the findings once to the shared checkpoint folder and sorts that
+    copy: a range sort samples its input in a separate job, which would otherwise run
+    the whole search twice.  (So ``ordered=True`` starts a job right away.)"""
     found = find(corpus, query).select(*FINDING_COLUMNS)
-    return found.orderBy(*ORDER) if ordered else found
+    if not ordered or found.isStreaming:
+        return found
+    checkpoint_dir(found.sparkSession)
+    return found.checkpoint(eager=True).orderBy(*ORDER)
 
 
 def search_many(corpus: DataFrame, queries: Iterable[Query], ordered: bool = False) -> DataFrame:
