@@ -150,3 +150,28 @@ def test_rows_append_only_and_compaction(corpus, spark, tmp_path):
     assert all(r.hit for r in C.lookup_keys(c2, q, table, now=dt.datetime(2026, 1, 3)).collect())
     again = sorted(tuple(r) for r in C.cached_search(c2, q, table, now=dt.datetime(2026, 1, 3)).collect())
     assert again == second
+
+
+def test_search_many_mixed_batch_one_pass(corpus, spark):
+    files = {
+        "/m/a.txt": "İstanbul alpha\nalpha beta ALPHA\nsecond line",
+        "/m/b.txt": "gamma alpha\n\nquick quack\nend",
+        "/m/c.txt": "no hits here",
+    }
+    qs = [
+        Query("alpha", context_lines=1),
+        Query("ALPHA", case_sensitive=True, context_lines=0),
+        Query(r"\bqu\w+", regex=True, context_lines=2),
+        Query(r"a\nb", regex=True),  # Python route, own branch
+        Query(""),
+        Query("beta", context_lines=5),
+    ]
+    got = search_many(corpus(files), qs).collect()
+    for i, q in enumerate(qs):
+        exp = []
+        for p, t in files.items():
+            exp.extend(python_findings_of(p, t, q, q.compiled() if q.regex else None))
+        assert sorted(tuple(r)[1:] for r in got if r.query_id == i) == sorted(exp), q
+    # the three JVM-routed queries share one scan of the corpus
+    plan = search_many(corpus(files), qs[:3])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1

@@ -130,13 +130,24 @@ def search(corpus: DataFrame, query: Query, ordered: bool = True) -> DataFrame:
 
 
 def search_many(corpus: DataFrame, queries: Iterable[Query], ordered: bool = False) -> DataFrame:
-    """Several queries over one corpus; adds ``query_id`` (position in ``queries``)."""
-    parts = [
-        find(corpus, q).select(F.lit(i).cast("long").alias("query_id"), *FINDING_COLUMNS)
-        for i, q in enumerate(queries)
-    ]
-    if not parts:
+    """Several queries over one corpus; adds ``query_id`` (position in ``queries``).
+
+    Queries the JVM answers (literals, line-safe regexes) share one scan and one pass;
+    the others (Python route, empty queries) are added as their own branches."""
+    from trawl.operators.batch import native_many
+
+    queries = list(queries)
+    if not queries:
         raise ValueError("no queries")
+    native_ids = [i for i, q in enumerate(queries) if not q.is_empty and route(q) == "native"]
+    parts = []
+    if native_ids:
+        shared = native_many(searchable(corpus), [queries[i] for i in native_ids])
+        remap = F.element_at(F.array(*[F.lit(i) for i in native_ids]), F.col("query_id").cast("int") + 1)
+        parts.append(shared.withColumn("query_id", remap.cast("long")).select("query_id", *FINDING_COLUMNS))
+    for i, q in enumerate(queries):
+        if i not in native_ids:
+            parts.append(find(corpus, q).select(F.lit(i).cast("long").alias("query_id"), *FINDING_COLUMNS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
