@@ -526,3 +526,30 @@ BATCH = [Query("license"), Query("The", case_sensitive=True), Query(r"qu[a-z]+",
 def search_batch(spark, sf_dir):
     """Several queries over one corpus, tagged with their position in the batch."""
     return search_many(tables.documents(spark, sf_dir), BATCH)
+
+
+# ---------------------------------------------------------------- more single-operator checks
+
+
+@register("mtime_default", f"SELECT path, CAST(0.0 AS DOUBLE) AS mtime FROM ({O.CORPORA['documents']}) c")
+def mtime_default(spark, sf_dir):
+    """The synthetic document paths do not exist as files, so every mtime is 0.0."""
+    return FS.stamp_paths(tables.documents(spark, sf_dir))
+
+
+@register("search_no_cache", O.wrap_findings(_LICENSE_SQL))
+def search_no_cache(spark, sf_dir):
+    """With the cache bypassed the table is neither read nor written."""
+    return C.cached_search(tables.documents(spark, sf_dir), _LICENSE, None, use_cache=False)
+
+
+@register(
+    "elaboration_json",
+    "SELECT finding_id, '{' || chr(10) || '    \"elaboration\": \"' || "
+    f"{O.stub_reply('prompt')} || '\"' || chr(10) || '}}' AS elaboration_json "
+    f"FROM ({O.elab_prompt(_LICENSE_IDS_SQL)}) x",
+)
+def elaboration_json(spark, sf_dir):
+    """K5: each elaboration as ``json.dumps({"elaboration": ...}, indent=4)``."""
+    done = EL.elaborate(_license_ids(spark, sf_dir), tables.documents(spark, sf_dir), EL.stub_model, 10)
+    return R.elaboration_json(done).select("finding_id", "elaboration_json")

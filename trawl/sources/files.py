@@ -219,21 +219,25 @@ def files_corpus(spark: SparkSession, roots: list[str], rules: PathRules = PathR
     return read_corpus(scan(spark, roots, rules))
 
 
-def with_timestamps(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Bare paths with their mtime, ``0.0`` when it cannot be read."""
+def _stamp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for p in pdf["path"]:
+            try:
+                out.append(float(os.path.getmtime(p)) if os.path.exists(p) else 0.0)
+            except OSError:
+                out.append(0.0)
+        yield pd.DataFrame({"path": pdf["path"], "mtime": out})
 
-    def stamp(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for p in pdf["path"]:
-                try:
-                    out.append(float(os.path.getmtime(p)) if os.path.exists(p) else 0.0)
-                except OSError:
-                    out.append(0.0)
-            yield pdf.assign(mtime=out)
 
-    base = spark.createDataFrame([(p,) for p in paths], "path string")
-    return base.mapInPandas(stamp, "path string, mtime double")
+def stamp_paths(paths: DataFrame) -> DataFrame:
+    """S6 for a column of bare paths: ``(path, mtime)``, ``0.0`` when it cannot be read."""
+    return paths.select("path").mapInPandas(_stamp, "path string, mtime double")
+
+
+def with_timestamps(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """S6 for a few paths given on the driver (the command-line case)."""
+    return stamp_paths(spark.createDataFrame([(p,) for p in paths], "path string"))
 
 
 def write_tree(rows: DataFrame, base: str) -> int:
