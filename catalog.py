@@ -553,3 +553,19 @@ def elaboration_json(spark, sf_dir):
     """K5: each elaboration as ``json.dumps({"elaboration": ...}, indent=4)``."""
     done = EL.elaborate(_license_ids(spark, sf_dir), tables.documents(spark, sf_dir), EL.stub_model, 10)
     return R.elaboration_json(done).select("finding_id", "elaboration_json")
+
+
+@register(
+    "decode_latin1_fallback",
+    "SELECT path, array_to_string(list_transform(regexp_extract_all(hex(encode(text)) || 'FF', '..'), "
+    "lambda b: chr(CAST('0x' || b AS INTEGER))), '') AS text "
+    f"FROM ({O.CORPORA['documents']}) c",
+)
+def decode_latin1_fallback(spark, sf_dir):
+    """S5 fallback: every document's UTF-8 bytes plus one 0xFF byte are not valid UTF-8,
+    so they decode as ISO-8859-1, one character per byte."""
+    from trawl.sources.content import decode_text
+
+    docs = tables.documents(spark, sf_dir)
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
+    return docs.select("path", decode_text(raw).alias("text"))
