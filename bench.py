@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalog import CATALOG  # noqa: E402
-from trawl.session import local_session  # noqa: E402
+from trawl.session import local_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "search_documents",
@@ -34,6 +34,7 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in HEADLINE if n in CATALOG] + [n for n in os.environ.get("BENCH_EXTRA", "").split(",") if n]
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16)
+    ship_package(spark)
     for name in names:  # warm-up pass
         CATALOG[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}

@@ -63,3 +63,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(local)
         return spark.sparkContext.getCheckpointDir() or local
     raise RuntimeError("spark.checkpoint.dir is not set; configure a shared folder for this session")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trawl`` importable in Python workers (``addPyFile`` of a zip of the
+    package), once per SparkContext.  Needed whenever the package is not installed on
+    the executors, e.g. when the driver runs from another working directory."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="trawl-pkg-")
+    archive = shutil.make_archive(
+        os.path.join(staging, "trawl"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir)
+    )
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
