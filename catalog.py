@@ -68,8 +68,16 @@ _search_item("search_regex_ci", "documents", Query(r"th[aeiou][a-z]{2,4}", regex
 _search_item(
     "search_regex_multiline", "documents", Query(r"\.\s+[A-Z][a-z]", regex=True, case_sensitive=True), "text_regex"
 )
-_search_item("search_regex_zero_width", "documents", Query(r"(?=License)", regex=True, case_sensitive=True), None)
-_search_item("search_regex_unicode_word", "documents", Query(r"\bqu\w+", regex=True), None)
+CATALOG["search_regex_zero_width"] = Item(
+    _search("documents", Query(r"(?=License)", regex=True, case_sensitive=True), False),
+    O.wrap_findings(O.literal_search("documents", "License", True, 3, zero_width=True)),
+)
+# Python's Unicode \w is [\pL\pN_] in RE2; the leading \b is stated as "line start or a
+# non-word character" kept outside the finding
+CATALOG["search_regex_unicode_word"] = Item(
+    _search("documents", Query(r"\bqu\w+", regex=True), False),
+    O.wrap_findings(O.led_regex_search("documents", r"(?i)(?:^|[^\pL\pN_])(qu[\pL\pN_]+)")),
+)
 # Context windows of other sizes
 _search_item("snippet_context", "documents", Query("license", context_lines=10), "literal")
 _search_item("snippet_no_context", "documents", Query("license", context_lines=0), "literal")
@@ -238,10 +246,9 @@ def finding_console(spark, sf_dir):
     return R.report_blocks(_license(spark, sf_dir), "console")
 
 
-@register("finding_json")
+@register("finding_json", O.json_blocks(_LICENSE_SQL))
 def finding_json(spark, sf_dir):
-    """K1: exact ``json.dumps(indent=4)`` text, one element per row (ASCII-escaped by
-    Python's json, which SQL cannot state, so rows-only)."""
+    """K1: exact ``json.dumps(indent=4)`` text, one element per row (ASCII-escaped)."""
     return R.report_blocks(_license(spark, sf_dir), "json")
 
 

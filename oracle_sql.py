@@ -58,8 +58,11 @@ FINDING_SELECT = (
 )
 
 
-def literal_search(corpus: str, text: str, case_sensitive: bool = False, context: int = 3) -> str:
-    """Findings of a literal (no newline, lower() keeps its length) over a corpus."""
+def literal_search(corpus: str, text: str, case_sensitive: bool = False, context: int = 3, zero_width: bool = False) -> str:
+    """Findings of a literal (no newline, lower() keeps its length) over a corpus.
+
+    ``zero_width``: the findings of a look-ahead for that literal instead (same
+    positions, empty match text, empty highlight)."""
     needle = text if case_sensitive else text.lower()
     hay = "text" if case_sensitive else "lower(text)"
     probe = "ol" if case_sensitive else "ll"
@@ -81,9 +84,9 @@ WITH docs AS (
          CAST(list_sum(list_transform(pc[1:k], lambda x: length(x))) + (k - 1) * {len(text)} AS BIGINT) AS s
   FROM occ
 )
-SELECT path AS file_path, li + 1 AS line_number, substring(line, s + 1, {len(text)}) AS match_text,
-       s AS char_start_in_line, s + length(substring(line, s + 1, {len(text)})) AS char_end_in_line,
-       {snippet('sl', 'li', 's', 's + length(substring(line, s + 1, ' + str(len(text)) + '))', context)} AS snippet
+SELECT path AS file_path, li + 1 AS line_number, {"''" if zero_width else f"substring(line, s + 1, {len(text)})"} AS match_text,
+       s AS char_start_in_line, {"s" if zero_width else f"s + length(substring(line, s + 1, {len(text)}))"} AS char_end_in_line,
+       {snippet('sl', 'li', 's', 's' if zero_width else 's + length(substring(line, s + 1, ' + str(len(text)) + '))', context)} AS snippet
 FROM pos
 """
 
@@ -287,3 +290,69 @@ DOCS_V2 = (
     f"SELECT {DOCUMENT_PATH} AS path, text, lang, source, "
     "CAST(doc_id AS DOUBLE) + CASE WHEN lang = 'fr' THEN 100.0 ELSE 0.0 END AS mtime FROM documents"
 )
+
+
+def led_regex_search(corpus: str, pattern: str, context: int = 3) -> str:
+    """Findings of a line-safe regex written as ``(?:^|<lead char>)(<match>)`` in RE2: the
+    full match may start with one lead character that is not part of the finding
+    (how a leading ``\\b`` is stated without look-behind)."""
+    return f"""
+WITH docs AS (
+  SELECT path, text FROM ({CORPORA[corpus]}) c
+  WHERE text IS NOT NULL AND length(text) > 0 AND regexp_matches(text, {q(pattern)})
+), lined AS (
+  SELECT path, string_split(text, {NL}) AS ol, {splitlines('text')} AS sl FROM docs
+), numbered AS (
+  SELECT path, ol, sl, unnest(range(len(ol))) AS li FROM lined
+), hit AS (
+  SELECT path, sl, li, regexp_extract_all(ol[li + 1], {q(pattern)}, 0) AS fd, regexp_extract_all(ol[li + 1], {q(pattern)}, 1) AS g,
+         regexp_split_to_array(ol[li + 1], {q(pattern)}) AS pc
+  FROM numbered WHERE regexp_matches(ol[li + 1], {q(pattern)})
+), occ AS (
+  SELECT path, sl, li, fd, g, pc, unnest(range(1, len(fd) + 1)) AS k FROM hit
+), pos AS (
+  SELECT path, sl, li, g[k] AS m,
+         CAST(list_sum(list_transform(pc[1:k], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(fd[1:k - 1], lambda x: length(x))), 0)
+              + length(fd[k]) - length(g[k]) AS BIGINT) AS s
+  FROM occ
+)
+SELECT path AS file_path, li + 1 AS line_number, m AS match_text, s AS char_start_in_line,
+       s + length(m) AS char_end_in_line, {snippet('sl', 'li', 's', 's + length(m)', context)} AS snippet
+FROM pos
+"""
+
+
+def json_string(expr: str) -> str:
+    """Python ``json.dumps`` of a string (ASCII-escaped), in SQL (chr(92) is a backslash)."""
+    c = "unicode(ch)"
+    bs = "chr(92)"
+    esc = (
+        f"CASE WHEN {c} = 34 THEN {bs} || chr(34) WHEN {c} = 92 THEN {bs} || {bs} "
+        f"WHEN {c} = 10 THEN {bs} || 'n' WHEN {c} = 13 THEN {bs} || 'r' WHEN {c} = 9 THEN {bs} || 't' "
+        f"WHEN {c} = 8 THEN {bs} || 'b' WHEN {c} = 12 THEN {bs} || 'f' "
+        f"WHEN {c} < 32 THEN {bs} || printf('u%04x', {c}) WHEN {c} < 128 THEN ch "
+        f"WHEN {c} < 65536 THEN {bs} || printf('u%04x', {c}) "
+        f"ELSE {bs} || printf('u%04x', 55296 + (({c} - 65536) >> 10)) || {bs} || printf('u%04x', 56320 + (({c} - 65536) & 1023)) END"
+    )
+    return f"(chr(34) || array_to_string(list_transform(string_split({expr}, ''), lambda ch: {esc}), '') || chr(34))"
+
+
+def json_blocks(inner: str) -> str:
+    nl = "chr(10)"
+    fields = [
+        ("file_path", json_string("file_path")),
+        ("line_number", "CAST(line_number AS VARCHAR)"),
+        ("match_text", json_string("match_text")),
+        ("char_start_in_line", "CAST(char_start_in_line AS VARCHAR)"),
+        ("char_end_in_line", "CAST(char_end_in_line AS VARCHAR)"),
+        ("snippet", json_string("snippet")),
+    ]
+    body = f" || ',' || {nl} || ".join(f"'        \"{k}\": ' || {v}" for k, v in fields)
+    return f"""
+WITH f AS ({ordered_findings(inner)}), n AS (SELECT count(*) AS total FROM f)
+SELECT finding_id,
+  CASE WHEN finding_id = 0 THEN '[' || {nl} ELSE '' END || '    {{' || {nl} || {body} || {nl} || '    }}'
+  || CASE WHEN finding_id = total - 1 THEN {nl} || ']' ELSE ',' END AS value
+FROM f, n
+"""
