@@ -54,20 +54,23 @@ def empty_findings(corpus: DataFrame) -> DataFrame:
     ).where(F.lit(False))
 
 
-def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 4, max_factor: int = 64) -> DataFrame:
     """Give a CPU-heavy stage enough tasks.
 
     A large corpus is read in many splits already and is left alone (no shuffle).
     Only when the scan yields fewer partitions than the cluster has cores (small
-    tables stored as one row group) are the surviving rows spread round-robin.
+    tables stored as one row group) are the surviving rows spread round-robin, to
+    ``per_core`` tasks per core but at most ``max_factor`` times the input's
+    partitions (a small input on a large cluster does not become thousands of tasks).
     """
     if df.isStreaming:
         return df  # micro-batches are sized by the source
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    n = df.rdd.getNumPartitions()
+    if n >= cores:
         return df
-    return df.repartition(cores * per_core)
+    return df.repartition(max(1, min(cores * per_core, n * max_factor)))
 
 
 def route(query: Query) -> str:
