@@ -82,39 +82,61 @@ def _with_source_files(findings: DataFrame, corpus: DataFrame) -> tuple[DataFram
     return corpus.select("path", "text").join(F.broadcast(paths) if small else paths, "path", "left_semi"), small
 
 
+SENTINEL_SALT = 16  # "has content" markers per source file (spreads a hot file's requests)
+
+
 def context_lines(findings: DataFrame, corpus: DataFrame, window: int = 10) -> DataFrame:
     """E1 + E3: per finding, ``has_content`` and the numbered window of source lines.
 
-    ``findings`` needs ``finding_id, file_path, line_number``.  Missing sources give
+    ``findings`` needs ``finding_id, file_path, line_number``.  Every source file is read
+    once and emits its snippet lines (index >= 0) plus ``SENTINEL_SALT`` marker rows
+    (negative indices) that say whether it has content.  Each finding asks for its
+    window lines and for one marker, picked by its id, so a file with many findings
+    spreads its marker requests over several keys.  Missing sources give
     ``has_content = false`` and an empty window (the caller falls back to the snippet).
     """
-    src, small = _with_source_files(findings, corpus)
-    files = src.select(F.col("path").alias("file_path"), (F.length("text") > 0).alias("has_content"))
-    lines = src.select(F.col("path").alias("file_path"), F.posexplode(splitlines(F.col("text"))).alias("idx", "line"))
+    salt = SENTINEL_SALT
+    src, _small = _with_source_files(findings, corpus)
+    text = F.col("text")
+    flag = F.when(F.length(text) > 0, F.lit("Y")).otherwise(F.lit("N"))
+    pos = F.col("pos")
+    lines = src.select(
+        F.col("path").alias("file_path"),
+        F.posexplode(F.concat(F.array_repeat(flag, salt), splitlines(text))).alias("pos", "line"),
+    ).select("file_path", F.when(pos < salt, -(pos + 1)).otherwise(pos - salt).alias("idx"), "line")
     li = F.col("line_number").cast("int") - 1
+    marker = -(F.pmod(F.col("finding_id"), F.lit(salt)) + 1).cast("int")
     wanted = findings.select(
         "finding_id",
         "file_path",
         li.alias("li"),
-        F.explode(F.sequence(F.greatest(li - window, F.lit(0)), F.greatest(li + window, F.lit(0)))).alias("idx"),
-    ).where(F.col("idx") >= 0)
+        F.explode(
+            F.concat(F.array(marker), F.sequence(F.greatest(li - window, F.lit(0)), F.greatest(li + window, F.lit(0))))
+        ).alias("idx"),
+    ).where((F.col("idx") >= 0) | (F.col("idx") == marker))
     got = wanted.join(lines, ["file_path", "idx"], "inner")
+    idx = F.col("idx")
     marked = F.concat(
-        F.when(F.col("idx") == F.col("li"), F.lit(">> ")).otherwise(F.lit("  ")),
-        F.when(F.col("idx") < 9999, F.lpad((F.col("idx") + 1).cast("string"), 4, " ")).otherwise(
-            (F.col("idx") + 1).cast("string")
-        ),
+        F.when(idx == F.col("li"), F.lit(">> ")).otherwise(F.lit("  ")),
+        F.when(idx < 9999, F.lpad((idx + 1).cast("string"), 4, " ")).otherwise((idx + 1).cast("string")),
         F.lit(": "),
         F.col("line"),
     )
     windows = got.groupBy("finding_id").agg(
         F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct(F.col("idx"), marked.alias("text")))), lambda x: x["text"]),
+            F.transform(
+                F.sort_array(F.collect_list(F.when(idx >= 0, F.struct(idx.alias("i"), marked.alias("text"))))),
+                lambda x: x["text"],
+            ),
             "\n",
-        ).alias("file_context")
+        ).alias("file_context"),
+        F.max(F.when(idx < 0, F.col("line") == "Y")).alias("has_content"),
+    )
+    return (
+        findings.join(windows, "finding_id", "left")
+        .withColumn("has_content", F.coalesce("has_content", F.lit(False)))
+        .withColumn("file_context", F.coalesce("file_context", F.lit("")))
     )
-    base = findings.join(F.broadcast(files) if small else files, "file_path", "left").withColumn("has_content", F.coalesce("has_content", F.lit(False)))
-    return base.join(windows, "finding_id", "left").withColumn("file_context", F.coalesce("file_context", F.lit("")))
 
 
 def context_block(snippet: Column, has_content: Column, file_context: Column) -> Column:
