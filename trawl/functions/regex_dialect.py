@@ -30,12 +30,6 @@ WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 SPACE = r"\t\n\x0B\x0C\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
-# The only text characters on which Java's (?iu) and Python's IGNORECASE
-# disagree for ASCII patterns (checked over all code points): the Kelvin sign and the
-# dotted capital I, and only against upper-case ranges such as [A-Z] or [J-L].
-FOLD_SPECIAL_CLASS = r"[\u212A\u0130]"
-UPPER_FIRST, UPPER_LAST = ord("A"), ord("Z")
-
 
 # The non-ASCII characters that IGNORECASE matches to an ASCII letter and
 # that lower() does not turn into that letter (checked over all code points).
@@ -251,40 +245,6 @@ def literal_test(text, query: Query, must: str):
     return test
 
 
-def fold_sensitive(query: Query) -> bool:
-    """Would Java's own (?iu) differ from Python here (a range reaching into A-Z, see
-    FOLD_SPECIAL_CLASS)?  Patterns from :func:`java_line_pattern` spell the case sets
-    out and never need this; kept for callers that use (?iu) directly."""
-    if query.case_sensitive or not query.regex:
-        return False
-    try:
-        parsed = P.parse(query.text, 2)
-    except Exception:
-        return True
-
-    def walk(tokens) -> bool:
-        for op, av in tokens:
-            if op is C.IN:
-                for iop, iav in av:
-                    if iop is C.RANGE and iav[0] <= UPPER_LAST and iav[1] >= UPPER_FIRST:
-                        return True
-            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) or op is getattr(C, "POSSESSIVE_REPEAT", None):
-                if walk(av[2]):
-                    return True
-            elif op is C.SUBPATTERN:
-                if walk(av[3]):
-                    return True
-            elif op is getattr(C, "ATOMIC_GROUP", None):
-                if walk(av):
-                    return True
-            elif op is C.BRANCH:
-                if any(walk(a) for a in av[1]):
-                    return True
-        return False
-
-    return walk(list(parsed))
-
-
 def java_line_pattern(query: Query) -> str | None:
     """The Java pattern equal to ``query`` on single lines, or ``None`` if unsafe."""
     if not query.regex or not query.text:
