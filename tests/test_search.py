@@ -218,3 +218,11 @@ def test_folded_letters_still_found_by_prefilter(corpus):
     for pat in [r"sub", r"\bit\b", r"q[a-z]x", r"qix"]:
         q = Query(pat, regex=True)
         assert rows(search(corpus(files), q)) == model(files, q), pat
+
+
+def test_long_line_with_many_matches(corpus):
+    # more than MANY_MATCHES occurrences on one line: offsets come from running totals
+    long_line = " ".join(f"the{i} x THE y" for i in range(300))
+    files = {"/l.txt": "head\n" + long_line + "\ntail the end", "/s.txt": "the short the"}
+    for q in [Query("the", context_lines=1), Query(r"th[ae]\d*", regex=True), Query("THE", case_sensitive=True)]:
+        assert rows(search(corpus(files), q)) == model(files, q), q

@@ -240,9 +240,33 @@ def _lines(docs: DataFrame, lowered: bool, odd: Column | None = None, query: Que
     return docs.select(*cols)
 
 
-def _prefix_length(pieces: Column, k: Column) -> Column:
-    """Total length of ``pieces[0..k]`` (compiled; no lambda)."""
-    return F.length(F.array_join(F.slice(pieces, 1, k + 1), ""))
+MANY_MATCHES = 64  # per line; above this, offsets come from one running sum per line
+
+
+def _running_lengths(arr: Column) -> Column:
+    """Running totals of the lengths of ``arr``'s strings (one pass over the line)."""
+    return F.aggregate(
+        arr,
+        F.array().cast("array<int>"),
+        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))),
+    )
+
+
+def _with_running(hits: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``<name>_run`` for lines with many matches (null otherwise)."""
+    many = F.size(names[0]) > MANY_MATCHES
+    for n in names:
+        hits = hits.withColumn(f"{n}_run", F.when(many, _running_lengths(F.col(n))))
+    return hits
+
+
+def _prefix_length(pieces: Column, k: Column, run: Column | None = None) -> Column:
+    """Total length of ``pieces[0..k]``: compiled for lines with few matches, read from
+    the line's running totals when it has many (linear instead of quadratic)."""
+    direct = F.length(F.array_join(F.slice(pieces, 1, k + 1), ""))
+    if run is None:
+        return direct
+    return F.when(run.isNotNull(), F.element_at(run, k + 1)).otherwise(direct)
 
 
 def _hits(lines: DataFrame, hit_idx: Column, query: Query, probe=None, with_py: bool = False) -> DataFrame:
@@ -282,11 +306,11 @@ def native_literal(docs: DataFrame, query: Query, odd: Column | None = None) ->
     probe = (lambda i: F.get(ll, i)) if lowered else None
     hits = _hits(lines, hit_idx, query, probe, with_py)
     searched = F.col("h.probe") if lowered else F.col("h.line")
-    hits = hits.withColumn("pieces", F.split(searched, java_literal(q), -1))
+    hits = _with_running(hits.withColumn("pieces", F.split(searched, java_literal(q), -1)), ["pieces"])
     k = F.col("k")
-    matches = _explode_matches(hits, F.size("pieces") - 1, ["pieces"], with_py).select(
+    matches = _explode_matches(hits, F.size("pieces") - 1, ["pieces", "pieces_run"], with_py).select(
         "path", "h", "before", "after", "sline", *(["f"] if with_py else []),
-        (_prefix_length(F.col("pieces"), k) + k * qlen).alias("start"),
+        (_prefix_length(F.col("pieces"), k, F.col("pieces_run")) + k * qlen).alias("start"),
     ).withColumn("matched", F.col("h.line").substr(F.col("start") + 1, F.lit(qlen)))
     return _finish(matches, with_py)
 
@@ -322,11 +346,17 @@ def native_regex(
         F.regexp_extract_all(line, F.lit(java_pattern), F.lit(0)).alias("found"),
         F.split(line, java_pattern, -1).alias("pieces"),
     )
+    hits = _with_running(hits, ["pieces", "found"])
     k = F.col("k")
     found = F.col("found")
-    matches = _explode_matches(hits, F.size("found"), ["found", "pieces"], with_py).select(
+    found_before = F.when(k == 0, F.lit(0)).otherwise(
+        F.when(F.col("found_run").isNotNull(), F.element_at(F.col("found_run"), F.greatest(k, F.lit(1)))).otherwise(
+            F.length(F.array_join(F.slice(found, 1, k), ""))
+        )
+    )
+    matches = _explode_matches(hits, F.size("found"), ["found", "pieces", "pieces_run", "found_run"], with_py).select(
         "path", "h", "before", "after", "sline", *(["f"] if with_py else []),
-        (_prefix_length(F.col("pieces"), k) + F.length(F.array_join(F.slice(found, 1, k), ""))).alias("start"),
+        (_prefix_length(F.col("pieces"), k, F.col("pieces_run")) + found_before).alias("start"),
         F.get(found, k).alias("matched"),
     )
     return _finish(matches, with_py)
