@@ -226,3 +226,14 @@ def test_long_line_with_many_matches(corpus):
     files = {"/l.txt": "head\n" + long_line + "\ntail the end", "/s.txt": "the short the"}
     for q in [Query("the", context_lines=1), Query(r"th[ae]\d*", regex=True), Query("THE", case_sensitive=True)]:
         assert rows(search(corpus(files), q)) == model(files, q), q
+
+
+def test_large_context_fallback_matches_model(corpus):
+    from trawl import search_many
+
+    text = "\n".join(f"row {i} {'alpha' if i % 7 == 0 else 'beta'}" for i in range(120))
+    files = {"/c.txt": text}
+    q = Query("alpha", context_lines=40)  # above the unrolled limit
+    assert rows(search(corpus(files), q)) == model(files, q)
+    got = search_many(corpus(files), [q, Query("beta", context_lines=2)]).collect()
+    assert sorted(tuple(r)[1:] for r in got if r.query_id == 0) == model(files, q)
