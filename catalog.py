@@ -576,3 +576,16 @@ def decode_latin1_fallback(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
     raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
     return docs.select("path", decode_text(raw).alias("text"))
+
+
+@register(
+    "elab_relative_paths",
+    f"SELECT finding_id, has_content, file_context FROM ({O.elab_context(_LICENSE_IDS_SQL)}) x",
+)
+def elab_relative_paths(spark, sf_dir):
+    """A report whose paths are relative to its folder (``/corpus``); they are
+    resolved against that folder before the findings meet their sources."""
+    ids = _license_ids(spark, sf_dir).withColumn("file_path", F.expr("substring(file_path, 9)"))
+    corpus = tables.documents(spark, sf_dir)
+    resolved = EL.resolve_report_paths(ids, "/corpus", corpus)
+    return EL.context_lines(resolved, corpus, 10).select("finding_id", "has_content", "file_context")

@@ -175,3 +175,12 @@ def test_search_many_mixed_batch_one_pass(corpus, spark):
     # the three JVM-routed queries share one scan of the corpus
     plan = search_many(corpus(files), qs[:3])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1
+
+
+def test_relative_report_paths(corpus, spark):
+    c = corpus(FILES)
+    df = spark.createDataFrame(
+        [(0, "a.txt", 1), (1, "/w/b.txt", 1), (2, "nope.txt", 1)], "finding_id long, file_path string, line_number long"
+    )
+    got = {r.finding_id: r.file_path for r in EL.resolve_report_paths(df, "/w/", c).collect()}
+    assert got == {0: "/w/a.txt", 1: "/w/b.txt", 2: "nope.txt"}

@@ -82,6 +82,26 @@ def _with_source_files(findings: DataFrame, corpus: DataFrame) -> tuple[DataFram
     return corpus.select("path", "text").join(F.broadcast(paths) if small else paths, "path", "left_semi"), small
 
 
+def resolve_report_paths(findings: DataFrame, report_dir: str, corpus: DataFrame) -> DataFrame:
+    """A relative ``file_path`` of a report is read as ``<report_dir>/<file_path>``
+    when the corpus has that file; otherwise it stays as it is.
+
+    Only the distinct candidate paths meet the corpus (a semi join); the resolved set is
+    broadcast back only when its measured size is small, else joined by shuffle."""
+    base = report_dir.rstrip("/")
+    fp = F.col("file_path")
+    cand = F.when(~fp.startswith("/"), F.concat(F.lit(base + "/"), fp))
+    with_cand = findings.withColumn("_cand", cand)
+    wanted = with_cand.where(F.col("_cand").isNotNull()).select(F.col("_cand").alias("path")).distinct()
+    found = corpus.select("path").join(wanted, "path", "left_semi").select(
+        F.col("path").alias("_cand"), F.lit(True).alias("_exists")
+    )
+    stats = found.agg(F.count("*").alias("n"), F.max(F.length("_cand")).alias("longest")).first()
+    small = (stats["n"] or 0) * ((stats["longest"] or 0) + 32) <= BROADCAST_FILE_LIST_BYTES
+    joined = with_cand.join(F.broadcast(found) if small else found, "_cand", "left")
+    return joined.withColumn("file_path", F.when(F.col("_exists"), F.col("_cand")).otherwise(fp)).drop("_cand", "_exists")
+
+
 SENTINEL_SALT = 16  # "has content" markers per source file (spreads a hot file's requests)
 
 
