@@ -237,3 +237,11 @@ def test_large_context_fallback_matches_model(corpus):
     assert rows(search(corpus(files), q)) == model(files, q)
     got = search_many(corpus(files), [q, Query("beta", context_lines=2)]).collect()
     assert sorted(tuple(r)[1:] for r in got if r.query_id == 0) == model(files, q)
+
+
+def test_jvm_only_lowercase_letters_follow_python(corpus):
+    # U+1C89 is lower-cased by the JVM but left alone by Python 3.13's str.lower()
+    files = {"/u.txt": "xᲉy and xᲊy", "/v.txt": "plain"}
+    for q in [Query("xᲉy"), Query("XᲊY")]:
+        assert route(q) == "python"
+        assert rows(search(corpus(files), q)) == model(files, q), q

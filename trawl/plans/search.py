@@ -98,6 +98,8 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
         hay = text if query.case_sensitive else F.lower(text)
         matching = docs.where(hay.contains(needle))
         if route(query) == "python":
+            if not query.case_sensitive and any(ch in JVM_ONLY_LOWER or ch in JVM_ONLY_LOWERED for ch in query.text):
+                matching = docs  # Spark's lower() would fold these letters unlike Python
             return python_route(spread(matching), query)
         if query.case_sensitive:
             return native_literal(spread(matching), query)
