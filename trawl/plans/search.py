@@ -3,11 +3,15 @@
 Routing is decided on the driver from the query alone; data never passes through
 the driver.  Plan shape for the common case (literal, or a line-safe regex)::
 
-    Scan(path, text) -> Filter(document predicate) -> Generate(hit lines)
-      -> Generate(occurrences) -> Project(findings) [-> Sort]
-
-The document predicate (``contains`` / ``rlike``) runs first, so the line split
-only happens for documents that match at all.
+    Scan(path, text) -> Filter(document test) [-> Exchange, small inputs only]
+      [-> ArrowEvalPython, NULL for all but the rare documents needing Python]
+      -> Project(line arrays) -> Generate(hit lines) -> Project(context)
+      -> Generate(occurrences) -> Project(findings)
+      [-> checkpoint -> Sort, for report order]
+
+The document test (``contains`` on the text or on a literal every match must hold,
+else ``rlike``) runs first, so the line split only happens for documents that can
+match at all.
 """
 
 from __future__ import annotations
