@@ -184,3 +184,17 @@ def test_relative_report_paths(corpus, spark):
     )
     got = {r.finding_id: r.file_path for r in EL.resolve_report_paths(df, "/w/", c).collect()}
     assert got == {0: "/w/a.txt", 1: "/w/b.txt", 2: "nope.txt"}
+
+
+def test_elaborate_one_finding_of_a_json_report(corpus, spark, tmp_path):
+    """The original tool's flow: write a JSON report, pick finding n, elaborate it."""
+    c = corpus(FILES)
+    found = search(c, Query("alpha", context_lines=1))
+    p = tmp_path / "report.json"
+    p.write_text(json.dumps([r.asDict() for r in found.collect()], indent=4))
+    report = read_report(spark, str(p))
+    one = R.lookup(report, 2)
+    out = EL.elaborate(one, c, EL.stub_model, 10).collect()
+    assert len(out) == 1 and out[0].status == "ok" and out[0].finding_id == 2
+    prompt = EL.prompts(one, c, 10).first().prompt
+    assert out[0].elaboration == EL.stub_reply(prompt)

@@ -205,6 +205,7 @@ def call_model(df: DataFrame, model_fn: ModelFn, concurrency: int | None = None)
     If it raises, every prompt of the batch is retried one by one so that a single
     bad prompt only marks itself.  ``concurrency`` bounds parallel calls.
     """
+    df = df.drop("elaboration", "status")  # a new answer replaces any earlier one (e.g. from a report)
     keep = df.columns
     schema = T.StructType(df.schema.fields + [T.StructField("elaboration", T.StringType()), T.StructField("status", T.StringType())])
 
