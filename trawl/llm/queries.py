@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import ngram_join, secret_scan, sharding, url_filter
+from trawl.llm import license_scan, ngram_join, secret_scan, sharding, url_filter
 from trawl.llm.scratch import table
 
 
@@ -16,6 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model)
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     carry = {"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text)}
@@ -36,6 +40,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op7_license_scans": op7_license_scans,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
     "op10_ngram_jaccard": op10_ngram_jaccard,
