@@ -41,9 +41,11 @@ from trawl.llm.scratch import Scratch, fits_broadcast
 COMMON_SHINGLES = 500_000
 #: Bounds of one block of a tile.
 BLOCK_SETS = 512
-BLOCK_SHINGLES = 1 << 20
-#: Rows held at once by the map-side combiner of chains, and by the counter of shingles.
-COMBINE_ROWS = 1 << 20
+BLOCK_SHINGLES = 1 << 19
+#: Rows held at once by the map-side combiner of chains.
+COMBINE_ROWS = 1 << 19
+#: Shingles held at once by a slice of texts.
+SLICE_SHINGLES = 1 << 18
 
 _FLAT = "kind int, id long, size int, d1 long, d2 long"
 
@@ -55,7 +57,7 @@ def _batched_sets(batch: pa.RecordBatch):
         ids.append(doc)
         sets.append(found)
         held += len(found)
-        if held >= COMBINE_ROWS:
+        if held >= SLICE_SHINGLES:
             yield ids, sets
             ids, sets, held = [], [], 0
     if ids:
@@ -77,8 +79,7 @@ def _describe(batches):
             d1, d2 = shingles.digests(sets)
             n = len(ids)
             yield _table(_FLAT, [np.zeros(n, np.int32), ids, np.array([len(s) for s in sets], np.int32), d1, d2])
-            distinct = np.flatnonzero(np.unique(d1, return_index=True)[1] >= 0)
-            firsts = np.unique(d1, return_index=True)[1][distinct]
+            firsts = np.unique(d1, return_index=True)[1]
             flat = np.sort(np.concatenate([sets[i] for i in firsts.tolist()]))
             if len(flat):
                 heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -188,7 +189,7 @@ def _links(sets: list, side: np.ndarray, num: int, den: int):
     bits = 64
     while bits < 2 * size[-1] and bits < 8192:
         bits *= 2
-    marks = _signatures(sets, bits)
+    marks = np.concatenate([_signatures(sets[k : k + 64], bits) for k in range(0, len(sets), 64)])
     uf = UnionFind(len(sets))
     last = np.searchsorted(size, size * den // num, side="right")
     across = side.min() != side.max()
