@@ -4,13 +4,16 @@ similarity of 3/4 or more, by size-banded tiles with hashed bitmap signatures.
 1. Every text becomes a sorted array of shingle hashes; documents with equal sets form a
    class, represented by the smallest id.  Copies, however many, are one class from here.
 2. Tiles.  Two sets that reach the threshold share an element among the first
-   ``size // 4 + 1`` of each in any common order of elements.  The order puts the
-   commonest shingles last (a table of at most ``COMMON_SHINGLES`` entries, broadcast;
-   which ones it holds changes only the cost), so boilerplate does not chain documents.
-   Per shingle the classes are chained by size: neighbours whose sizes differ by more than
-   the threshold allows break the chain.  The chains (map-side combined, so a hot
-   shingle is one row per task and chain) connect classes into coarse groups; a class
-   without a neighbour has no partner at all.
+   ``size // 4 + 1`` of each in any common order of elements.  The order used here: first
+   the elements whose hash lies below ``LOW`` by document frequency (counted over all
+   documents by one shuffle of these hashes), then the other elements by hash, last the
+   commonest shingles (a broadcast table of at most ``COMMON_SHINGLES`` entries; which
+   ones it holds changes only the cost).  A class with enough elements that nobody shares
+   needs no look at the rest, so boilerplate does not chain documents.  Per element the
+   classes are chained by size: neighbours whose sizes differ by more than the threshold
+   allows break the chain.  The chains connect classes into coarse groups; a class without
+   a neighbour has no partner at all.  Elements without a counted frequency are chained
+   on the map side first, so a hot one is one row per task and chain.
 3. Small groups share a tile; a large one is cut into bands by size (ratio 4/3) and blocks of
    bounded size, and every pair of blocks of the same or neighbouring bands is a tile.
 4. In a tile each set gets a parity bitmap of its hashes: the bits in which two bitmaps
@@ -37,15 +40,17 @@ from trawl.llm import shingles
 from trawl.llm.components import UnionFind, components, star_edges
 from trawl.llm.scratch import Scratch, fits_broadcast
 
-#: Entries of the broadcast table of common shingles (12 bytes each).
+#: Entries of the broadcast table of common shingles (12 bytes each), and how often a slice of
+#: ``SLICE_SHINGLES`` must hold a shingle to report it for the table.
 COMMON_SHINGLES = 500_000
+COMMON_IN_SLICE = 4
+#: Share of the hash range whose elements are counted.
+LOW = np.uint64(3 * 2**61)  # 3/8
 #: Bounds of one block of a tile.
-BLOCK_SETS = 512
+BLOCK_SETS = 2048
 BLOCK_SHINGLES = 1 << 19
-#: Rows held at once by the map-side combiner of chains.
-COMBINE_ROWS = 1 << 19
 #: Shingles held at once by a slice of texts.
-SLICE_SHINGLES = 1 << 18
+SLICE_SHINGLES = 1 << 19
 
 _FLAT = "kind int, id long, size int, d1 long, d2 long"
 
@@ -73,7 +78,7 @@ def _table(schema: str, columns: list) -> pa.RecordBatch:
 
 def _describe(batches):
     """Kind 0: a document with the size and fingerprints of its set.  Kind 1: a shingle
-    (``id``) that this slice holds ``size`` > 1 times."""
+    (``id``) that this slice holds ``size`` times."""
     for batch in batches:
         for ids, sets in _batched_sets(batch):
             d1, d2 = shingles.digests(sets)
@@ -84,12 +89,55 @@ def _describe(batches):
             if len(flat):
                 heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
                 counts = np.diff(np.append(heads, len(flat)))
-                many = counts > 1
+                many = counts >= COMMON_IN_SLICE
                 keys = flat[heads[many]].view(np.int64)
                 zero = np.zeros(len(keys), np.int64)
                 yield _table(_FLAT, [np.ones(len(keys), np.int32), keys, counts[many].astype(np.int32), zero, zero])
 
 
+def _common_rank(found: np.ndarray, common) -> np.ndarray:
+    """How common each element is: 0 outside the table."""
+    keys, counts = common
+    if not len(keys):
+        return np.zeros(len(found), np.int32)
+    at = np.searchsorted(keys, found)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == found, counts[at], 0)
+
+
+def _distinct_sets(batch: pa.RecordBatch, seen: set):
+    """(node, set) of the classes of a batch that ``seen`` does not hold yet; a batch at a
+    time, so copies in other batches come again."""
+    for _, sets in _batched_sets(batch):
+        d1, _ = shingles.digests(sets)
+        for found, node in zip(sets, d1.tolist()):
+            if len(found) and node not in seen:
+                seen.add(node)
+                yield node, found
+
+
+def _low_elements(common):
+    """(key, node) of the elements below ``LOW`` that are not common."""
+
+    def run(batches):
+        for batch in batches:
+            keys, nodes, held = [], [], 0
+            seen: set = set()
+            for node, found in _distinct_sets(batch, seen):
+                low = found[: np.searchsorted(found, LOW)]
+                low = low[_common_rank(low, common.value) == 0]
+                keys.append(low)
+                nodes.append(np.full(len(low), node, np.int64))
+                held += len(low)
+                if held >= SLICE_SHINGLES:
+                    yield _table("key long, node long", [np.concatenate(keys).view(np.int64), np.concatenate(nodes)])
+                    keys, nodes, held = [], [], 0
+            if held:
+                yield _table("key long, node long", [np.concatenate(keys).view(np.int64), np.concatenate(nodes)])
+
+    return run
+
+
 _CHAINS = "kind int, a long, b long, lo int, hi int"
 
 
@@ -104,47 +152,40 @@ def _chain(key: np.ndarray, size: np.ndarray, node: np.ndarray):
     return (key[heads], node[heads], size[heads], size[tails]), (a, b)
 
 
-def _chains(common):
-    """Kind 0: a chain (a = shingle, b = a class in it, sizes lo to hi).  Kind 1: an edge
-    between two classes of a chain."""
+def _rest_elements(common):
+    """What the counted elements leave open.  Kind 0: a chain over an element without a
+    counted frequency (a = element, b = a class in it, sizes lo to hi).  Kind 1: an edge
+    between two classes of a chain.  Kind 2: a class (a), its size (lo) and its number of
+    counted elements (hi)."""
 
     def run(batches):
-        keys, counts = common.value
-        held, rows, seen = [], 0, set()
-
-        def flush():
-            key, size, node = (np.concatenate(part) for part in zip(*held))
-            (k, n, lo, hi), (a, b) = _chain(key, size, node)
-            yield _table(_CHAINS, [np.zeros(len(k), np.int32), k.view(np.int64), n, lo.astype(np.int32), hi.astype(np.int32)])
-            differ = a != b
-            if differ.any():
-                a, b = star_edges(a[differ], b[differ])
-                zero = np.zeros(len(a), np.int32)
-                yield _table(_CHAINS, [zero + 1, a, b, zero, zero])
-
         for batch in batches:
-            for _, sets in _batched_sets(batch):
-                d1, _ = shingles.digests(sets)
-                for found, node in zip(sets, d1.tolist()):
-                    if not len(found) or node in seen:
-                        continue
-                    seen.add(node)
-                    length = len(found) // 4 + 1
-                    if len(keys):
-                        at = np.searchsorted(keys, found)
-                        at[at == len(keys)] = 0
-                        rank = np.where(keys[at] == found, counts[at], 0)
-                        if rank.any():
-                            found = found[np.argsort(rank, kind="stable")]
-                    head = found[:length]
-                    held.append((head, np.full(length, len(found), np.int32), np.full(length, node, np.int64)))
-                    rows += length
-                    if rows >= COMBINE_ROWS:
-                        yield from flush()
-                        held, rows = [], 0
-                        seen.clear()
-        if held:
-            yield from flush()
+            nodes, sizes, lows, held = [], [], [], []
+            seen: set = set()
+            for node, found in _distinct_sets(batch, seen):
+                rank = _common_rank(found, common.value)
+                cut = int(np.searchsorted(found, LOW))
+                n_low = int((rank[:cut] == 0).sum())
+                nodes.append(node)
+                sizes.append(len(found))
+                lows.append(n_low)
+                open_ = len(found) // 4 + 1 - n_low
+                if open_ > 0:
+                    rest = np.concatenate([found[:cut][rank[:cut] > 0], found[cut:]])
+                    rank = np.concatenate([rank[:cut][rank[:cut] > 0], rank[cut:]])
+                    head = rest[np.argsort(rank, kind="stable")[:open_]]
+                    held.append((head, np.full(len(head), len(found), np.int32), np.full(len(head), node, np.int64)))
+            zero = np.zeros(len(nodes), np.int64)
+            yield _table(_CHAINS, [zero + 2, nodes, zero, sizes, lows])
+            if held:
+                key, size, node = (np.concatenate(part) for part in zip(*held))
+                (k, n, lo, hi), (a, b) = _chain(key, size, node)
+                yield _table(_CHAINS, [np.zeros(len(k), np.int32), k.view(np.int64), n, lo, hi])
+                differ = a != b
+                if differ.any():
+                    a, b = star_edges(a[differ], b[differ])
+                    zero = np.zeros(len(a), np.int32)
+                    yield _table(_CHAINS, [zero + 1, a, b, zero, zero])
 
     return run
 
@@ -252,19 +293,43 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     order = np.argsort(keys)
     counts = np.minimum(top.column("n").to_numpy(), 2**31 - 1).astype(np.int32)[order]
     common = spark.sparkContext.broadcast((keys[order], counts))
-
-    chains = scratch.put(slim.where("id is not null").mapInArrow(_chains(common), _CHAINS), "chains")
+    known = slim.where("id is not null")
+
+    # frequency of the counted elements; only those of more than one class go on
+    whole = Window.partitionBy("key")
+    shared = (
+        known.mapInArrow(_low_elements(common), "key long, node long")
+        .select(
+            "key", "node", F.count(F.lit(1)).over(whole).alias("df"),
+            F.min("node").over(whole).alias("least"), F.max("node").over(whole).alias("most"),
+        )
+        .where("least <> most")
+    )
+    shared = scratch.put(shared.groupBy("node", "key").agg(F.max("df").alias("df")), "shared")
+    rest = scratch.put(known.mapInArrow(_rest_elements(common), _CHAINS), "rest")
+
+    # the rarest shared elements that the unshared ones leave open, chained by size
+    unshared = F.col("n_low") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
+    counted = rest.where("kind = 2").groupBy(F.col("a").alias("node")).agg(F.max("lo").alias("size"), F.max("hi").alias("n_low"))
+    firsts = (
+        shared.join(counted, "node")
+        .select("node", "key", "size", (F.floor(F.col("size") / 4) + 1 - unshared).alias("open"), rank.alias("rank"))
+        .where("rank <= open")
+    )
+    chains = firsts.select(F.col("key").alias("a"), F.col("node").alias("b"), F.col("size").alias("lo"), F.col("size").alias("hi"))
+    chains = chains.union(rest.where("kind = 0").select("a", "b", "lo", "hi"))
     along = Window.partitionBy("a").orderBy("lo", "b")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     met = (
-        chains.where("kind = 0")
-        .select("a", "b", "lo", F.max("hi").over(before).alias("reach"), F.lag("b").over(along).alias("prev"))
+        chains.select("a", "b", "lo", F.max("hi").over(before).alias("reach"), F.lag("b").over(along).alias("prev"))
         .where(f"prev is not null and {den} * reach >= {num} * lo and prev <> b")
         .select(F.col("prev").alias("a"), "b")
     )
-    near = components(met.union(chains.where("kind = 1").select("a", "b")), scratch, "coarse")
+    near = components(met.union(rest.where("kind = 1").select("a", "b")), scratch, "coarse")
     near = scratch.put(near, "near")
-    scratch.drop("chains")
+    for name in ("shared", "rest"):
+        scratch.drop(name)
 
     # classes of equal sets, and those with a possible partner
     classes = described.where("size > 0 and id is not null").groupBy("size", "d1", "d2").agg(F.min("id").alias("node"))
@@ -281,10 +346,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .select("text", "d1", F.col("id").alias("node"), "grp", "tiles")
         .mapInArrow(_sets, _SETS)
     )
-    links = scratch.put(
-        sets.dropDuplicates(["tile", "side", "node", "grp"]).groupBy("tile").applyInArrow(_tile(num, den), "a long, b long"),
-        "links",
-    )
+    links = scratch.put(sets.groupBy("tile").applyInArrow(_tile(num, den), "a long, b long"), "links")
     linked = scratch.put(components(links, scratch, "fine"), "linked")
 
     placed = classes.join(linked, "node", "left").select(
