@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import license_scan, ngram_join, packing, secret_scan, sharding, url_filter
+from trawl.llm import language_id, license_scan, ngram_join, packing, secret_scan, sharding, url_filter
 from trawl.llm.scratch import table
 
 
@@ -16,6 +16,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model)
 
 
+def held_out():
+    """The fold that is never learned from."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.fit(docs, ~held_out())
+    out = language_id.predict(docs, net)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -50,6 +62,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op7_license_scans": op7_license_scans,
     "op8_sharding": op8_sharding,
