@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import language_id, license_scan, ngram_join, packing, secret_scan, sharding, url_filter
+from trawl.llm import embedding_dedup, kdtree_search, language_id, license_scan, ngram_join, packing, secret_scan, sharding, url_filter
 from trawl.llm.scratch import table
 
 
@@ -38,6 +38,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -64,6 +72,8 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_license_scans": op7_license_scans,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,
