@@ -182,14 +182,16 @@ def _windows_of(texts: pa.Array):
         yield symbols, row, used
 
 
-def _predict(shared, schema_names):
+def _predict(shared, names):
+    """Batches (text to label, columns to keep...) to the kept columns, label and score."""
+
     def run(batches):
         net = shared.value
         for batch in batches:
             rows = batch.num_rows
             total = np.zeros((rows, len(net.langs)))
             seen = np.zeros(rows)
-            for symbols, row, used in _windows_of(batch.column(1)):
+            for symbols, row, used in _windows_of(batch.column(0)):
                 found = position_probabilities(net, symbols)
                 found[symbols == PAD] = 0
                 summed = found.sum(axis=0, dtype=np.float64)
@@ -201,9 +203,8 @@ def _predict(shared, schema_names):
             known = seen > 0
             score = np.where(known, np.clip(pooled[np.arange(rows), best], 0, 1), 0.0)
             langs = [net.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=schema_names
-            )
+            columns = [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -236,14 +237,15 @@ def fit(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang"
     return train([w.encode() for _, _, w in pairs], labels, langs)
 
 
-def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred``, ``score`` per row.  Texts without a letter reach the network as
-    nulls."""
-    letters = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
+def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep``, ``lang_pred`` and ``score`` of every row (kept columns of those
+    names must be left out).  Texts without a letter reach the network as nulls."""
     if net is None:
-        return docs.select(F.col(key), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    slim = docs.select(F.col(key).alias("k"), letters.alias("t"))
-    kind = slim.schema["k"].dataType.simpleString()
+        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    letters = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
+    slim = docs.select(letters.alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    fields = [f"_{i} {slim.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    out = slim.mapInArrow(_predict(shared, ["k", "lang_pred", "score"]), f"k {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("k", key)
+    names = [*(f"_{i}" for i in range(len(keep))), "lang_pred", "score"]
+    out = slim.mapInArrow(_predict(shared, names), ", ".join([*fields, "lang_pred string, score double"]))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

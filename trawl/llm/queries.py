@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import embedding_dedup, kdtree_search, language_id, license_scan, ngram_join, packing, secret_scan, sharding, url_filter
+from trawl.llm import embedding_dedup, kdtree_search, language_id, license_scan, ngram_join, packing, secret_scan, sentencepiece_codec, sharding, url_filter
 from trawl.llm.scratch import table
 
 
@@ -46,6 +46,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -74,6 +81,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scans": op7_license_scans,
     "op8_sharding": op8_sharding,
     "op9_secret_scans": op9_secret_scans,

@@ -211,3 +211,50 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.col("k").alias(key), *counts, F.sha2(_digest_text(base), 256).alias("base_sha256"),
         _digest_text(F.col("found")).alias("spans"),
     )
+
+
+MASK = "[REDACTED]"
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """The rows with every span replaced by ``MASK`` (overlapping spans by one); rows without
+    spans are unchanged.  ``length``, if there, is set to the new length of changed texts."""
+    scratch = Scratch(docs.sparkSession, "redact")
+    found = scratch.put(
+        find_secrets(docs, key, text).select(F.col(key).alias("_sk"), F.col("th").alias("_sth"), F.col("found").alias("_sf")), "found"
+    )
+    n, spans, names = found.agg(
+        F.count("_sth"), F.coalesce(F.sum(F.size("_sf")), F.lit(0)),
+        F.coalesce(F.max(F.length(F.col("_sk").cast("string"))), F.lit(0)),
+    ).first()
+    side = F.broadcast(found) if fits_broadcast(1, n * (64 + 4 * names) + spans * 64) else found
+    same = F.col(key).eqNullSafe(F.col("_sk")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_sth"))
+    rows = docs.join(side, same, "left")
+    # ends of the text covered so far, span by span; a span that begins later opens a gap
+    reach = F.transform("_sf", lambda s: s["end"])
+    rows = rows.withColumn("_se", reach).withColumn("_sc", F.when(F.size("_sf") > 0, F.split(F.col(text), "")))
+    merged = F.aggregate(
+        "_sf",
+        F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda acc, s: F.when(
+            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
+            F.concat(
+                F.slice(acc, 1, F.size(acc) - 1),
+                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
+            ),
+        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+    )
+    rows = rows.withColumn("_sm", F.when(F.size("_sf") > 0, merged))
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_sm", lambda s: s["end"]))
+    stops = F.concat(F.transform("_sm", lambda s: s["start"]), F.array(F.size("_sc").cast("bigint")))
+    rows = rows.withColumn("_sg", F.arrays_zip(starts.alias("a"), stops.alias("b")))
+    pieces = F.transform("_sg", lambda g: F.array_join(F.slice("_sc", (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")), ""))
+    masked = F.when(F.size("_sf") > 0, F.array_join(pieces, MASK)).otherwise(F.col(text))
+    changed = {text: masked}
+    out = rows.withColumn("_st", masked)
+    changed = {c: F.col(c) for c in docs.columns}
+    changed[text] = F.col("_st")
+    if length and length in docs.columns:
+        kind = docs.schema[length].dataType
+        changed[length] = F.when(F.size("_sf") > 0, F.length("_st").cast(kind)).otherwise(F.col(length))
+    return out.select(*[column.alias(name) for name, column in changed.items()])
