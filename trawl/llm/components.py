@@ -74,11 +74,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = scratch.put(edges.where("a <> b").mapInArrow(_thin, EDGE_SCHEMA).distinct(), f"{name}-0")
     state = None
     for turn in range(1, MAX_ROUNDS):
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
+        both = now.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct("b", "a"))))
         large = _lowest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = _lowest(down)
-        small = low.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
+        ends = F.array(*[F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in ("v", "u")])
+        small = _lowest(down).select(F.inline(ends))
         now = scratch.put(small.where("a <> b").distinct(), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn - 1}")
         seen = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm import shingles
 from trawl.llm.components import UnionFind, components, star_edges
-from trawl.llm.scratch import Scratch, fits_broadcast
+from trawl.llm.scratch import Scratch
 
 #: Entries of the broadcast table of common shingles (12 bytes each), and how often a slice of
 #: ``SLICE_SHINGLES`` must hold a shingle to report it for the table.
@@ -340,9 +340,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     active = scratch.put(active, "active")
     n_active, all_shingles = active.agg(F.count("node"), F.sum("size")).first()
     tiles = _assign_tiles(active, n_active, all_shingles or 0)
-    wanted = F.broadcast(tiles) if fits_broadcast(n_active, 160) else tiles
     sets = (
-        slim.join(wanted.withColumnRenamed("node", "id"), "id")
+        slim.join(tiles.withColumnRenamed("node", "id"), "id")
         .select("text", "d1", F.col("id").alias("node"), "grp", "tiles")
         .mapInArrow(_sets, _SETS)
     )

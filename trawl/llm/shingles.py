@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes hashed at once; longer texts are cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
