@@ -74,7 +74,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = scratch.put(edges.where("a <> b").mapInArrow(_thin, EDGE_SCHEMA).distinct(), f"{name}-0")
     state = None
     for turn in range(1, MAX_ROUNDS):
-        both = now.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct("b", "a"))))
+        ways = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "ba")])
+        both = now.select(F.inline(ways))
         large = _lowest(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         ends = F.array(*[F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in ("v", "u")])
