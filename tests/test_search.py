@@ -173,8 +173,9 @@ def test_native_and_python_routes_agree_on_documents(spark, pattern, cs):
 
 
 def test_line_safety_classifier():
-    safe = [r"abc", r"\bqu\w+", r"[a-z]+", r"a.b", r"(?:ab|cd)+", r"\d{2,4}", r"[^\n]+x"]
-    unsafe = [r"a\sb", r"^a", r"a$", r"x*", r"(?=a)", r"(a)\1", r"[^a]", r"(?s)a.b", r"\Aa", r"a|"]
+    safe = [r"abc", r"\bqu\w+", r"[a-z]+", r"a.b", r"(?:ab|cd){1,3}", r"\d{2,4}", r"[^\n]+x"]
+    # Java recurses once per repetition of a group, so an unbounded one takes the Python route
+    unsafe = [r"(?:ab|cd)+", r"(?:a+b?){2,9}", r"a\sb", r"^a", r"a$", r"x*", r"(?=a)", r"(a)\1", r"[^a]", r"(?s)a.b", r"\Aa", r"a|"]
     for p in safe:
         assert java_line_pattern(Query(p, regex=True, case_sensitive=True)) is not None, p
     for p in unsafe:
@@ -245,3 +246,34 @@ def test_jvm_only_lowercase_letters_follow_python(corpus):
     for q in [Query("xᲉy"), Query("XᲊY")]:
         assert route(q) == "python"
         assert rows(search(corpus(files), q)) == model(files, q), q
+
+
+def test_regexes_on_which_the_engines_differ(spark, corpus):
+    from trawl import search_many
+
+    # letters and digits of newer Unicode versions, characters outside the BMP next to boundaries, inline flags
+    files = {
+        "/a": "x\U0001F600x \U00010400x é\U00031350y 5٠\U0001D7D8 _x",
+        "/b": "License license LICENSE",
+        "/c": "ab" * 200 + "c",
+    }
+    patterns = [r"\bx", r"\B\w", r"\w+", r"\d", r"(?i)license", r"(?i)(?=l)license", r"(?:ab|c)+", r"(?i)\bLIC\w+"]
+    queries = [Query(p, regex=True, case_sensitive=True) for p in patterns]
+    for q in queries:
+        assert rows(search(corpus(files), q)) == model(files, q), q.text
+    got = search_many(corpus(files), queries).collect()
+    for i, q in enumerate(queries):
+        assert sorted(tuple(r)[1:] for r in got if r.query_id == i) == sorted(model(files, q)), q.text
+
+
+def test_a_repeated_group_over_a_long_line_survives(corpus):
+    found = search(corpus({"/long": "ab" * 75_000 + "c"}), Query(r"(?:ab|c)+", regex=True, context_lines=0), ordered=False)
+    assert [len(r.match_text) for r in found.select("match_text").collect()] == [150_001]
+
+
+def test_offsets_on_a_line_with_many_matches(corpus):
+    n = 3_000
+    for q in (Query("THE", context_lines=0), Query(r"c[a-z]t", regex=True, context_lines=0)):
+        found = search(corpus({"/many": "the cat " * n}), q, ordered=False)
+        at = sorted(r[0] for r in found.select("char_start_in_line").collect())
+        assert at == [8 * i + (0 if not q.regex else 4) for i in range(n)]

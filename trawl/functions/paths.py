@@ -53,7 +53,7 @@ def glob_to_java(pattern: str) -> str:
                 out.append(("[^" if negate else "[") + "".join(members) + "]")
         else:
             out.append(ch if ch.isalnum() and ch.isascii() else f"\\x{{{ord(ch):X}}}")
-    out.append("$")
+    out.append("\\z")
     return "".join(out)
 
 

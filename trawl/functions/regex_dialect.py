@@ -148,6 +148,21 @@ def _is_word_token(tok) -> bool:
     return False
 
 
+#: Repetitions of a group that Java may recurse into.
+MAX_GROUP_REPEAT = 32
+
+
+def _has_repeat(tokens) -> bool:
+    """Is there a repeat anywhere inside?"""
+    for op, av in tokens:
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT) or op is getattr(C, "POSSESSIVE_REPEAT", None):
+            return True
+        inner = [av[3]] if op is C.SUBPATTERN else list(av[1]) if op is C.BRANCH else [av] if op is getattr(C, "ATOMIC_GROUP", None) else []
+        if any(_has_repeat(i) for i in inner):
+            return True
+    return False
+
+
 def _seq(tokens, ascii_only: bool) -> str:
     out = []
     tokens = list(tokens)
@@ -178,7 +193,13 @@ def _seq(tokens, ascii_only: bool) -> str:
             out.append(_in(av, ascii_only))
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) or op is getattr(C, "POSSESSIVE_REPEAT", None):
             lo, hi, sub = av
-            body = "(?:" + _seq(sub, ascii_only) + ")"
+            sub = list(sub)
+            if len(sub) == 1 and sub[0][0] in (C.LITERAL, C.NOT_LITERAL, C.ANY, C.IN):
+                body = _seq(sub, ascii_only)  # one character class: a loop without recursion in Java
+            elif hi is not C.MAXREPEAT and hi <= MAX_GROUP_REPEAT and not _has_repeat(sub):
+                body = "(?:" + _seq(sub, ascii_only) + ")"
+            else:
+                raise _Unsafe  # Java recurses per repetition of a group
             hi_text = "" if hi is C.MAXREPEAT else str(hi)
             quant = "{%d,%s}" % (lo, hi_text) if hi_text != str(lo) else "{%d}" % lo
             suffix = "?" if op is C.MIN_REPEAT else ("+" if op is not C.MAX_REPEAT else "")
@@ -214,6 +235,7 @@ def required_literal(query: Query) -> str | None:
         parsed = P.parse(query.text, 0 if query.case_sensitive else 2)
     except Exception:
         return None
+    ignore_case = bool(parsed.state.flags & 2)  # asked for, or by an inline (?i)
     best, run = "", ""
     for op, av in parsed:
         if op is C.LITERAL:
@@ -223,20 +245,95 @@ def required_literal(query: Query) -> str | None:
             run = ""
     if not best:
         return None
-    if not query.case_sensitive:
+    if ignore_case:
         if not best.isascii():
             return None
         best = best.lower()
     return best
 
 
+def ignores_case(query: Query) -> bool:
+    """By its option or by an inline ``(?i)``."""
+    if not query.case_sensitive:
+        return True
+    return bool(query.regex and P.parse(query.text, 0).state.flags & 2)
+
+
+def _mentions(tokens) -> set:
+    """The categories and boundaries a pattern uses, at any depth."""
+    found = set()
+    for op, av in tokens:
+        if op is C.AT:
+            found.add(av)
+        elif op is C.IN:
+            found |= {v for o, v in av if o is C.CATEGORY}
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) or op is getattr(C, "POSSESSIVE_REPEAT", None):
+            found |= _mentions(av[2])
+        elif op is C.SUBPATTERN:
+            found |= _mentions(av[3])
+        elif op is C.BRANCH:
+            for branch in av[1]:
+                found |= _mentions(branch)
+        elif op is getattr(C, "ATOMIC_GROUP", None):
+            found |= _mentions(av)
+    return found
+
+
+_DIFFERING: dict = {}
+
+
+def _differing(spark, java_class: str, python_class: str) -> list[tuple[int, int]]:
+    """Code point ranges on which the JVM's class and Python's disagree (asked of both
+    engines once per process: their Unicode tables differ by version)."""
+    import re
+
+    if java_class not in _DIFFERING:
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        pattern = spark._jvm.java.util.regex.Pattern.compile(f"[^{java_class}]")
+        java = set(pattern.matcher(everything).replaceAll(""))
+        points = sorted(map(ord, java ^ set(re.findall(python_class, everything))))
+        ranges: list[list[int]] = []
+        for p in points:
+            if ranges and ranges[-1][1] == p - 1:
+                ranges[-1][1] = p
+            else:
+                ranges.append([p, p])
+        _DIFFERING[java_class] = [tuple(r) for r in ranges]
+    return _DIFFERING[java_class]
+
+
+def jvm_may_differ(query: Query, text):
+    """A test for the texts on which the Java pattern of a regex query may not mean what
+    Python means: characters that only one engine counts as word characters or digits, and, next
+    to a boundary, characters outside the BMP (Java looks behind by half of them).
+    ``None`` when the pattern uses neither."""
+    from pyspark.sql import SparkSession
+
+    used = _mentions(P.parse(query.text, 0 if query.case_sensitive else 2))
+    boundary = bool(used & {C.AT_BOUNDARY, C.AT_NON_BOUNDARY})
+    spark = SparkSession.getActiveSession()
+    ranges: list[tuple[int, int]] = []
+    if boundary or C.CATEGORY_WORD in used:
+        ranges += _differing(spark, WORD, r"\w")
+    if C.CATEGORY_DIGIT in used:
+        ranges += _differing(spark, DIGIT, r"\d")
+    if boundary:
+        ranges.append((0x10000, 0x10FFFF))
+    if not ranges:
+        return None
+    low = min(lo for lo, _ in ranges)
+    listed = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+    # most texts hold nothing beyond the lowest of these characters: one range to test
+    return text.rlike(f"[\\x{{{low:X}}}-\\x{{10FFFF}}]") & text.rlike(f"[{listed}]")
+
+
 def literal_test(text, query: Query, must: str):
     """A cheap test that is true for every text holding a match (``must`` comes from
     :func:`required_literal`).  Case-insensitive: ``lower(text)`` contains it, or the
     text holds one of the few characters that fold onto a letter of it."""
     from pyspark.sql import functions as F
 
-    if query.case_sensitive:
+    if not ignores_case(query):
         return text.contains(must)
     test = F.lower(text).contains(must)
     for src, dst in zip(FOLD_TO_ASCII_FROM, FOLD_TO_ASCII_TO):
@@ -260,7 +357,7 @@ def java_line_pattern(query: Query) -> str | None:
     if lo == 0:
         return None
     try:
-        body = _seq(list(parsed), ascii_only=not query.case_sensitive)
+        body = _seq(list(parsed), ascii_only=bool(parsed.state.flags & 2))
     except _Unsafe:
         return None
     # case-insensitive items were expanded into their exact IGNORECASE sets, so the

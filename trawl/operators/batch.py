@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.regex_dialect import java_line_pattern, literal_test, required_literal
+from trawl.functions.regex_dialect import java_line_pattern, jvm_may_differ, literal_test, required_literal
 from trawl.functions.text import highlight, java_literal, newline_lines, number_prefix, splitlines
 from trawl.model import SNIPPET_LINE_MISMATCH, Query
-from trawl.operators.match import LENGTH_CHANGING_LOWER, python_findings_of
+from trawl.operators.match import LENGTH_CHANGING_LOWER, line_chunks, line_part, prefix_length, python_findings_of, with_block_sums
 
 PY_BATCH_TYPE = (
     "array<struct<query_id:int,line_number:bigint,match_text:string,char_start_in_line:bigint,"
@@ -38,14 +38,15 @@ def _python_batch_udf(queries: list[Query], ids: list[int]):
 
     @F.pandas_udf(PY_BATCH_TYPE)
     def findings_of(texts: pd.Series) -> pd.Series:
+        compiled = [(i, q, q.compiled() if q.regex else None) for i, q in qs]
         out = []
         for t in texts:
             if t is None:
                 out.append(None)
                 continue
             rows = []
-            for i, q in qs:
-                for r in python_findings_of("", t, q, None):
+            for i, q, pattern in compiled:
+                for r in python_findings_of("", t, q, pattern):
                     rows.append(
                         {"query_id": i, "line_number": r[1], "match_text": r[2], "char_start_in_line": r[3],
                          "char_end_in_line": r[4], "snippet": r[5]}
@@ -71,12 +72,18 @@ def native_many(docs: DataFrame, queries: list[Query]) -> DataFrame:
             pats.append(java_literal(needles[-1]))
         lens.append(len(q.text))
     ci_ids = [i for i, k in enumerate(kinds) if k == "ci"]
+    # documents on which the JVM may not mean what Python means, and the queries concerned
+    differ = {i: jvm_may_differ(q, text) for i, q in enumerate(queries) if q.regex}
+    differ = {i: test for i, test in differ.items() if test is not None}
+    py_ids = sorted([*ci_ids, *differ])
+    odd_tests = [*([text.contains(LENGTH_CHANGING_LOWER)] if ci_ids else []), *differ.values()]
 
     # one document test for the whole batch
     tests = []
     for q, k, pat, must in zip(queries, kinds, pats, needles):
         if k == "regex":
-            tests.append(literal_test(text, q, must) if must else text.rlike(pat))
+            alone = text.rlike(pat) if q not in [queries[i] for i in differ] else text.rlike(pat) | jvm_may_differ(q, text)
+            tests.append(literal_test(text, q, must) if must else alone)
         elif k == "ci":
             tests.append(F.lower(text).contains(must))
         else:
@@ -92,8 +99,11 @@ def native_many(docs: DataFrame, queries: list[Query]) -> DataFrame:
     cols = [F.col("path"), ol.alias("ol"), splitlines(text, ol).alias("sl")]
     if ci_ids:
         cols.append(newline_lines(F.lower(text)).alias("ll"))
-        odd = text.contains(LENGTH_CHANGING_LOWER)
-        cols += [odd.alias("odd"), _python_batch_udf(queries, ci_ids)(F.when(odd, text)).alias("py")]
+    if py_ids:
+        odd = odd_tests[0]
+        for test in odd_tests[1:]:
+            odd = odd | test
+        cols += [odd.alias("odd"), _python_batch_udf(queries, py_ids)(F.when(odd, text)).alias("py")]
     lines = spread(cand).select(*cols)
     olc, slc = F.col("ol"), F.col("sl")
     llc = F.col("ll") if ci_ids else olc
@@ -128,10 +138,10 @@ def native_many(docs: DataFrame, queries: list[Query]) -> DataFrame:
     for j, (q, k, pat, must) in enumerate(zip(queries, kinds, pats, needles)):
         test = line_test(q, k, pat, must)
         arr = F.transform(F.filter(F.sequence(F.lit(0), F.size(olc) - 1), test), hit_struct(j))
-        if k == "ci":  # these documents are answered by Python below
+        if j in py_ids:  # these documents are answered by Python below
             arr = F.when(F.col("odd"), F.filter(arr, lambda _h: F.lit(False))).otherwise(arr)
         arrays.append(arr)
-    if ci_ids:
+    if py_ids:
         pseudo = F.transform(
             F.when(F.col("odd"), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), hit_struct(-1, F.col("py"))
         )
@@ -156,21 +166,22 @@ def native_many(docs: DataFrame, queries: list[Query]) -> DataFrame:
         _case(qid, [F.regexp_extract_all(h["line"], F.lit(pats[j]), F.lit(0)) if kinds[j] == "regex"
                     else F.array().cast("array<string>") for j in range(len(queries))]).alias("found"),
     )
+    hits = with_block_sums(hits, ["pieces", "found"]).withColumn("chunks", line_chunks(F.col("h.line")))
     pyrow = qid < 0
     is_regex = _case(qid, [F.lit(k == "regex") for k in kinds], F.lit(False))
     n_occ = F.when(pyrow, F.size(h["py"])).when(is_regex, F.size("found")).otherwise(F.size("pieces") - 1)
     occ = F.when(n_occ > 0, F.sequence(F.lit(0), n_occ - 1)).otherwise(F.array().cast("array<int>"))
-    m = hits.select("path", "h", "before", "after", "sline", "pieces", "found", F.explode(occ).alias("k"))
+    m = hits.select("path", "h", "before", "after", "sline", "pieces", "found", "pieces_sums", "found_sums", "chunks", F.explode(occ).alias("k"))
     k = F.col("k")
-    prefix = F.length(F.array_join(F.slice("pieces", 1, k + 1), ""))
+    prefix = prefix_length("pieces", k + 1)
     qlen = _case(qid, [F.lit(n) for n in lens], F.lit(0))
-    start = F.when(is_regex, prefix + F.length(F.array_join(F.slice("found", 1, k), ""))).otherwise(prefix + k * qlen)
+    start = F.when(is_regex, prefix + prefix_length("found", k)).otherwise(prefix + k * qlen)
     m = m.select(
-        "path", "h", "before", "after", "sline", start.alias("start"),
+        "path", "h", "before", "after", "sline", "chunks", start.alias("start"),
         F.when(is_regex, F.get(F.col("found"), k)).alias("found_k"),
         F.when(pyrow, F.get(h["py"], k)).alias("f"),
     )
-    matched = F.when(is_regex, F.col("found_k")).otherwise(F.col("h.line").substr(F.col("start") + 1, qlen))
+    matched = F.when(is_regex, F.col("found_k")).otherwise(line_part("chunks", F.col("start"), qlen))
     m = m.withColumn("matched", matched)
     st, end = F.col("start"), F.col("start") + F.length("matched")
     body = F.concat_ws(

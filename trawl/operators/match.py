@@ -240,33 +240,41 @@ def _lines(docs: DataFrame, lowered: bool, odd: Column | None = None, query: Que
     return docs.select(*cols)
 
 
-MANY_MATCHES = 64  # per line; above this, offsets come from one running sum per line
+OFFSET_BLOCK = 256  # pieces summed up together
 
 
-def _running_lengths(arr: Column) -> Column:
-    """Running totals of the lengths of ``arr``'s strings (one pass over the line)."""
-    return F.aggregate(
-        arr,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x))),
-    )
+def _block_sums(pieces: Column) -> Column:
+    """Total length of all pieces before each block of ``OFFSET_BLOCK`` pieces."""
+    blocks = F.ceil(F.size(pieces) / OFFSET_BLOCK).cast("int")
+    starts = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+    sums = F.transform(starts, lambda b: F.length(F.array_join(F.slice(pieces, b * OFFSET_BLOCK + 1, F.lit(OFFSET_BLOCK)), "")))
+    return F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def with_block_sums(hits: DataFrame, names: list[str]) -> DataFrame:
+    """Adds ``<name>_sums`` for each array of pieces."""
+    return hits.withColumns({f"{n}_sums": _block_sums(F.col(n)) for n in names})
+
+
+def prefix_length(pieces: str, count: Column) -> Column:
+    """Total length of the first ``count`` pieces: the sum before their block plus the pieces of
+    the block, so a line costs in proportion to its matches."""
+    block = F.floor(count / OFFSET_BLOCK).cast("int")
+    inside = F.slice(pieces, block * OFFSET_BLOCK + 1, count - block * OFFSET_BLOCK)
+    return F.element_at(f"{pieces}_sums", block + 1) + F.length(F.array_join(inside, ""))
 
 
-def _with_running(hits: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``<name>_run`` for lines with many matches (null otherwise)."""
-    many = F.size(names[0]) > MANY_MATCHES
-    for n in names:
-        hits = hits.withColumn(f"{n}_run", F.when(many, _running_lengths(F.col(n))))
-    return hits
+def line_chunks(line: Column) -> Column:
+    """A line as chunks of ``OFFSET_BLOCK`` characters (one pass over it)."""
+    return F.regexp_extract_all(line, F.lit("(?s).{1,%d}" % OFFSET_BLOCK), F.lit(0))
 
 
-def _prefix_length(pieces: Column, k: Column, run: Column | None = None) -> Column:
-    """Total length of ``pieces[0..k]``: compiled for lines with few matches, read from
-    the line's running totals when it has many (linear instead of quadratic)."""
-    direct = F.length(F.array_join(F.slice(pieces, 1, k + 1), ""))
-    if run is None:
-        return direct
-    return F.when(run.isNotNull(), F.element_at(run, k + 1)).otherwise(direct)
+def line_part(chunks: str, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` on, without scanning the line up to there."""
+    block = F.floor(start / OFFSET_BLOCK).cast("int")
+    count = F.floor(length / OFFSET_BLOCK).cast("int") + 2
+    near = F.array_join(F.slice(chunks, block + 1, count), "")
+    return near.substr(start - block * OFFSET_BLOCK + 1, length)
 
 
 def _hits(lines: DataFrame, hit_idx: Column, query: Query, probe=None, with_py: bool = False) -> DataFrame:
@@ -306,12 +314,15 @@ def native_literal(docs: DataFrame, query: Query, odd: Column | None = None) ->
     probe = (lambda i: F.get(ll, i)) if lowered else None
     hits = _hits(lines, hit_idx, query, probe, with_py)
     searched = F.col("h.probe") if lowered else F.col("h.line")
-    hits = _with_running(hits.withColumn("pieces", F.split(searched, java_literal(q), -1)), ["pieces"])
+    hits = with_block_sums(hits.withColumn("pieces", F.split(searched, java_literal(q), -1)), ["pieces"])
     k = F.col("k")
-    matches = _explode_matches(hits, F.size("pieces") - 1, ["pieces", "pieces_run"], with_py).select(
-        "path", "h", "before", "after", "sline", *(["f"] if with_py else []),
-        (_prefix_length(F.col("pieces"), k, F.col("pieces_run")) + k * qlen).alias("start"),
-    ).withColumn("matched", F.col("h.line").substr(F.col("start") + 1, F.lit(qlen)))
+    if lowered:
+        hits = hits.withColumn("chunks", line_chunks(F.col("h.line")))
+    extra = ["chunks"] if lowered else []
+    matches = _explode_matches(hits, F.size("pieces") - 1, ["pieces", "pieces_sums", *extra], with_py).select(
+        "path", "h", "before", "after", "sline", *extra, *(["f"] if with_py else []),
+        (prefix_length("pieces", k + 1) + k * qlen).alias("start"),
+    ).withColumn("matched", line_part("chunks", F.col("start"), F.lit(qlen)) if lowered else F.lit(query.text))
     return _finish(matches, with_py)
 
 
@@ -346,17 +357,12 @@ def native_regex(
         F.regexp_extract_all(line, F.lit(java_pattern), F.lit(0)).alias("found"),
         F.split(line, java_pattern, -1).alias("pieces"),
     )
-    hits = _with_running(hits, ["pieces", "found"])
+    hits = with_block_sums(hits, ["pieces", "found"])
     k = F.col("k")
     found = F.col("found")
-    found_before = F.when(k == 0, F.lit(0)).otherwise(
-        F.when(F.col("found_run").isNotNull(), F.element_at(F.col("found_run"), F.greatest(k, F.lit(1)))).otherwise(
-            F.length(F.array_join(F.slice(found, 1, k), ""))
-        )
-    )
-    matches = _explode_matches(hits, F.size("found"), ["found", "pieces", "pieces_run", "found_run"], with_py).select(
+    matches = _explode_matches(hits, F.size("found"), ["found", "pieces", "pieces_sums", "found_sums"], with_py).select(
         "path", "h", "before", "after", "sline", *(["f"] if with_py else []),
-        (_prefix_length(F.col("pieces"), k, F.col("pieces_run")) + found_before).alias("start"),
+        (prefix_length("pieces", k + 1) + prefix_length("found", k)).alias("start"),
         F.get(found, k).alias("matched"),
     )
     return _finish(matches, with_py)

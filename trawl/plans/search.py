@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.regex_dialect import (
     java_line_pattern,
+    jvm_may_differ,
     literal_test,
     required_literal,
 )
@@ -114,15 +115,17 @@ def find(corpus: DataFrame, query: Query) -> DataFrame:
     must = required_literal(query)
     # a literal every match contains is a cheap document test (compiled `contains`);
     # the regex itself then only runs on candidate documents, after spreading
+    odd = jvm_may_differ(query, text) if java is not None else None
     if must:
         cand = docs.where(literal_test(text, query, must))
     elif java is not None:
-        cand = docs.where(text.rlike(java))
+        cand = docs.where(text.rlike(java) if odd is None else text.rlike(java) | odd)
     else:
         cand = docs
     if java is None:
         return python_route(spread(cand), query)
-    return native_regex(spread(cand), query, java, must=must)
+    # the few documents on which the engines' character tables differ are answered by Python
+    return native_regex(spread(cand), query, java, odd=odd, must=must)
 
 
 def search(corpus: DataFrame, query: Query, ordered: bool = True) -> DataFrame:
