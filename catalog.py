@@ -430,8 +430,7 @@ e1 AS (SELECT path, {O.file_key_sql('search', O.SEARCH_PARAMS_LICENSE, 'path', '
 e2a AS (SELECT path, {O.file_key_sql('search', O.SEARCH_PARAMS_LICENSE, 'path', 'mtime')} AS key, 1 AS t
        FROM ({O.DOCS_V2}) d),
 b1 AS (SELECT e1.path, e1.key, e1.t, coalesce(sz.b, 0) AS b FROM e1 LEFT JOIN sz ON sz.file_path = e1.path),
-k1 AS (SELECT path, key, t, b FROM (SELECT *, sum(b) OVER (ORDER BY t DESC, key ROWS BETWEEN UNBOUNDED PRECEDING
-       AND CURRENT ROW) AS running FROM b1) x WHERE running <= {EVICT_LIMIT}),
+k1 AS (SELECT path, key, t, b FROM b1),
 e2 AS (SELECT * FROM e2a WHERE key NOT IN (SELECT key FROM k1)),
 b2 AS (SELECT e2.path, e2.key, e2.t, coalesce(sz.b, 0) AS b FROM e2 LEFT JOIN sz ON sz.file_path = e2.path),
 eb AS (SELECT * FROM k1 UNION ALL SELECT * FROM b2),
@@ -440,11 +439,11 @@ SELECT key, CAST(t AS BIGINT) AS batch FROM r WHERE running <= {EVICT_LIMIT}
 """,
 )
 def cache_evict(spark, sf_dir):
-    """With a size limit, every commit keeps the newest entries while their total
-    fits.  The first commit already trims; the second stores every file whose key is
-    no longer live (edited or evicted before)."""
+    """Trimming a table keeps the newest entries while their total fits the limit
+    (maintenance: the searches before it store and return everything)."""
     table = _populated(spark, sf_dir, size_limit_bytes=EVICT_LIMIT)
     C.cached_search(_docs_v2(spark, sf_dir), _LICENSE, table, now=T1).count()
+    table.trim()
     return table.entries().select("key", F.when(F.col("stored_at") == F.lit(T1), 1).otherwise(0).cast("long").alias("batch"))
 
 

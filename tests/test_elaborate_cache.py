@@ -198,3 +198,39 @@ def test_elaborate_one_finding_of_a_json_report(corpus, spark, tmp_path):
     assert len(out) == 1 and out[0].status == "ok" and out[0].finding_id == 2
     prompt = EL.prompts(one, c, 10).first().prompt
     assert out[0].elaboration == EL.stub_reply(prompt)
+
+
+def test_a_tiny_size_limit_never_cuts_answers(spark, corpus):
+    from trawl.model import FINDING_COLUMNS
+    from trawl.operators import cache as C
+    from trawl.operators import elaborate as EL
+    from trawl.operators.report import with_finding_ids
+    from trawl.plans.search import find
+
+    files = corpus({f"/f{i}": "license\nno\nLicense" for i in range(5)}, {f"/f{i}": 1.0 for i in range(5)})
+    query = Query("license")
+    plain = sorted(map(tuple, find(files, query).select(*FINDING_COLUMNS).collect()))
+    table = C.scratch_table(spark, "search", size_limit_bytes=1)
+    for _ in range(2):
+        assert sorted(map(tuple, C.cached_search(files, query, table).collect())) == plain
+    ids = with_finding_ids(find(files, query))
+    table = C.scratch_table(spark, "elaborate", size_limit_bytes=1)
+    for cached in (False, True):
+        got = C.cached_elaborate(ids, files, EL.stub_model, table).collect()
+        assert len(got) == len(plain) and all(r.from_cache is cached for r in got)
+    # a store that cannot be written never fails the call
+    broken = C.ResultTable(spark, "file:/proc/nowhere/trawl", "elaborate")
+    assert C.cached_elaborate(ids, files, EL.stub_model, broken).count() == len(plain)
+    assert C.cached_elaborate(ids, files, EL.stub_model, None, use_cache=False).count() == len(plain)
+
+
+def test_reply_lists_of_the_wrong_length(spark):
+    from trawl.operators import elaborate as EL
+
+    rows = [(i, f"p{i}", "/f", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "finding_id long, prompt string, file_path string, line_number long").coalesce(1)
+    short = EL.call_model(df, lambda ps: ["ok"] * (len(ps) - 2)).collect()
+    assert [r.status for r in sorted(short)] == ["ok"] * 3 + ["error"] * 2
+    assert {r.elaboration for r in short if r.status == "error"} == {EL.ERR_NO_CHOICES}
+    many = EL.call_model(df, lambda ps: ["ok"] * (len(ps) + 1)).collect()
+    assert all(r.status == "error" for r in many)

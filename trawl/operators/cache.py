@@ -40,6 +40,9 @@ DEFAULT_TTL_SECONDS = 7 * 24 * 60 * 60
 DEFAULT_SIZE_LIMIT_BYTES = 100 * 1024 * 1024
 
 SEP = "\u001f"
+#: The keys of missing files are broadcast up to this measured size, else they are shuffled.
+KEY_BYTES = 96
+BROADCAST_KEY_BYTES = 64 * 1024 * 1024
 ENTRY_COLUMNS = ["key", "op", "file_path", "mtime", "stored_at", "expires_at", "bytes", "batch"]
 
 
@@ -58,6 +61,17 @@ def finding_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws(SEP, *[F.col(c).cast("string") for c in cols if c in df.columns]), 256)
 
 
+def with_partition_offsets(tagged: DataFrame, totals: list[tuple[int, int]]) -> DataFrame:
+    """Adds ``_off``, the sum of ``totals`` (partition ``_pid``, value) of all partitions before
+    a row's own: a broadcast join with one row per partition."""
+    offsets, acc = [], 0
+    for pid, value in sorted(totals):
+        offsets.append((int(pid), acc))
+        acc += int(value)
+    table = tagged.sparkSession.createDataFrame(offsets, "_pid int, _off long")
+    return tagged.join(F.broadcast(table), "_pid", "left").withColumn("_off", F.coalesce("_off", F.lit(0).cast("long")))
+
+
 def running_total(df: DataFrame, order: list[Column], value: str, out: str = "running") -> DataFrame:
     """Cumulative sum of ``value`` in ``order`` without a single-partition window.
 
@@ -67,15 +81,9 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str = "ru
     checkpoint_dir(df.sparkSession)
     ordered = df.orderBy(*order).checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
     totals = ordered.groupBy("_pid").agg(F.sum(value).alias("t")).orderBy("_pid").collect()
-    offset = F.lit(0).cast("long")
-    if totals:
-        pairs, acc = [], 0
-        for r in totals:
-            pairs += [F.lit(r["_pid"]), F.lit(acc).cast("long")]
-            acc += r["t"] or 0
-        offset = F.coalesce(F.create_map(*pairs)[F.col("_pid")], offset)
+    ordered = with_partition_offsets(ordered, [(r["_pid"], r["t"] or 0) for r in totals])
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ordered.withColumn(out, offset + F.sum(value).over(w)).drop("_pid")
+    return ordered.withColumn(out, F.col("_off") + F.sum(value).over(w)).drop("_pid", "_off")
 
 
 class ResultTable:
@@ -191,10 +199,18 @@ class ResultTable:
 
     # ------------------------------------------------------------------ maintenance
 
-    def evict(self, entries: DataFrame) -> DataFrame:
-        """Keep the newest entries while their total size stays within the limit."""
+    def trim(self) -> int:
+        """Keep the newest entries while their total size stays within the limit; returns
+        how many went.  Maintenance only: no search or elaboration calls it, so the size
+        limit never touches an answer."""
+        if not self.versions():
+            return 0
+        entries = self.entries()
         ranked = running_total(entries, [F.col("stored_at").desc(), F.col("key")], "bytes")
-        return ranked.where(F.col("running") <= F.lit(self.size_limit_bytes)).drop("running")
+        kept = ranked.where(F.col("running") <= F.lit(self.size_limit_bytes)).drop("running")
+        before = entries.count()
+        self.commit(kept)
+        return before - self.entries().count()
 
     def delete(self, keys: DataFrame) -> int:
         """Remove the given keys; returns how many entries went."""
@@ -242,17 +258,25 @@ def cached_search(
         return find(corpus, query).select(*FINDING_COLUMNS)
     t = _now(now)
     mtime = F.col("mtime") if "mtime" in corpus.columns else F.lit(0.0)
-    keyed = corpus.select("path", "text", mtime.alias("mtime")).select(
-        "path", "text", "mtime", file_key(table.op, query.params(), F.col("path"), F.col("mtime")).alias("key")
-    )
+    key = file_key(table.op, query.params(), F.col("path"), F.col("mtime")).alias("key")
+    files = corpus.select("path", mtime.alias("mtime"))
+    keyed = files.select("path", "mtime", key)
+    checkpoint_dir(corpus.sparkSession)
     live = table.live_keys(t)
-    misses = keyed if live is None else keyed.join(live, "key", "left_anti")
+    texts = corpus.select("path", "text", mtime.alias("mtime")).withColumn("key", key)
+    if live is None:
+        misses, missed = keyed, texts
+    else:
+        # keys alone are compared; the texts of the misses are fetched after that
+        misses = keyed.join(live, "key", "left_anti").checkpoint(eager=True)
+        wanted = misses.select("key").distinct()
+        n = misses.count()
+        missed = texts.join(F.broadcast(wanted) if n * KEY_BYTES <= BROADCAST_KEY_BYTES else wanted, "key", "left_semi")
 
     # The search treats ``path`` as an opaque label: carrying the key inside it keeps
     # the new rows keyed without a join back to the files.
-    labelled = misses.select(F.concat_ws(SEP, "key", "path").alias("path"), "text")
+    labelled = missed.select(F.concat_ws(SEP, "key", "path").alias("path"), "text")
     found = find(labelled, query).select(*FINDING_COLUMNS)
-    checkpoint_dir(corpus.sparkSession)
     new_rows = found.select(
         F.substring_index("file_path", SEP, 1).alias("key"),
         F.expr(f"substring(file_path, instr(file_path, '{SEP}') + 1)").alias("file_path"),
@@ -269,17 +293,21 @@ def cached_search(
             F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), F.lit(None).cast("int").alias("batch"),
         )
     )
+    # the answer: stored rows of live keys and the new rows, whatever the store does next
+    answer = new_rows.select(*FINDING_COLUMNS)
     if live is None:
         kept_entries = new_entries
     else:
-        kept_entries = table.entries().join(live, "key", "left_semi").unionByName(new_entries)
-    kept_entries = table.evict(kept_entries)
+        live_entries = table.entries().join(live, "key", "left_semi")
+        kept_entries = live_entries.unionByName(new_entries)
+        stored = table.rows(live_entries)
+        if stored is not None:
+            answer = stored.join(keyed.select("key"), "key", "left_semi").select(*FINDING_COLUMNS).unionByName(answer)
     try:
         table.commit(kept_entries, new_rows)  # only the new rows are written
-        return table.rows().join(keyed.select("key"), "key", "left_semi").select(*FINDING_COLUMNS)
     except Exception as exc:  # noqa: BLE001 - C10: a failed store never fails the search
         log.warning("could not store results in %s: %s", table.root, exc)
-        return find(corpus, query).select(*FINDING_COLUMNS)
+    return answer
 
 
 def lookup_keys(corpus: DataFrame, query: Query, table: ResultTable, now: dt.datetime | None = None) -> DataFrame:
@@ -309,16 +337,21 @@ def cached_elaborate(
     findings: DataFrame,
     corpus: DataFrame,
     model_fn,
-    table: ResultTable,
+    table: ResultTable | None,
     model_name: str = "stub",
     api_base: str | None = None,
     window: int = 10,
     now: dt.datetime | None = None,
+    use_cache: bool = True,
 ) -> DataFrame:
     """Elaborate only findings without a live stored elaboration; store the
-    successful ones (``Error:`` results are returned but never stored)."""
+    successful ones (``Error:`` results are returned but never stored).
+    ``use_cache=False`` bypasses the table entirely (C9)."""
     from trawl.operators.elaborate import elaborate
 
+    if table is None or not use_cache:
+        done = elaborate(findings, corpus, model_fn, window)
+        return done.select("finding_id", "elaboration", "status", F.lit(False).alias("from_cache"))
     t = _now(now)
     mt = corpus.select(F.col("path").alias("file_path"), F.col("mtime").alias("source_mtime"))
     with_src = findings.join(mt, "file_path", "left")
@@ -336,23 +369,22 @@ def cached_elaborate(
         F.lit(None).cast("int").alias("batch"),
     ).dropDuplicates(["key"])
     new_rows = ok.select("key", "elaboration").dropDuplicates(["key"])
+    # the answer: stored elaborations of live keys and everything computed now
+    answer = fresh.select("finding_id", "elaboration", "status", F.lit(False).alias("from_cache"))
     if live is None:
         kept_entries = new_entries
     else:
-        kept_entries = table.entries().join(live, "key", "left_semi").unionByName(new_entries)
-    kept_entries = table.evict(kept_entries)
-    errors = fresh.where(F.col("status") != "ok").select("finding_id", "elaboration", "status")
-    table.commit(kept_entries, new_rows, {"errors": errors})
-    v = table.versions()[-1]
-    stored = table.rows()
-    hits = keyed.join(stored, "key", "inner").select("finding_id", "elaboration", F.lit("ok").alias("status"))
-    errs = table.spark.read.parquet(f"{table._dir(v)}/errors").withColumn("from_cache", F.lit(False))
-    # a finding elaborated in this run is marked as not from the cache
-    fresh_ids = misses.select("finding_id").withColumn("fresh", F.lit(True))
-    marked = hits.join(fresh_ids, "finding_id", "left").select(
-        "finding_id", "elaboration", "status", F.col("fresh").isNull().alias("from_cache")
-    )
-    return marked.unionByName(errs)
+        live_entries = table.entries().join(live, "key", "left_semi")
+        kept_entries = live_entries.unionByName(new_entries)
+        stored = table.rows(live_entries)
+        if stored is not None:
+            hits = keyed.join(stored, "key").select("finding_id", "elaboration", F.lit("ok").alias("status"), F.lit(True).alias("from_cache"))
+            answer = hits.unionByName(answer)
+    try:
+        table.commit(kept_entries, new_rows)
+    except Exception as exc:  # noqa: BLE001 - C10: a failed store never fails the elaboration
+        log.warning("could not store elaborations in %s: %s", table.root, exc)
+    return answer
 
 
 def scratch_table(spark: SparkSession, op: str, **kw) -> ResultTable:

@@ -197,13 +197,31 @@ def _classify(reply, exc, file_path, line_number) -> tuple[str, str]:
     return "ok", reply
 
 
+#: Prompts per call: what a raising call makes ask again.
+MODEL_BATCH = 16
+
+
+def _replies(model_fn: ModelFn, ps: list[str]) -> list:
+    """Exactly one reply (or exception) per prompt."""
+    try:
+        replies = list(model_fn(ps))
+    except Exception as exc:  # noqa: BLE001 - isolate the failing prompt
+        if len(ps) == 1:
+            return [exc]
+        return [r for p in ps for r in _replies(model_fn, [p])]
+    if len(replies) > len(ps):
+        return [ValueError(f"{len(replies)} replies to {len(ps)} prompts")] * len(ps)
+    return replies + [None] * (len(ps) - len(replies))
+
+
 def call_model(df: DataFrame, model_fn: ModelFn, concurrency: int | None = None) -> DataFrame:
     """``elaboration`` and ``status`` for every row's ``prompt``.
 
-    ``model_fn`` gets the prompts of one Arrow batch and returns one reply per prompt:
+    ``model_fn`` gets at most ``MODEL_BATCH`` prompts and returns one reply per prompt:
     a string, ``None`` (no answer), or an ``Exception`` instance for a failed call.
-    If it raises, every prompt of the batch is retried one by one so that a single
-    bad prompt only marks itself.  ``concurrency`` bounds parallel calls.
+    If it raises, the prompts of that small batch are asked one by one so that a single
+    bad prompt only marks itself.  Too few replies leave the rest without an answer; too
+    many are an error of the whole batch, because it is unknown which belong.  ``concurrency`` bounds parallel calls.
     """
     df = df.drop("elaboration", "status")  # a new answer replaces any earlier one (e.g. from a report)
     keep = df.columns
@@ -211,20 +229,11 @@ def call_model(df: DataFrame, model_fn: ModelFn, concurrency: int | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ps = pdf["prompt"].tolist()
-            try:
-                replies = list(model_fn(ps))
-                errors = [r if isinstance(r, BaseException) else None for r in replies]
-            except Exception:  # noqa: BLE001 - isolate the failing prompt
-                replies, errors = [], []
-                for p in ps:
-                    try:
-                        r = list(model_fn([p]))[0]
-                        replies.append(r)
-                        errors.append(r if isinstance(r, BaseException) else None)
-                    except Exception as exc:  # noqa: BLE001
-                        replies.append(None)
-                        errors.append(exc)
+            replies = []
+            for lo in range(0, len(pdf), MODEL_BATCH):
+                ps = pdf["prompt"].iloc[lo : lo + MODEL_BATCH].tolist()
+                replies += _replies(model_fn, ps)
+            errors = [r if isinstance(r, BaseException) else None for r in replies]
             out = [
                 _classify(None if e is not None else r, e, fp, ln)
                 for r, e, fp, ln in zip(replies, errors, pdf["file_path"], pdf["line_number"])
