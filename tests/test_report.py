@@ -118,3 +118,22 @@ def test_write_report_roundtrip(corpus, tmp_path):
 
     text = "".join(open(p, encoding="utf-8").read() for p in sorted(glob.glob(out + "/part-*")))
     assert json.loads(text) == results
+
+
+def test_json_lines_round_trip_and_headers(spark, tmp_path):
+    from trawl.model import FINDING_SCHEMA
+    from trawl.operators import report as R
+    from trawl.sources.report import read_report_lines
+
+    rows = [(f"/f{i % 7}", i, "m", 0, 1, f"a\n\"{i}\" é") for i in range(40)]
+    rows.append(rows[0])  # the same path and place twice
+    findings = spark.createDataFrame(rows, FINDING_SCHEMA).repartition(6)
+    path = str(tmp_path / "report")
+    assert R.write_report(findings, path, "jsonl") == 41
+    back = read_report_lines(spark, path)
+    ids = sorted(r.finding_id for r in back.collect())
+    assert ids == list(range(41))
+    assert sorted((r.file_path, r.line_number, r.snippet) for r in back.collect()) == sorted((r[0], r[1], r[5]) for r in rows)
+    headed = R.with_file_headers(R.with_finding_ids(findings))
+    assert headed.where("new_file").count() == 7
+    assert R.report_blocks(findings, "json", indent=2).where("finding_id = 0").first().value.startswith('[\n  {\n    "file_path"')

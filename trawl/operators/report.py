@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.model import FINDING_COLUMNS
+from trawl.operators.cache import with_partition_offsets
 from trawl.session import checkpoint_dir
 
 ORDER = ["file_path", "line_number", "char_start_in_line"]
@@ -48,17 +49,10 @@ def with_finding_ids(findings: DataFrame, checkpoint: bool = True) -> DataFrame:
         ordered = ordered.checkpoint(eager=True)
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").count().orderBy("_pid").collect()  # one row per partition
-    offsets, running = [], 0
-    for row in counts:
-        offsets.append((row["_pid"], running))
-        running += row["count"]
     pos_in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    offset = F.lit(0).cast("long")
-    if offsets:
-        offset_map = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
-        offset = F.coalesce(offset_map[F.col("_pid").cast("long")], offset)
+    tagged = with_partition_offsets(tagged.withColumn("_pos", pos_in_part), [(r["_pid"], r["count"]) for r in counts])
     return tagged.select(
-        (offset + pos_in_part).cast("long").alias("finding_id"),
+        (F.col("_off") + F.col("_pos")).cast("long").alias("finding_id"),
         *[c for c in findings.columns],
     )
 
@@ -96,6 +90,11 @@ def with_file_headers(findings: DataFrame) -> DataFrame:
     Joined on (file, line, column), which is unique per finding, so a file with many
     findings does not make a skewed join key.  ``findings`` is read twice: pass a
     materialized report (e.g. from :func:`with_finding_ids`), not a fresh search."""
+    if "finding_id" in findings.columns:
+        # the row before, by its id: a path that occurs twice has one header
+        before = findings.select((F.col("finding_id") + 1).alias("finding_id"), F.col("file_path").alias("_before"))
+        joined = findings.join(before, "finding_id", "left")
+        return joined.withColumn("new_file", ~F.col("file_path").eqNullSafe(F.col("_before"))).drop("_before")
     firsts = file_firsts(findings).withColumn("new_file", F.lit(True))
     return findings.join(firsts, on=ORDER, how="left").withColumn("new_file", F.coalesce("new_file", F.lit(False)))
 
@@ -180,11 +179,16 @@ def console_blocks(with_ids: DataFrame, total: int) -> DataFrame:
     return with_ids.select("finding_id", body.alias("value"))
 
 
-FORMATS = {"json": "json", "md": "md", "markdown": "md", "console": "console"}
+FORMATS = {"json": "json", "jsonl": "jsonl", "md": "md", "markdown": "md", "console": "console"}
 
 
-def report_blocks(findings: DataFrame, fmt: str = "console") -> DataFrame:
-    """K4: blocks of a report in the requested format (unknown format -> console)."""
+def report_blocks(findings: DataFrame, fmt: str = "console", indent: int = 4) -> DataFrame:
+    """K4: blocks of a report in the requested format (unknown format -> console);
+    ``indent`` is that of the JSON form."""
+    return _numbered_blocks(findings, fmt, indent)[0]
+
+
+def _numbered_blocks(findings: DataFrame, fmt: str, indent: int) -> tuple[DataFrame, int]:
     kind = FORMATS.get(fmt.lower())
     if kind is None:
         warnings.warn(f"Unknown output format '{fmt}'. Defaulting to console.")
@@ -193,22 +197,32 @@ def report_blocks(findings: DataFrame, fmt: str = "console") -> DataFrame:
     total = with_ids.count()
     spark = findings.sparkSession
     if total == 0:
-        empty = "[]" if kind == "json" else NO_MATCHES
-        return spark.range(1).select(F.lit(0).cast("long").alias("finding_id"), F.lit(empty).alias("value"))
+        empty = "[]" if kind == "json" else "" if kind == "jsonl" else NO_MATCHES
+        return spark.range(1).select(F.lit(0).cast("long").alias("finding_id"), F.lit(empty).alias("value")), 0
     if kind == "json":
-        return json_blocks(with_ids, total)
+        return json_blocks(with_ids, total, indent), total
+    if kind == "jsonl":
+        return json_lines(with_ids), total
     if kind == "md":
-        return markdown_blocks(with_ids, total)
-    return console_blocks(with_ids, total)
+        return markdown_blocks(with_ids, total), total
+    return console_blocks(with_ids, total), total
+
+
+def json_lines(with_ids: DataFrame) -> DataFrame:
+    """One JSON object per finding, with its ``finding_id``: the form that is read back from
+    many parts (:func:`trawl.sources.report.read_report_lines`)."""
+    cols = ["finding_id", *[c for c in _JSON_FIELDS if c in with_ids.columns]]
+    cols += ["elaboration"] if "elaboration" in with_ids.columns else []
+    return with_ids.select("finding_id", F.to_json(F.struct(*cols)).alias("value"))
 
 
-def write_report(findings: DataFrame, path: str, fmt: str = "console") -> int:
+def write_report(findings: DataFrame, path: str, fmt: str = "console", indent: int = 4) -> int:
     """K6: write the report as ordered text part files under ``path``; returns the
     number of findings.  The part files, concatenated in order, are the report.
     Errors propagate to the caller."""
-    blocks = report_blocks(findings, fmt)
+    blocks, total = _numbered_blocks(findings, fmt, indent)
     blocks.orderBy("finding_id").select("value").write.mode("overwrite").text(path)
-    return findings.count()
+    return total
 
 
 def elaboration_json(elaborated: DataFrame) -> DataFrame:

@@ -39,3 +39,10 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     df = df.withColumn("report", F.input_file_name()).withColumn("_mid", F.monotonically_increasing_id())
     w = Window.partitionBy("report").orderBy("_mid")
     return df.withColumn("finding_id", (F.row_number().over(w) - 1).cast("long")).drop("_mid")
+
+
+def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of a JSON-lines report (``write_report(..., "jsonl")``): any number of parts, read
+    in parallel, each finding with the id it was written with."""
+    fields = ["finding_id bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in REPORT_SCHEMA if f.name != "_corrupt_record")]
+    return spark.read.schema(", ".join(fields)).json(path)
