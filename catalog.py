@@ -86,12 +86,12 @@ _search_item("search_pages", "pages", Query("the"), "literal")
 _search_item("search_conversations", "conversations", Query("the"), "literal")
 
 
-@register(
-    "search_empty_query",
-    O.wrap_findings(O.literal_search("documents", "license").replace("contains(lower(text), 'license')", "FALSE")),
+# an inline flag, and a repeat over alternatives (which stays off the JVM's recursive matcher)
+CATALOG["search_regex_inline_flag"] = Item(
+    _search("documents", Query(r"(?i)license", regex=True, case_sensitive=True), False),
+    O.wrap_findings(O.literal_search("documents", "license")),
 )
-def search_empty_query(spark, sf_dir):
-    return search(tables.documents(spark, sf_dir), Query(""))
+_search_item("search_regex_alternation", "documents", Query(r"(?:qu|th)+e", regex=True, case_sensitive=True), "line_regex")
 
 
 @register(
@@ -169,20 +169,20 @@ CATALOG["scan_filter"] = Item(
     "SELECT path, "
     f"len(list_filter({O.utf8_probe_pairs('text')}, lambda b: b = '00')) > 0 AS has_nul, "
     f"CAST(len(list_filter({O.utf8_probe_pairs('text')}, lambda b: NOT regexp_matches(b, '{O.TEXT_BYTE_HEX}'))) AS DOUBLE) "
-    f"/ len({O.utf8_probe_pairs('text')}) > 0.30 AS mostly_nontext, "
+    f"/ greatest(len({O.utf8_probe_pairs('text')}), 1) > 0.30 AS mostly_nontext, "
     f"len(list_filter({O.utf8_probe_pairs('text')}, lambda b: b = '00')) > 0 OR CAST(len(list_filter({O.utf8_probe_pairs('text')}, "
-    f"lambda b: NOT regexp_matches(b, '{O.TEXT_BYTE_HEX}'))) AS DOUBLE) / len({O.utf8_probe_pairs('text')}) > 0.30 AS is_binary "
-    f"FROM ({O.CORPORA['documents']}) c WHERE length(text) > 0",
+    f"lambda b: NOT regexp_matches(b, '{O.TEXT_BYTE_HEX}'))) AS DOUBLE) / greatest(len({O.utf8_probe_pairs('text')}), 1) > 0.30 AS is_binary "
+    f"FROM ({O.CORPORA['documents']}) c",
 )
 def filter_nontext_ratio(spark, sf_dir):
     """F7-F9 over the UTF-8 bytes of every document (non-Latin prose counts as binary)."""
-    docs = tables.documents(spark, sf_dir).where(F.length("text") > 0)
+    docs = tables.documents(spark, sf_dir)
     content = F.encode("text", "UTF-8")
     chunk = FL.probe(content)
     return docs.select(
         "path",
         FL.has_nul(chunk).alias("has_nul"),
-        (FL.nontext_share(chunk) > FL.NONTEXT_RATIO).alias("mostly_nontext"),
+        F.coalesce(FL.nontext_share(chunk) > FL.NONTEXT_RATIO, F.lit(False)).alias("mostly_nontext"),
         FL.binary_by_content(content).alias("is_binary"),
     )
 
@@ -219,6 +219,23 @@ def finding_ids(spark, sf_dir):
     return R.with_finding_ids(_license(spark, sf_dir))
 
 
+@register(
+    "report_roundtrip",
+    "SELECT finding_id, file_path, line_number, match_text, char_start_in_line, char_end_in_line, snippet "
+    f"FROM ({O.ordered_findings(_LICENSE_SQL)}) x",
+)
+def report_roundtrip(spark, sf_dir):
+    """S7 + K1 + K6: a report written as JSON lines in many parts and read back with its ids."""
+    from trawl.session import checkpoint_dir
+    from trawl.sources.report import read_report_lines
+
+    path = f"{checkpoint_dir(spark)}/trawl-report-{_uuid.uuid4().hex}"
+    R.write_report(_license(spark, sf_dir), path, "jsonl")
+    return read_report_lines(spark, path).select(
+        "finding_id", "file_path", "line_number", "match_text", "char_start_in_line", "char_end_in_line", "snippet"
+    )
+
+
 @register("finding_lookup", f"SELECT * FROM ({O.ordered_findings(_LICENSE_SQL)}) x WHERE finding_id = 10")
 def finding_lookup(spark, sf_dir):
     return R.lookup(R.with_finding_ids(_license(spark, sf_dir)), "10")
