@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.components import UnionFind, components
+from trawl.llm.components import components, star_edges
 from trawl.llm.scratch import Scratch
 
 MIN_COSINE = 0.98
@@ -44,6 +44,10 @@ CODEWORDS = 64
 ROUNDS = 8
 BLOCK = 1024
 SEED = 11
+#: Bounds of what a task computes at once: rows placed, distances, exact cosines.
+PLACE_ROWS = 2048
+PAIRS_AT_ONCE = 1 << 20
+RERANK_AT_ONCE = 1 << 16
 #: Slack for rounding in the candidate tests (never in the rerank).
 SLACK = 1e-6
 
@@ -101,8 +105,9 @@ class Quantizer:
         self.centers = _kmeans(x, lists, rng)
         rest = _split(x - self.centers[_nearest(x, self.centers)])
         self.books = [_kmeans(part, CODEWORDS, rng) for part in rest]
-        gaps = ((self.centers[:, None, :] - self.centers[None, :, :]) ** 2).sum(-1) if lists <= 256 else None
-        self.gaps = np.sqrt(gaps) if gaps is not None else None
+        square = (self.centers**2).sum(1)
+        gaps = square[:, None] + square[None, :] - 2 * self.centers @ self.centers.T
+        self.gaps = np.sqrt(np.maximum(gaps, 0))
 
     def encode(self, x: np.ndarray):
         """List, codes and error norm of unit vectors."""
@@ -112,66 +117,56 @@ class Quantizer:
         back = np.stack([book[codes[:, m]] for m, book in enumerate(self.books)])
         return near, codes, np.sqrt(((rest - back) ** 2).sum(axis=(0, 2)))
 
-    def probes(self, x: np.ndarray, near: np.ndarray, reach: float):
-        """For each vector the other lists that can hold a vector within ``reach``."""
+    def probes(self, x: np.ndarray, near: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the later lists that can hold a vector within ``reach`` of a row (a
+        pair of lists is looked at from the earlier one)."""
         far = (self.centers**2).sum(1)[None, :] - 2 * x @ self.centers.T
         far -= far[np.arange(len(x)), near][:, None]
-        for i, own in enumerate(near.tolist()):
-            gap = self.gaps[own] if self.gaps is not None else np.sqrt(((self.centers - self.centers[own]) ** 2).sum(1))
-            hit = np.flatnonzero(far[i] <= 2 * reach * gap + SLACK)
-            yield hit[hit != own]
+        hit = far <= 2 * reach * self.gaps[near] + SLACK
+        return np.nonzero(hit & (np.arange(len(self.centers))[None, :] > near[:, None]))
 
-    def distances(self, query: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of one query to stored codes of a list."""
-        rest = _split((query - self.centers[center])[None, :])[:, 0, :]
-        total = np.zeros(len(codes))
-        for m, book in enumerate(self.books):
-            total += ((book - rest[m]) ** 2).sum(1)[codes[:, m]]
-        return np.sqrt(total)
+    def distances(self, queries: np.ndarray, center: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of queries to the stored codes of a list, by table lookup."""
+        total = np.zeros((len(queries), len(codes)))
+        for m, (rest, book) in enumerate(zip(_split(queries - self.centers[center]), self.books)):
+            table = (rest**2).sum(1)[:, None] - 2 * rest @ book.T + (book**2).sum(1)[None, :]
+            total += table[:, codes[:, m]]
+        return np.sqrt(np.maximum(total, 0))
 
 
 _PLACED = "label string, dim int, list int, stored boolean, id long, n long, vector array<float>, codes binary, err double"
 
 
 def _place(shared, reach: float):
-    """Each class as a stored row of its list and as a query of the later lists it probes
-    (a pair of lists is looked at from the earlier one)."""
+    """Each class as a stored row of its list and as a query of the later lists it probes."""
 
     def run(batches):
         for batch in batches:
-            got = {name: [] for name in ("label", "dim", "list", "stored", "id", "n", "vector", "codes", "err")}
             dims = batch.column(4).to_numpy()
             for dim in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == dim)
-                part = batch.take(pa.array(rows))
+                mine = np.flatnonzero(dims == dim)
                 quantizer = shared.value[dim]
-                x = _unit(_matrix(part.column(3)))
-                near, codes, err = quantizer.encode(x)
-                labels, ids, counts = (part.column(i).to_pylist() for i in (0, 1, 2))
-                raw = part.column(3)
-
-                def add(row, where, stored):
-                    got["label"].append(labels[row])
-                    got["dim"].append(dim)
-                    got["list"].append(where)
-                    got["stored"].append(stored)
-                    got["id"].append(ids[row])
-                    got["n"].append(counts[row])
-                    got["vector"].append(raw[row])
-                    got["codes"].append(codes[row].tobytes() if stored else None)
-                    got["err"].append(float(err[row]) if stored else None)
-
-                for row, others in enumerate(quantizer.probes(x, near, reach)):
-                    own = int(near[row])
-                    add(row, own, True)
-                    for other in others[others > own].tolist():
-                        add(row, other, False)
-            types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.binary(), pa.float64()]
-            arrays = [
-                pa.array([v.as_py() for v in got["vector"]], t) if name == "vector" else pa.array(got[name], t)
-                for name, t in zip(got, types)
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(got))
+                for lo in range(0, len(mine), PLACE_ROWS):
+                    part = batch.take(pa.array(mine[lo : lo + PLACE_ROWS]))
+                    x = _unit(_matrix(part.column(3)))
+                    near, codes, err = quantizer.encode(x)
+                    asking, asked = quantizer.probes(x, near, reach)
+                    row = np.concatenate([np.arange(len(x)), asking])
+                    stored = np.arange(len(row)) < len(x)
+                    taken = part.take(pa.array(row))
+                    none = [None] * len(asking)
+                    columns = [
+                        taken.column(0),
+                        pa.array(np.full(len(row), dim, np.int32)),
+                        pa.array(np.concatenate([near, asked]).astype(np.int32)),
+                        pa.array(stored),
+                        taken.column(1),
+                        taken.column(2),
+                        taken.column(3),
+                        pa.array([c.tobytes() for c in codes] + none, pa.binary()),
+                        pa.array(err.tolist() + none, pa.float64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PLACED.split(", ")])
 
     return run
 
@@ -198,22 +193,22 @@ def _compare(shared, min_cosine: float, reach: float):
         err = np.array([table.column("err")[i].as_py() for i in right.tolist()])
         y = x[right]
         links = np.zeros(len(ids), np.int64)
-        uf = UnionFind(len(ids))
-        forest = []
-        for i in left.tolist():
-            near = quantizer.distances(x[i], center, codes) <= reach + err + SLACK
-            hit = np.flatnonzero(near)
+        pairs = []
+        step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            some = left[lo : lo + step]
+            near = quantizer.distances(x[some], center, codes) <= reach + err[None, :] + SLACK
             if diagonal:
-                hit = hit[right[hit] > i]
-            if not len(hit):
-                continue
-            hit = hit[y[hit] @ x[i] >= min_cosine]
-            partners = right[hit]
-            links[i] += n[partners].sum()
-            links[partners] += n[i]
-            for j in partners.tolist():
-                if uf.union(i, j):
-                    forest.append((ids[i], ids[j]))
+                near &= right[None, :] > some[:, None]
+            q, t = np.nonzero(near)
+            for at in range(0, len(q), RERANK_AT_ONCE):
+                i, j = some[q[at : at + RERANK_AT_ONCE]], t[at : at + RERANK_AT_ONCE]
+                same = np.einsum("ij,ij->i", x[i], y[j]) >= min_cosine
+                i, j = i[same], right[j[same]]
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                pairs.append(star_edges(ids[i], ids[j]))
+        forest = list(zip(*star_edges(*(np.concatenate(side) for side in zip(*pairs))))) if pairs else []
         some = np.flatnonzero(links)
         a = [*ids[some].tolist(), *(int(p) for p, _ in forest)]
         b = [*links[some].tolist(), *(int(q) for _, q in forest)]
