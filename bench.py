@@ -26,6 +26,11 @@ HEADLINE = [
     "search_regex_unicode_word",
     "search_pages",
     "search_conversations",
+    "search_batch",
+    "search_incremental",
+    "finding_markdown",
+    "elab_prompt",
+    "scan_files",
 ]
 
 
