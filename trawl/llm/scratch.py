@@ -24,7 +24,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/trawl-{name}-{uuid.uuid4().hex}"
-        atexit.register(self._delete, self.root)
+        atexit.register(self._at_exit)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -34,6 +34,12 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._delete(f"{self.root}/{name}")
 
+    def _at_exit(self) -> None:
+        try:
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001 - the session may be gone already; the folder is only scratch
+            pass
+
     def _delete(self, path: str) -> None:
         jvm = getattr(self.spark.sparkContext, "_jvm", None)
         if jvm is None or self.spark.sparkContext._jsc is None:
