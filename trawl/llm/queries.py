@@ -7,7 +7,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import embedding_dedup, kdtree_search, language_id, license_scan, ngram_join, packing, secret_scan, sentencepiece_codec, sharding, url_filter
+from trawl.llm import (
+    embedding_dedup,
+    kdtree_search,
+    language_id,
+    license_scan,
+    ngram_join,
+    packing,
+    secret_scan,
+    sentencepiece_codec,
+    sharding,
+    url_filter,
+)
 from trawl.llm.scratch import table
 
 
@@ -88,4 +99,58 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SOUND = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_TOP_K = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND {_SOUND}),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) x WHERE r <= 5
+"""
+
+_DEDUP = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.98),
+reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""
+
+_JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS i
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (total - i)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM s
+  UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON c.node = s.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_top_k": _TOP_K,
+    "op5_embedding_dedup": _DEDUP,
+    "op10_ngram_jaccard": _JACCARD,
+}
