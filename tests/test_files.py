@@ -117,3 +117,14 @@ def test_root_guard_and_resolution(tmp_path):
     (tmp_path / "ws" / "proj").mkdir(parents=True)
     assert FS.resolve_roots(["proj"], str(tmp_path / "ws")) == [str(tmp_path / "ws" / "proj")]
     assert FS.resolve_roots(["/a/../b"]) == ["/b"]
+
+
+def test_unreadable_files_are_reported(spark, tmp_path):
+    from trawl.sources import files as FS
+
+    good = tmp_path / "good.txt"
+    good.write_text("license")
+    listing = spark.createDataFrame([(str(good), 1.0), (str(tmp_path / "gone.txt"), 1.0)], "path string, mtime double")
+    assert [r.path for r in FS.read_corpus(listing).collect()] == [str(good)]
+    errors = FS.read_errors(listing).collect()
+    assert [(r.path, r.error.split(":")[0]) for r in errors] == [(str(tmp_path / "gone.txt"), "FileNotFoundError")]

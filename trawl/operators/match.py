@@ -75,33 +75,46 @@ def _occurrences(text: str, query: Query, pattern: re.Pattern | None):
         pos = hay.find(needle, pos + qlen)
 
 
-def python_findings_of(path: str, text: str, query: Query, pattern=None) -> list[tuple]:
-    """All findings of one document, by Python semantics (used per row in tasks)."""
+def iter_findings(path: str, text: str, query: Query, pattern=None) -> Iterator[tuple]:
+    """The findings of one document one after the other, by Python semantics."""
     if not query.text or not text:
-        return []
+        return
     newlines = [i for i, ch in enumerate(text) if ch == "\n"]
     slines = text.splitlines()
-    rows = []
     for start, matched in _occurrences(text, query, pattern):
         li = _line_index(newlines, start)
         col = start - (newlines[li - 1] + 1 if li else 0)
         end = col + len(matched)
-        rows.append((path, li + 1, matched, col, end, _snippet(slines, li, col, end, query.context_lines)))
-    return rows
+        yield (path, li + 1, matched, col, end, _snippet(slines, li, col, end, query.context_lines))
+
+
+def python_findings_of(path: str, text: str, query: Query, pattern=None) -> list[tuple]:
+    """All findings of one document, by Python semantics (used per row in tasks)."""
+    return list(iter_findings(path, text, query, pattern))
+
+
+#: What a task of the Python route holds at once: findings and characters of snippets.
+ROUTE_ROWS = 5_000
+ROUTE_CHARS = 4_000_000
 
 
 def python_route(docs: DataFrame, query: Query) -> DataFrame:
-    """Findings via ``mapInPandas``; the pattern is compiled once per task."""
+    """Findings via ``mapInPandas``; the pattern is compiled once per task and findings are
+    passed on in bounded pieces, however many a document has."""
     q = query
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pattern = q.compiled() if q.regex else None
+        rows, chars = [], 0
         for pdf in batches:
-            rows = []
             for path, text in zip(pdf["path"], pdf["text"]):
-                if text is None:
-                    continue
-                rows.extend(python_findings_of(path, text, q, pattern))
+                for row in iter_findings(path, text, q, pattern):
+                    rows.append(row)
+                    chars += len(row[2]) + len(row[5])
+                    if len(rows) >= ROUTE_ROWS or chars >= ROUTE_CHARS:
+                        yield pd.DataFrame.from_records(rows, columns=FINDING_COLUMNS)
+                        rows, chars = [], 0
+        if rows:
             yield pd.DataFrame.from_records(rows, columns=FINDING_COLUMNS)
 
     return docs.select("path", "text").mapInPandas(run, FINDING_SCHEMA)

@@ -97,18 +97,27 @@ def _read_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+#: Bytes of files that a reading task holds at once (one larger file is held alone).
+READ_BYTES = 16 * 1024 * 1024
+
+
 def _read_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "mtime", "content", "error"]
     for pdf in batches:
-        data = []
-        for p in pdf["path"]:
+        rows, held = [], 0
+        for p, mtime in zip(pdf["path"], pdf["mtime"]):
             try:
                 with open(p, "rb") as fh:
-                    data.append(fh.read())
-            except OSError:
-                data.append(None)  # M13: this file is skipped, the others go on
-        out = pdf.copy()
-        out["content"] = data
-        yield out
+                    data, error = fh.read(), None
+            except OSError as exc:  # M13: this file is reported, the others go on
+                data, error = None, f"{type(exc).__name__}: {exc.strerror}"
+            rows.append((p, mtime, data, error))
+            held += len(data or b"")
+            if held >= READ_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def resolve_roots(paths: list[str], workspace: str | None = None) -> list[str]:
@@ -202,18 +211,26 @@ def scan(spark: SparkSession, roots: list[str], rules: PathRules = PathRules(),
     """S1-S4 + F1-F9: the text files to search, ``(path, root, mtime, size)``.
 
     ``dedupe`` keeps one row per path (the CLI's set), and the caller sorts if needed."""
-    files = drop_binary_files(list_files(spark, roots, rules))
-    return files.dropDuplicates(["path"]) if dedupe else files
+    files = list_files(spark, roots, rules)
+    return drop_binary_files(files.dropDuplicates(["path"]) if dedupe else files)
 
 
 def read_corpus(files: DataFrame) -> DataFrame:
     """``(path, text, mtime)``; files that cannot be read drop out."""
-    with_bytes = files.select("path", "mtime").mapInPandas(
-        _read_all, "path string, mtime double, content binary"
-    )
+    with_bytes = read_files(files).where(F.col("content").isNotNull())
     return with_bytes.select("path", decode_text(F.col("content")).alias("text"), "mtime").where(F.col("text").isNotNull())
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """``(path, mtime, content, error)``: the bytes of every file, or why it cannot be read."""
+    return files.select("path", "mtime").mapInPandas(_read_all, "path string, mtime double, content binary, error string")
+
+
+def read_errors(files: DataFrame) -> DataFrame:
+    """``(path, error)`` of the files that cannot be read."""
+    return read_files(files).where(F.col("error").isNotNull()).select("path", "error")
+
+
 def files_corpus(spark: SparkSession, roots: list[str], rules: PathRules = PathRules()) -> DataFrame:
     """Everything a search over files needs: listing, filters, read, decode."""
     return read_corpus(scan(spark, roots, rules))
