@@ -154,15 +154,15 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
 
     matches = {}
     for no, rule in enumerate(rules):
-        regex = _java(rule)
-        asked = F.array_contains("rules", no) & F.col("t").rlike(_shortest(rule))
+        regex = _kept_only(rule)
+        asked = F.array_contains("rules", no) & F.col("t").rlike(regex)
         matches[f"m{no}"] = F.when(asked, F.regexp_extract_all("t", F.lit(regex), F.lit(0)))
         if rule.group:
             matches[f"g{no}"] = F.when(asked, F.regexp_extract_all("t", F.lit(regex), F.lit(rule.group)))
     slim = slim.withColumns(matches)
     parts = []
     for no, rule in enumerate(rules):
-        pieces = F.when(F.size(f"m{no}") > 0, F.split("t", _java(rule)))
+        pieces = F.when(F.size(f"m{no}") > 0, F.split("t", _kept_only(rule)))
         group = f"g{no}" if rule.group else f"m{no}"
         parts.append(F.struct(F.lit(no).alias("no"), F.lit(rule.least).alias("least"), pieces.alias("p"),
                               F.col(f"m{no}").alias("m"), F.col(group).alias("g")))
@@ -178,8 +178,10 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     return spans.groupBy(F.col("k").alias(key), "th").agg(F.array_sort(F.collect_list(span)).alias("found"))
 
 
-def _shortest(rule: Rule) -> str:
-    """A cheap test that every kept match passes, where the pattern is one bare run."""
+def _kept_only(rule: Rule) -> str:
+    """The Java pattern.  Where a rule is one bare run (after literal capitals that the run's class
+    holds), its least length is part of the pattern: a match that begins later in a run is
+    shorter still, so the matches are just those that are kept."""
     bare = re.fullmatch(r"((?:[A-Z]*)\[[^\]]+\])\+", rule.pattern)
     if bare and not rule.group and not rule.ignore_case:
         prefix = len(re.match(r"[A-Z]*", rule.pattern).group())
@@ -250,7 +252,6 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
     rows = rows.withColumn("_sg", F.arrays_zip(starts.alias("a"), stops.alias("b")))
     pieces = F.transform("_sg", lambda g: F.array_join(F.slice("_sc", (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")), ""))
     masked = F.when(F.size("_sf") > 0, F.array_join(pieces, MASK)).otherwise(F.col(text))
-    changed = {text: masked}
     out = rows.withColumn("_st", masked)
     changed = {c: F.col(c) for c in docs.columns}
     changed[text] = F.col("_st")
