@@ -32,7 +32,7 @@ from trawl.llm.scratch import Scratch
 TOP = 5
 SHARD_ROWS = 8192
 LEAF = 128
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 
 
 class KDTree:
