@@ -163,6 +163,26 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer_path()).collect() == []
 
 
+def packed_ids(spark, texts):
+    """Ids of ``tokenizers`` and those of the pieces put together, by document."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    expected = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(packing.pack(df, tokenizer_path(), with_ids=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    return expected, got
+
+
+def test_packing_of_long_white_space(spark):
+    n = 1_000_000
+    texts = [" " * n, "\n" * n, " \n\t" * (n // 3), "a" + "\u00a0" * n + "b", ("x" + " " * 1999) * 3, " " * 999 + "y"]
+    expected, got = packed_ids(spark, texts)
+    assert got == expected
+
+
 def test_packing_plan_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 2049, 20_000)

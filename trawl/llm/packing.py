@@ -44,6 +44,8 @@ STEPS = 300
 RATE = 4.0
 STRIDE = 0.5
 ROWS_PER_BUCKET = 1000
+#: Aligned blocks of so many characters that are white space send a text to ``tokenizers``.
+BLANK_BLOCK = 1000
 
 
 # ------------------------------------------------------------------ tokens
@@ -57,12 +59,27 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _long_blank(text: str) -> bool:
+    """Whether a white-space run may be long: every run of 2 * BLANK_BLOCK characters covers an
+    aligned block."""
+    return any(text[i : i + BLANK_BLOCK].isspace() for i in range(0, len(text) - BLANK_BLOCK + 1, BLANK_BLOCK))
+
+
 @functools.cache
 def encoder(path: str):
     """text -> list of ids, equal to those of ``tokenizers`` for the file.
 
     A plain byte-level BPE whose ids follow the order of its merges is run through
-    ``tiktoken`` (same ids, several times faster); any other file through ``tokenizers``."""
+    ``tiktoken`` (same ids, several times faster), but for texts with a long white-space run,
+    on which it panics; these and any other file go through ``tokenizers``."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+
+    def exact(text):
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, bytes_of = spec["model"], _byte_of_char()
@@ -76,19 +93,16 @@ def encoder(path: str):
         and spec.get("normalizer") is None
         and all(by_id.get(256 + n) == "".join(m) for n, m in enumerate(merges))
     )
-    if plain:
-        import tiktoken
-
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(bytes_of[c] for c in t): i for t, i in vocab.items() if t not in special}
-        # the split of byte-level BPE (fixed value)
-        split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        return tiktoken.Encoding("packing", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if not plain:
+        return exact
+    import tiktoken
+
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(bytes_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+    # the split of byte-level BPE (fixed value)
+    split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    fast = tiktoken.Encoding("packing", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: exact(text) if _long_blank(text) else fast(text)
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
