@@ -183,6 +183,12 @@ def test_packing_of_long_white_space(spark):
     assert got == expected
 
 
+def test_packing_of_added_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\nb", "<|endoftext", "<|ENDOFTEXT|>"]
+    expected, got = packed_ids(spark, texts)
+    assert got == expected and got[0] == [31373, 220, 50256, 995, 0]
+
+
 def test_packing_plan_is_tight():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 2049, 20_000)

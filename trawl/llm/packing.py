@@ -71,11 +71,11 @@ def encoder(path: str):
 
     A plain byte-level BPE whose ids follow the order of its merges is run through
     ``tiktoken`` (same ids, several times faster), but for texts with a long white-space run,
-    on which it panics; these and any other file go through ``tokenizers``."""
+    on which it panics, and texts that contain an added token, whose id only ``tokenizers``
+    gives; these and any other file go through ``tokenizers``."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def exact(text):
         return tokenizer.encode(text, add_special_tokens=False).ids
@@ -102,7 +102,7 @@ def encoder(path: str):
     # the split of byte-level BPE (fixed value)
     split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("packing", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: exact(text) if _long_blank(text) else fast(text)
+    return lambda text: exact(text) if _long_blank(text) or any(t in text for t in special) else fast(text)
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
