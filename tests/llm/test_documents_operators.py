@@ -239,6 +239,35 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.predict(df, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    # 70 languages of a word each; the last six have fewer documents than the others
+    names = [f"l{i:02}" for i in range(70)]
+    words = [chr(0x4E00 + 64 * i) + chr(0x4E01 + 64 * i) for i in range(70)]
+    rows = [(100 * i + j, f"{words[i]} " * 20, names[i]) for i in range(70) for j in range(12 if i < 64 else 3)]
+    df = spark.createDataFrame([*rows, (None, " ", None), (7000, "", "empty")], "doc_id long, text string, lang string")
+    net = language_id.fit(df, F.lit(True))
+    assert net.langs == names
+    got = language_id.predict(df.where("length(lang) = 3"), net, keep=("lang",)).collect()
+    assert len(got) == len(rows)
+    for rare in (False, True):
+        right = [r.lang_pred == r.lang for r in got if (r.lang >= "l64") == rare]
+        assert np.mean(right) > 0.95
+
+
+def test_languages_share_a_bounded_sample(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(language_id, "train", lambda windows, labels, langs: seen.extend(zip(windows, labels)))
+    rows = [(i, f"text {i}", "big") for i in range(3000)] + [(None, f"none {i}", "none") for i in range(50)] + [(9000, "rare", "rare")]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    counts = np.bincount([y for _, y in seen])
+    assert len(counts) == 3 and 1 <= counts[0] <= 12 and 1 <= counts[1] <= 12 and counts[2] == 1
+
+
 def test_backpropagation_matches_differences():
     rng = np.random.default_rng(0)
     net = language_id.Network(

@@ -7,9 +7,9 @@ probability is the prediction and that probability its score.  Every byte of eve
 is read; windows start with empty states, so long texts run in bounded memory.
 
 Training is numpy backpropagation through time with Adam on the driver, on a bounded
-sample: ``DOCS_PER_LANG`` labelled documents per language in expectation (chosen by a hash of the
-id), ``WINDOWS_PER_DOC`` windows of each, the ``MAX_LANGS`` most frequent languages.  Only
-text and label are used.
+sample: every language, each with ``DOCS_PER_LANG`` labelled documents in expectation (chosen by
+a hash of the id) or, beyond ``SAMPLE_DOCS`` in total, an equal part of these, at least one;
+``WINDOWS_PER_DOC`` windows of each.  Only text and label are used.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0; labels that are null
 are not learned from; without any labelled document everything is ``und``; repeated
@@ -23,20 +23,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 64
 HIDDEN = 8
-MAX_LANGS = 64
 DOCS_PER_LANG = 400
+SAMPLE_DOCS = 25_600
 WINDOWS_PER_DOC = 6
 STEPS = 500
 BATCH = 128
 RATE = 0.02
 SEED = 7
-#: Windows run together in prediction.
+#: Windows run together in prediction, and rows pooled together; with more than ``WIDE``
+#: languages fewer, in proportion.
 RUN_WINDOWS = 4096
+RUN_ROWS = 10_000
+WIDE = 64
 #: Index of the symbol that fills up windows.
 PAD = 256
 UNKNOWN = "und"
@@ -161,8 +164,12 @@ def train(windows: list[bytes], labels: np.ndarray, langs: list, steps: int = ST
     return net
 
 
-def _windows_of(texts: pa.Array):
-    """Per slice of at most RUN_WINDOWS windows: symbols (T, B), row of each window, and the
+def _at_once(most: int, langs: int) -> int:
+    return max(1, min(most, most * WIDE // langs))
+
+
+def _windows_of(texts: pa.Array, most: int = RUN_WINDOWS):
+    """Per slice of at most ``most`` windows: symbols (T, B), row of each window, and the
     bytes in it."""
     texts = texts.cast(pa.large_binary())
     size = len(texts)
@@ -171,8 +178,8 @@ def _windows_of(texts: pa.Array):
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     count = -(-np.diff(offsets) // WINDOW)
     ends = np.cumsum(count)
-    for lo in range(0, int(ends[-1]) if size else 0, RUN_WINDOWS):
-        number = np.arange(lo, min(lo + RUN_WINDOWS, int(ends[-1])))
+    for lo in range(0, int(ends[-1]) if size else 0, most):
+        number = np.arange(lo, min(lo + most, int(ends[-1])))
         row = np.searchsorted(ends, number, side="right")
         begin = offsets[row] + (number - (ends[row] - count[row])) * WINDOW
         used = np.minimum(offsets[row + 1] - begin, WINDOW)
@@ -187,11 +194,12 @@ def _predict(shared, names):
 
     def run(batches):
         net = shared.value
-        for batch in batches:
+        windows, most = (_at_once(n, len(net.langs)) for n in (RUN_WINDOWS, RUN_ROWS))
+        for batch in (whole.slice(lo, most) for whole in batches for lo in range(0, whole.num_rows, most)):
             rows = batch.num_rows
             total = np.zeros((rows, len(net.langs)))
             seen = np.zeros(rows)
-            for symbols, row, used in _windows_of(batch.column(0)):
+            for symbols, row, used in _windows_of(batch.column(0), windows):
                 found = position_probabilities(net, symbols)
                 found[symbols == PAD] = 0
                 summed = found.sum(axis=0, dtype=np.float64)
@@ -211,29 +219,34 @@ def _predict(shared, names):
 
 def fit(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network | None:
     """Trains on rows where ``allowed`` holds; None without a labelled row."""
-    rows = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    rows = docs.where(allowed & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(F.lit(SEED), F.col(key)).alias("h")
     )
-    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(MAX_LANGS).collect()
+    rows = rows.withColumn("unit", F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    counts = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("least")).collect()
     if not counts:
         return None
-    langs = sorted(y for y, _ in counts)
-    share = F.lit(0.0)
-    for y, n in counts:
-        share = F.when(F.col("y") == y, F.lit(DOCS_PER_LANG / n)).otherwise(share)
-    unit = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(unit < share).limit(MAX_LANGS * DOCS_PER_LANG * 2)
+    langs = sorted(y for y, _, _ in counts)
+    docs_per_lang = max(1, min(DOCS_PER_LANG, SAMPLE_DOCS // len(langs)))
+    # the smallest hash of a language is always in
+    shares = pa.table({
+        "y": [y for y, _, _ in counts],
+        "share": pa.array([docs_per_lang / n for _, n, _ in counts], pa.float64()),
+        "least": pa.array([least for _, _, least in counts], pa.float64()),
+    })
+    sample = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares)), "y")
+    sample = sample.where("unit < share or unit <= least")
     starts = [
         F.substring("t", (1 + F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("t") - WINDOW, F.lit(1)))).cast("int"), F.lit(WINDOW))
         for i in range(WINDOWS_PER_DOC)
     ]
-    got = sample.select("y", "h", F.array_distinct(F.array(*starts)).alias("w")).collect()
+    got = sample.select("y", "h", "unit", F.array_distinct(F.array(*starts)).alias("w"))
+    # rows of equal hash (null ids) come together
+    dealt = F.row_number().over(Window.partitionBy("y").orderBy("unit", F.xxhash64("w")))
+    got = got.withColumn("dealt", dealt).where(F.col("dealt") <= 2 * docs_per_lang).select("y", "h", "w").collect()
     pairs = sorted((y, h, w) for y, h, ws in got for w in ws if w)
-    if not pairs:
-        return None
-    present = sorted({y for y, _, _ in pairs})
-    langs = [y for y in langs if y in present]
-    labels = np.array([langs.index(y) for y, _, _ in pairs])
+    number = {y: i for i, y in enumerate(langs)}
+    labels = np.array([number[y] for y, _, _ in pairs])
     return train([w.encode() for _, _, w in pairs], labels, langs)
 
 
