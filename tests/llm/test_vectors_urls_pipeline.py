@@ -136,3 +136,55 @@ def test_pipeline(spark, tmp_path):
         if name == "secret_scans":
             assert all(secret_scan.MASK in r.text and "abcdefgh" not in r.text and len(r.text) == r.n_chars for r in kept.collect())
     assert {r.doc_id for r in kept.collect()} == ids
+
+
+def letters_net(k):
+    """A network that is sure of language i at the i-th letter and of nothing at 'z'."""
+    from trawl.llm import language_id
+
+    size = language_id.HIDDEN
+    net = language_id.Network(
+        [f"l{i}" for i in range(k)], np.zeros((2, 257, 3 * size), np.float32), np.zeros((2, size, 3 * size), np.float32),
+        np.zeros((2, size, k), np.float32), np.zeros(k, np.float32),
+    )
+    net.inputs[:, :, :size] = -20
+    for i in range(k):
+        net.inputs[:, ord("a") + i, 2 * size + i] = 5
+        net.out[:, i, i] = 5
+    net.least = 0.4
+    return net
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 8])
+def test_language_stage_does_not_depend_on_the_number_of_languages(spark, monkeypatch, k):
+    import corpus_pipeline
+    from trawl.llm import language_id
+
+    monkeypatch.setattr(language_id, "fit", lambda *a, **b: letters_net(k))
+    shared = "".join(chr(ord("a") + i) * 16 for i in range(k)) * 4
+    rows = [(0, "z" * 200, None), (1, shared, None), (2, "b" * 100, None), (3, "123", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert set(got) == {1, 2} and got[2] == "l1"
+
+
+def test_language_stage_carries_columns_of_any_name(spark, monkeypatch):
+    import corpus_pipeline
+    from trawl.llm import language_id
+
+    monkeypatch.setattr(language_id, "fit", lambda *a, **b: letters_net(2))
+    schema = "doc_id long, text string, lang string, lang_pred string, Score double, sure_ int, confidence int"
+    docs = spark.createDataFrame([(1, "aaaa", None, "x", 0.0, 3, 4)], schema)
+    got = corpus_pipeline.language_stage(spark, docs, "")
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "aaaa", "l0", "x", 0.0, 3, 4)]
+
+
+def test_least_confidence_keeps_labelled_and_mixed_texts(spark):
+    import corpus_pipeline
+
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["über", "straße", "größe"], "cc": ["привет", "город"], "dd": ["quick", "why"]}
+    rows = [(10 * i + j, " ".join([w, words[y][0]] * 20), y) for i in range(60) for j, y in enumerate(words) for w in words[y][-1:]]
+    mixed = " ".join(" ".join(w * 10) for w in words.values())
+    docs = spark.createDataFrame([*rows, (5000, mixed, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert got == {r[0] for r in rows} | {5000}

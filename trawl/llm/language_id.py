@@ -3,7 +3,9 @@
 The network reads UTF-8 bytes in windows of ``WINDOW`` positions, forwards and backwards,
 labels every position with a probability per language, and pools a document's
 probabilities by their mean over all its positions; the language with the highest pooled
-probability is the prediction and that probability its score.  Every byte of every text
+probability is the prediction and that probability its score.  The confidence of a text is
+the mean over its positions of the highest probability, scaled so that uniform
+probabilities give 0 and certain ones 1 whatever the number of languages.  Every byte of every text
 is read; windows start with empty states, so long texts run in bounded memory.
 
 Training is numpy backpropagation through time with Adam on the driver, on a bounded
@@ -40,6 +42,10 @@ SEED = 7
 RUN_WINDOWS = 4096
 RUN_ROWS = 10_000
 WIDE = 64
+#: Labelled windows whose confidence sets the least one of a text, and the share of their
+#: first percentile that it is.
+CALIBRATION_WINDOWS = 2000
+CALIBRATION_SHARE = 0.5
 #: Index of the symbol that fills up windows.
 PAD = 256
 UNKNOWN = "und"
@@ -52,6 +58,7 @@ class Network:
     recur: np.ndarray  # (2, H, 3H)
     out: np.ndarray  # (2, H, K)
     bias: np.ndarray  # (K,)
+    least: float = 0.0  # confidence below which a text is in none of the languages
 
 
 def _gates(x: np.ndarray, h: np.ndarray, recur: np.ndarray):
@@ -168,6 +175,23 @@ def _at_once(most: int, langs: int) -> int:
     return max(1, min(most, most * WIDE // langs))
 
 
+def _confidence(highest: np.ndarray, seen: np.ndarray, langs: int) -> np.ndarray:
+    """From the sums of the highest probabilities over ``seen`` positions."""
+    if langs == 1:
+        return np.ones(len(highest))
+    return np.clip((highest / np.maximum(seen, 1) - 1 / langs) / (1 - 1 / langs), 0, 1)
+
+
+def _least_confidence(net: Network, windows: list[bytes]) -> float:
+    some = pa.array(windows[:: -(-len(windows) // CALIBRATION_WINDOWS)], pa.binary())
+    sure = []
+    for symbols, _, used in _windows_of(some, _at_once(RUN_WINDOWS, len(net.langs))):
+        found = position_probabilities(net, symbols).max(axis=2)
+        found[symbols == PAD] = 0
+        sure.append(_confidence(found.sum(axis=0, dtype=np.float64), used, len(net.langs)))
+    return CALIBRATION_SHARE * float(np.percentile(np.concatenate(sure), 1))
+
+
 def _windows_of(texts: pa.Array, most: int = RUN_WINDOWS):
     """Per slice of at most ``most`` windows: symbols (T, B), row of each window, and the
     bytes in it."""
@@ -190,15 +214,17 @@ def _windows_of(texts: pa.Array, most: int = RUN_WINDOWS):
 
 
 def _predict(shared, names):
-    """Batches (text to label, columns to keep...) to the kept columns, label and score."""
+    """Batches (text to label, columns to keep...) to the kept columns, label, score and, if
+    named, confidence."""
 
     def run(batches):
-        net = shared.value
+        net, confident = shared.value, names[-1] == "confidence"
         windows, most = (_at_once(n, len(net.langs)) for n in (RUN_WINDOWS, RUN_ROWS))
         for batch in (whole.slice(lo, most) for whole in batches for lo in range(0, whole.num_rows, most)):
             rows = batch.num_rows
             total = np.zeros((rows, len(net.langs)))
             seen = np.zeros(rows)
+            highest = np.zeros(rows)
             for symbols, row, used in _windows_of(batch.column(0), windows):
                 found = position_probabilities(net, symbols)
                 found[symbols == PAD] = 0
@@ -206,12 +232,17 @@ def _predict(shared, names):
                 heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 total[row[heads]] += np.add.reduceat(summed, heads, axis=0)
                 seen[row[heads]] += np.add.reduceat(used, heads)
+                if confident:
+                    highest[row[heads]] += np.add.reduceat(found.max(axis=2).sum(axis=0, dtype=np.float64), heads)
             pooled = total / np.maximum(seen, 1)[:, None]
             best = pooled.argmax(axis=1)
             known = seen > 0
             score = np.where(known, np.clip(pooled[np.arange(rows), best], 0, 1), 0.0)
             langs = [net.langs[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
             columns = [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(score, pa.float64())]
+            if confident:
+                sure = np.where(known, _confidence(highest, seen, len(net.langs)), 0.0)
+                columns.append(pa.array(sure, pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -247,18 +278,31 @@ def fit(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang"
     pairs = sorted((y, h, w) for y, h, ws in got for w in ws if w)
     number = {y: i for i, y in enumerate(langs)}
     labels = np.array([number[y] for y, _, _ in pairs])
-    return train([w.encode() for _, _, w in pairs], labels, langs)
+    windows = [w.encode()[:WINDOW] for _, _, w in pairs]
+    net = train(windows, labels, langs)
+    if net is not None:
+        net.least = _least_confidence(net, windows)
+    return net
 
 
-def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score`` of every row (kept columns of those
-    names must be left out).  Texts without a letter reach the network as nulls."""
+def predict(
+    docs: DataFrame,
+    net: Network | None,
+    keep: tuple[str, ...] = ("doc_id",),
+    text: str = "text",
+    into: tuple[str, ...] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns ``keep`` and, named by ``into``, prediction, score and (if it has a third
+    name) confidence of every row; kept columns of those names must be left out.  Texts
+    without a letter reach the network as nulls."""
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UNKNOWN).alias(into[0]), *[F.lit(0.0).alias(c) for c in into[1:]])
     letters = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
     slim = docs.select(letters.alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     fields = [f"_{i} {slim.schema[f'_{i}'].dataType.simpleString()}" for i in range(len(keep))]
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    names = [*(f"_{i}" for i in range(len(keep))), "lang_pred", "score"]
-    out = slim.mapInArrow(_predict(shared, names), ", ".join([*fields, "lang_pred string, score double"]))
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    found = ["lang_pred", "score", "confidence"][: len(into)]
+    fields += [f"{c} {'string' if c == 'lang_pred' else 'double'}" for c in found]
+    names = [*(f"_{i}" for i in range(len(keep))), *found]
+    out = slim.mapInArrow(_predict(shared, names), ", ".join(fields))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(n) for c, n in zip(found, into)])
