@@ -19,8 +19,8 @@ f = floor((p - q)^2 / q); all arithmetic is exact.
   by fewer than ``TOP`` others; the skybands are merged the same way, and what is left is
   ranked exactly.
 
-Counting: a task counts the terms of its texts in one bounded table (texts of any length are read
-in stretches) and passes on (lang, source, term, count, documents), which Spark sums up.  Nothing is
+Counting: a task counts the terms of a stretch of texts at a time (a very long text is several
+stretches) and passes on (lang, source, term, count, documents), which Spark sums up.  Nothing is
 gathered by language or source, so a source with a third of all rows is no task of its own.
 
 Defined cases: null text, lang and source are ''; a group without terms appears with its pairs;
@@ -31,10 +31,10 @@ own; the empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,63 +43,95 @@ from trawl.llm.scratch import Scratch
 MIN_DOCS = 3
 TOP = 200
 SCALE = 10**9
-#: Bounds of a task's tables: distinct (group, term) entries, bytes of text read at once, pairs of
-#: sources compared at once, pairs of sources summed up.
-TABLE_TERMS = 300_000
-STRETCH = 1 << 22
+#: Bounds of what a task holds: bytes of text read at once, pairs of sources compared at once, pairs
+#: of sources summed up.
+STRETCH = 1 << 24
 PAIRS_AT_ONCE = 1 << 18
 TABLE_PAIRS = 500_000
+#: Rows of a group that the skyband looks at together.
+RUN = 1024
 #: Bundles in which the skybands of a group are merged.
 BUNDLES = 8
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Lower-cases A-Z and turns every other ASCII byte but a-z into a blank; terms are what blanks part.
+_BLANKED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _NO_TERM = re.compile(rb"[^A-Za-z\x80-\xff]")
 _COUNTS = "lang string, source string, term string, n long, docs long"
-
-
-def _stretches(data: memoryview):
-    """``data`` in pieces of about ``STRETCH`` bytes that cut no term."""
-    if len(data) <= STRETCH:
-        yield bytes(data)
-        return
-    start = 0
-    while start < len(data):
-        cut = _NO_TERM.search(data, min(start + STRETCH, len(data)))
-        end = cut.end() if cut else len(data)
-        yield bytes(data[start:end])
-        start = end
+_NAMES = ["lang", "source", "term", "n", "docs"]
+
+
+def _stretches(texts: pa.Array):
+    """(rows, data, offsets): the rows of ``texts`` in order, together up to about ``STRETCH`` bytes; a longer
+    text comes in several pieces that cut no term."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = memoryview(texts.buffers()[2] or b"")
+    row = 0
+    while row < len(texts):
+        start = int(ends[row])
+        upto = max(row + 1, int(np.searchsorted(ends, start + STRETCH, side="right")) - 1)
+        if upto > row + 1 or ends[upto] - start <= STRETCH:
+            yield np.arange(row, upto), data[start : int(ends[upto])], ends[row : upto + 1] - start
+        else:
+            end = int(ends[upto])
+            while start < end:
+                cut = _NO_TERM.search(data, min(start + STRETCH, end), end)
+                stop = cut.end() if cut else end
+                yield np.array([row]), data[start:stop], np.array([0, stop - start])
+                start = stop
+        row = upto
+
+
+def _tokens(data: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(text, term) of every occurrence in the texts that ``offsets`` cut ``data`` into."""
+    blanked = pa.py_buffer(bytes(data).translate(_BLANKED))
+    texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32).tobytes()), blanked)
+    parts = pc.ascii_split_whitespace(texts)
+    terms = parts.flatten()
+    full = pc.not_equal(terms, "")  # blanks at the ends of a text
+    return pc.list_parent_indices(parts).filter(full).to_numpy(), terms.filter(full).dictionary_encode()
+
+
+def _per(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and the sum of their weights."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[heads], np.add.reduceat(weight[order], heads)
 
 
 def _term_counts(batches):
     """(lang, source, text) to term counts; a group is also told by a row with the term ''."""
-    tables: dict = {}
-
-    def told():
-        for (lang, source), (n, docs) in tables.items():
-            terms = [b"", *n]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                    pa.array(terms, pa.binary()).cast(pa.string()),
-                    pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64()),
-                ],
-                names=["lang", "source", "term", "n", "docs"],
-            )
-        tables.clear()
-
     for batch in batches:
-        texts = batch.column(2)
-        for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            n, docs = tables.setdefault(group, (Counter(), Counter()))
-            seen: set = set()
-            for piece in _stretches(memoryview(texts[i].as_buffer())):
-                terms = _TERM.findall(piece.lower())
-                n.update(terms)
-                seen.update(terms)
-            docs.update(seen)
-            if i % 64 == 0 and sum(len(t[0]) for t in tables.values()) > TABLE_TERMS:
-                yield from told()
-    yield from told()
+        if not batch.num_rows:
+            continue
+        lang, source = (batch.column(k).dictionary_encode() for k in (0, 1))
+        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        pairs, group = np.unique(pair, return_inverse=True)
+        named = lang.dictionary.take(pa.array(pairs // len(source.dictionary))), source.dictionary.take(pa.array(pairs % len(source.dictionary)))
+        zero = pa.array(np.zeros(len(pairs), np.int64))
+        yield pa.RecordBatch.from_arrays([*named, pa.array([""] * len(pairs)), zero, zero], names=_NAMES)
+        long_row, long_terms = -1, set()
+        for rows, data, offsets in _stretches(batch.column(2)):
+            text, terms = _tokens(data, offsets)
+            if not len(terms):
+                continue
+            wide = len(terms.dictionary)
+            key, n = _per(text.astype(np.int64) * wide + terms.indices.to_numpy(), np.ones(len(text), np.int64))
+            docs = np.ones(len(key), np.int64)
+            if len(rows) == 1:  # maybe a piece of a long text: a term counts once for the whole of it
+                long_terms = long_terms if rows[0] == long_row else set()
+                long_row = rows[0]
+                found = [t.as_buffer().to_pybytes() for t in terms.dictionary.take(pa.array(key % wide))]
+                docs = np.array([t not in long_terms for t in found], np.int64)
+                long_terms.update(found)
+            where = group[rows[key // wide]] * wide + key % wide
+            key, counts = _per(where, n)
+            docs = _per(where, docs)[1]
+            at = pa.array(key // wide)
+            yield pa.RecordBatch.from_arrays(
+                [named[0].take(at), named[1].take(at), terms.dictionary.take(pa.array(key % wide)), pa.array(counts), pa.array(docs)],
+                names=_NAMES,
+            )
 
 
 def _p(count, total, terms) -> Column:
@@ -111,33 +143,47 @@ def _f(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q})) div {q}"
 
 
+def _runs(batch):
+    """(start, end, group) of the rows of a batch that stand together, ``RUN`` at most."""
+    lang, source = (batch.column(k).dictionary_encode() for k in (0, 1))
+    code = lang.indices.to_numpy().astype(np.int64) * (len(source.dictionary) + 1) + source.indices.to_numpy()
+    heads = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+    for head, end in zip(heads, heads[1:]):
+        group = (lang[head].as_py(), source[head].as_py())
+        for start in range(head, end, RUN):
+            yield start, min(start + RUN, end), group
+
+
 def skyband(batches):
     """Rows (lang, source, term, n, lang_n) sorted by group and term, without those that ``TOP`` earlier
     ones of their group dominate.  Later terms never dominate, so a row that stays is passed on at
-    once; domination by rows that stay is all that counts, as it is transitive."""
-    group, cells, full, used = None, {}, set(), 0
-    many = np.zeros((3, 64), np.int64)  # count, language count, rows of each cell that has rows
+    once; domination by rows that stay is all that counts, as it is transitive.  Rows that are alike
+    in both counts (a cell) are counted together, and a cell found dominated is so for good."""
+    group, cells = None, None
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
-        n, lang_n = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        for i, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            if (lang, source) != group:
-                group, cells, full, used = (lang, source), {}, set(), 0
-            cell = (int(n[i]), int(lang_n[i]))
-            if cell in full:
-                continue
-            here = many[:, :used]
-            if int(here[2][(here[0] >= cell[0]) & (here[1] <= cell[1])].sum()) >= TOP:
-                full.add(cell)
-                continue
-            keep[i] = True
-            at = cells.setdefault(cell, used)
-            if at == used:
-                used += 1
-                if used > many.shape[1]:
-                    many = np.concatenate([many, np.zeros_like(many)], axis=1)
-                many[:, at] = (*cell, 0)
-            many[2, at] += 1
+        for start, end, now in _runs(batch) if batch.num_rows else ():
+            if now != group:
+                group, cells = now, np.zeros((3, 0), np.int64)  # count, language count, rows that stay
+            n, lang_n = (batch.column(k).slice(start, end - start).to_numpy() for k in (3, 4))
+            wide, of = np.unique(lang_n, return_inverse=True)
+            key = np.unique(n, return_inverse=True)[1] * len(wide) + of
+            _, first, cell = np.unique(key, return_index=True, return_inverse=True)
+            n, lang_n = n[first], lang_n[first]
+            over, stay = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            for k in range(0, cells.shape[1], RUN):
+                c, w, rows = cells[:, k : k + RUN]
+                over += rows @ ((c[:, None] >= n) & (w[:, None] <= lang_n))
+            for i in np.flatnonzero(over[cell] < TOP).tolist():
+                at = cell[i]
+                if over[at] < TOP:
+                    keep[start + i] = True
+                    stay[at] += 1
+                    over += (n <= n[at]) & (lang_n >= lang_n[at])
+            cells = np.concatenate([cells, np.stack([n, lang_n, stay])[:, stay > 0]], axis=1)
+            if cells.shape[1] > 4 * RUN:  # cells met in several runs become one again
+                both, back = np.unique(cells[:2], axis=1, return_inverse=True)
+                cells = np.concatenate([both, np.bincount(back.ravel(), cells[2])[None].astype(np.int64)])
         yield batch.filter(pa.array(keep))
 
 
