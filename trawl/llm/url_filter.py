@@ -5,7 +5,8 @@ Native: parsing, rules, features and scoring are column expressions; the model i
 on the driver from the collected features of the labelled table, whose size is bounded by
 ``MAX_LABELLED`` (a larger table is refused).  Scoring is map-only: the weights travel as
 one constant array of ``BUCKETS`` doubles, so nothing is shuffled and nothing broadcast
-grows with the pages.
+grows with the pages.  The labelled table is made of common words (``labelled_urls``); a user
+with urls of their own passes a table of them to ``fit``.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule and the
 model's verdict on the bias alone; ties between rules of equal length go to the one listed
@@ -36,17 +37,21 @@ RULES = (
     ("block", "com/de/"),
 )
 
-# Words the labelled table is made of, by rule (see labelled_urls).
+# Words of the labelled table (see labelled_urls): common vocabulary of unwanted and of ordinary hosts,
+# written down without looking at any table of pages.
 BLOCK_WORDS = (
-    "casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "adult-x", "casino", "poker", "bets",
-    "pills", "viagra", "spam", "porn", "xxx", "adult", "adserver", "tracker", "slots", "jackpot", "replica",
-    "payday-loans", "win-cash", "hot-singles", "click-ads",
+    "casino", "poker", "betting", "freebet", "slots", "jackpot", "roulette", "bingo", "wager", "sportsbook", "lottery",
+    "pills", "viagra", "discount-meds", "diet-pill", "cheap-drugs", "spam", "bulk-mail", "link-farm", "content-farm",
+    "adserver", "ads", "adclick", "banner-ads", "popads", "tracker", "clicktrack", "tracking-pixel", "porn", "xxx",
+    "adult", "adult-video", "hot-singles", "escorts", "sexcam", "payday-loan", "quick-cash", "free-prizes", "win-money",
+    "big-win", "replica-watches", "keygen", "warez",
 )
 ALLOW_WORDS = (
-    "news", "wiki", "library", "university", "weather", "science", "garden", "travel", "recipes", "history",
-    "museum", "therapy", "nation", "thunder", "theatre", "thesis", "station", "trend", "fashion", "action",
-    "winter", "window", "address", "adventure", "tradition", "track-and-field", "x-ray", "spare-parts", "hospital",
-    "letters", "threshold", "shining", "blended", "entertaining", "editions", "reading", "handle", "notions",
+    "news", "wiki", "library", "university", "weather", "science", "garden", "travel", "recipes", "history", "museum",
+    "hospital", "school", "council", "railway", "theatre", "orchestra", "bookshop", "bakery", "football", "mountain",
+    "journal", "institute", "foundation", "parliament", "observatory", "kitchen", "painting", "architecture", "gazette",
+    "harbour", "village", "community", "dictionary", "translation", "northern", "herald", "station", "therapy", "nation",
+    "bread", "handball", "window", "address", "adventure", "tradition", "letters", "reader", "online", "shop",
 )
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,14 +77,16 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: every word under common prefixes, endings and paths."""
+    """The small labelled table: every word under common prefixes, endings and paths, dealt alike to both labels."""
+    subs = ("", "www.", "blog.", "m.", "shop.", "en.")
+    ends = ("com", "net", "org", "info", "io", "co.uk", "de")
+    paths = ("", "/", "/index.html", "/en/{n}", "/articles/{n}/", "/fr/page-{n}?q=1", "/2020/07/{n}.html", "/p/{n}#top")
     out = []
     for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
         for i, word in enumerate(words):
-            for j, sub in enumerate(("", "www.", "blog.", "m.")):
-                end = ("com", "net", "org")[(i + j) % 3]
-                lang = ("en", "de", "fr", "es")[(i + 2 * j) % 4]
-                out.append((f"https://{sub}{word}.example.{end}/{lang}/{17 * i + j}", label))
+            for j, sub in enumerate(subs):
+                path = paths[(i + 3 * j) % len(paths)].format(n=17 * i + j)
+                out.append((f"https://{sub}{word}.{ends[(i + j) % len(ends)]}{path}", label))
     return out
 
 
