@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.scratch import Scratch, fits_broadcast
+from trawl.operators.match import line_chunks, line_part
 
 
 @dataclass(frozen=True)
@@ -218,44 +219,49 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 MASK = "[REDACTED]"
 
 
+def _covered(found: DataFrame) -> DataFrame:
+    """(_sk, _sth, _sm): for each text with spans the stretches that its spans cover, in order; spans that
+    overlap are one stretch, spans that only touch are two."""
+    spans = found.select("_sk", "_sth", F.explode("_sf").alias("s")).select("_sk", "_sth", "s.start", "s.end")
+    order = Window.partitionBy("_sk", "_sth").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    head = F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")
+    spans = spans.withColumn("head", head)
+    stretch = F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stretches = spans.withColumn("no", stretch).groupBy("_sk", "_sth", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return stretches.groupBy("_sk", "_sth").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_sm"))
+
+
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The rows with every span replaced by ``MASK`` (overlapping spans by one); rows without
-    spans are unchanged.  ``length``, if there, is set to the new length of changed texts."""
+    spans are unchanged.  ``length``, if there, is set to the new length of changed texts.
+
+    A text is read as chunks of a fixed number of characters, of which a piece between two
+    stretches takes only its own, so a text costs in proportion to its length and its spans."""
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.put(
-        find_secrets(docs, key, text).select(F.col(key).alias("_sk"), F.col("th").alias("_sth"), F.col("found").alias("_sf")), "found"
-    )
-    n, spans, names = found.agg(
-        F.count("_sth"), F.coalesce(F.sum(F.size("_sf")), F.lit(0)),
+    found = find_secrets(docs, key, text).select(F.col(key).alias("_sk"), F.col("th").alias("_sth"), F.col("found").alias("_sf"))
+    cut = scratch.put(_covered(found), "stretches")
+    n, spans, names = cut.agg(
+        F.count("_sth"), F.coalesce(F.sum(F.size("_sm")), F.lit(0)),
         F.coalesce(F.max(F.length(F.col("_sk").cast("string"))), F.lit(0)),
     ).first()
-    side = F.broadcast(found) if fits_broadcast(1, n * (64 + 4 * names) + spans * 64) else found
+    side = F.broadcast(cut) if fits_broadcast(1, n * (64 + 4 * names) + spans * 32) else cut
     same = F.col(key).eqNullSafe(F.col("_sk")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_sth"))
     rows = docs.join(side, same, "left")
-    # ends of the text covered so far, span by span; a span that begins later opens a gap
-    reach = F.transform("_sf", lambda s: s["end"])
-    rows = rows.withColumn("_se", reach).withColumn("_sc", F.when(F.size("_sf") > 0, F.split(F.col(text), "")))
-    merged = F.aggregate(
-        "_sf",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    rows = rows.withColumn("_sm", F.when(F.size("_sf") > 0, merged))
+    hit = F.col("_sm").isNotNull()
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_sm", lambda s: s["end"]))
-    stops = F.concat(F.transform("_sm", lambda s: s["start"]), F.array(F.size("_sc").cast("bigint")))
-    rows = rows.withColumn("_sg", F.arrays_zip(starts.alias("a"), stops.alias("b")))
-    pieces = F.transform("_sg", lambda g: F.array_join(F.slice("_sc", (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")), ""))
-    masked = F.when(F.size("_sf") > 0, F.array_join(pieces, MASK)).otherwise(F.col(text))
-    out = rows.withColumn("_st", masked)
+    stops = F.concat(F.transform("_sm", lambda s: s["start"]), F.array(F.length(text).cast("bigint")))
+    gaps = F.arrays_zip(starts.alias("a"), stops.alias("b"))
+
+    def pieces(chunks: Column) -> Column:
+        return F.transform(gaps, lambda g: line_part(chunks, g["a"].cast("int"), (g["b"] - g["a"]).cast("int")))
+
+    # the chunks are bound by a lambda of their own, or they would be made again for every piece
+    masked = F.array_join(F.transform(F.array(line_chunks(F.col(text))), pieces)[0], MASK)
+    out = rows.withColumn("_st", F.when(hit, masked).otherwise(F.col(text)))
     changed = {c: F.col(c) for c in docs.columns}
     changed[text] = F.col("_st")
     if length and length in docs.columns:
         kind = docs.schema[length].dataType
-        changed[length] = F.when(F.size("_sf") > 0, F.length("_st").cast(kind)).otherwise(F.col(length))
+        changed[length] = F.when(hit, F.length("_st").cast(kind)).otherwise(F.col(length))
     return out.select(*[column.alias(name) for name, column in changed.items()])
