@@ -308,3 +308,39 @@ def test_sentencepiece(docs, empty):
     texts += ["a" * 500, " " * 90 + "x", "<s> </s>", "日本語テキスト"]
     for text, ids in zip(texts, coder.encode(texts)):
         assert ids.tolist() == reference.encode(text)
+
+
+def test_ids_with_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other, third = base + " more words", " ".join(f"o{i}" for i in range(60)), " ".join(f"t{i}" for i in range(60))
+    rows = [(5, other), (5, base), (3, near), (9, None), (9, third), (8, third), (7, ""), (7, ""), (None, base), (5, other), (5, other), (2, "é")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, id int, th int")
+    got = ngram_join.jaccard_components(df).collect()
+    want = {5: 3, 3: 3, 9: 8, 8: 8, 7: 7, None: None, 2: 2}
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    assert sorted(r.n_shingles for r in got if r.doc_id == 9) == [0, 56]
+    kept = ngram_join.representatives(df)
+    assert kept.columns == df.columns
+    texts = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+    assert texts == sorted([(5, other), (3, near), (9, ""), (8, third), (7, ""), (7, ""), (-1, base), (2, "é")])
+    assert ngram_join.representatives(df.limit(0)).collect() == []
+
+
+def test_a_hot_repeated_row_is_one_set(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base)] * 300 + [(2, base + " x y")] * 300 + [(3, "lonely words are these here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert sorted(r.doc_id for r in ngram_join.representatives(df).collect()) == [1, 3]
+
+
+def test_redacting_a_text_with_very_many_spans(spark):
+    import time
+
+    text = " ".join(f"{i:032x}" if i % 2 else f"é𝄞w{i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text, 5), (2, "clean", 5), (3, None, None), (4, "", 0), (5, "f" * 30, 30)], "doc_id long, text string, n_chars int")
+    start = time.time()
+    got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(df).collect()}
+    assert time.time() - start < 60
+    want = re.sub("[0-9a-f]{24,}", secret_scan.MASK, text)
+    assert got == {1: (want, len(want)), 2: ("clean", 5), 3: (None, None), 4: ("", 0), 5: (secret_scan.MASK, len(secret_scan.MASK))}

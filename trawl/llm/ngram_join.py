@@ -25,8 +25,9 @@ similarity of 3/4 or more, by size-banded tiles with hashed bitmap signatures.
 
 The result is exact up to equality of 64-bit hashes.  Defined cases: null or blank texts have
 an empty set, size 0, and are linked with nothing; rows with a null id take part in no
-link and get a null component; rows repeating an id count as one document for links;
-an empty table gives an empty result; other columns are ignored.
+link and get a null component; rows repeating an id are one document, also if their texts differ:
+what any of them is linked with is in their component; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ BLOCK_SHINGLES = 1 << 19
 #: Shingles held at once by a slice of texts.
 SLICE_SHINGLES = 1 << 19
 
-_FLAT = "kind int, id long, size int, d1 long, d2 long"
+_FLAT = "kind int, id long, size int, d1 long, d2 long, th long"
 
 
 def _batched_sets(batch: pa.RecordBatch):
@@ -77,13 +78,16 @@ def _table(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def _describe(batches):
-    """Kind 0: a document with the size and fingerprints of its set.  Kind 1: a shingle
-    (``id``) that this slice holds ``size`` times."""
+    """Kind 0: a document with the size and fingerprints of its set and the hash of its text.
+    Kind 1: a shingle (``id``) that this slice holds ``size`` times."""
     for batch in batches:
+        done = 0
         for ids, sets in _batched_sets(batch):
             d1, d2 = shingles.digests(sets)
             n = len(ids)
-            yield _table(_FLAT, [np.zeros(n, np.int32), ids, np.array([len(s) for s in sets], np.int32), d1, d2])
+            th = batch.column(2).slice(done, n).to_numpy()
+            done += n
+            yield _table(_FLAT, [np.zeros(n, np.int32), ids, np.array([len(s) for s in sets], np.int32), d1, d2, th])
             firsts = np.unique(d1, return_index=True)[1]
             flat = np.sort(np.concatenate([sets[i] for i in firsts.tolist()]))
             if len(flat):
@@ -92,7 +96,7 @@ def _describe(batches):
                 many = counts >= COMMON_IN_SLICE
                 keys = flat[heads[many]].view(np.int64)
                 zero = np.zeros(len(keys), np.int64)
-                yield _table(_FLAT, [np.ones(len(keys), np.int32), keys, counts[many].astype(np.int32), zero, zero])
+                yield _table(_FLAT, [np.ones(len(keys), np.int32), keys, counts[many].astype(np.int32), zero, zero, zero])
 
 
 def _common_rank(found: np.ndarray, common) -> np.ndarray:
@@ -276,15 +280,25 @@ def _tile(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``key``, ``n_shingles`` (long) and ``component_id``."""
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _linked(docs: DataFrame, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(described, classes, links, several).  ``described(id, size, d1, d2, th)`` has a row per row; ``classes(size,
+    d1, d2, node)`` the different sets with their smallest id; ``links(a, b)`` a spanning forest of the links
+    between classes, told by ``d1``; ``several(id, set)`` the ids whose rows have different sets, with the largest."""
     num, den = 3, 4
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
-    flat = scratch.put(slim.mapInArrow(_describe, _FLAT), "sets")
-    described = flat.where("kind = 0").select("id", "size", "d1", "d2")
+    hashed = slim.withColumn("th", _text_hash("text"))
+    flat = scratch.put(hashed.mapInArrow(_describe, _FLAT), "sets")
+    described = flat.where("kind = 0").drop("kind")
+    whose = described.where("id is not null").groupBy("id")
+    own = F.struct("size", "d1", "d2")
+    ids = scratch.put(whose.agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("least"), F.max(own).alias("set")).where("n > 1"), "ids")
+    several = ids.where("least <> set").select("id", "set")
     top = (
         flat.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n"))
         .orderBy(F.desc("n"), "id").limit(COMMON_SHINGLES).toArrow()
@@ -340,18 +354,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     active = scratch.put(active, "active")
     n_active, all_shingles = active.agg(F.count("node"), F.sum("size")).first()
     tiles = _assign_tiles(active, n_active, all_shingles or 0)
-    sets = (
-        slim.join(tiles.withColumnRenamed("node", "id"), "id")
-        .select("text", "d1", F.col("id").alias("node"), "grp", "tiles")
-        .mapInArrow(_sets, _SETS)
-    )
+    texts = slim.join(tiles.withColumnRenamed("node", "id"), "id")
+    if not ids.isEmpty():  # of rows that repeat an id and a text one goes into the tiles
+        texts = texts.withColumn("th", _text_hash("text")).dropDuplicates(["id", "d1", "th"])
+    sets = texts.select("text", "d1", F.col("d1").alias("node"), "grp", "tiles").mapInArrow(_sets, _SETS)
     links = scratch.put(sets.groupBy("tile").applyInArrow(_tile(num, den), "a long, b long"), "links")
-    linked = scratch.put(components(links, scratch, "fine"), "linked")
+    return described, classes, links, several
 
-    placed = classes.join(linked, "node", "left").select(
-        "size", "d1", "d2", F.coalesce("root", "node").alias("component_id")
-    )
-    out = described.join(placed, ["size", "d1", "d2"], "left")
+
+def _grouped(classes: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``classes`` and ``root``, the same for classes that ``edges`` connect."""
+    roots = scratch.put(components(edges, scratch, name), f"{name}-roots")
+    grouped = classes.join(roots.withColumnRenamed("node", "d1"), "d1", "left")
+    return grouped.withColumn("root", F.coalesce("root", "d1"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: ``key``, ``n_shingles`` (long) and ``component_id``."""
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    described, classes, links, several = _linked(docs, key, text, scratch)
+    repeated = not several.isEmpty()
+    if repeated:  # the sets of one document belong together
+        same = described.where("size > 0").join(several, "id").select(F.col("d1").alias("a"), F.col("set.d1").alias("b"))
+        links = links.union(same)
+    grouped = scratch.put(_grouped(classes, links, scratch, "fine"), "grouped")
+    first = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
+    placed = grouped.join(first, "root").select("size", "d1", "d2", "component_id")
+    if repeated:  # a row without words goes where the other rows of its id are
+        described = described.join(several, "id", "left")
+        at = {c: F.coalesce(F.col("set")[c], F.col(c)) for c in ("size", "d1", "d2")}
+        described = described.select("id", F.col("size").alias("own"), *[c.alias(n) for n, c in at.items()])
+    else:
+        described = described.withColumn("own", F.col("size"))
+    out = described.join(placed, ["size", "d1", "d2"], "left").withColumn("size", F.col("own"))
     return out.select(
         F.col("id").alias(key),
         F.col("size").cast("long").alias("n_shingles"),
@@ -359,6 +394,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
 
 
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group of linked texts the one with the smallest id
+    (ties: the smallest text hash) stays, once.  Here a text is a text, whatever other texts have its id: only
+    rows whose text is linked to one that stays go.  Rows without words or id are linked with nothing and stay."""
+    scratch = Scratch(docs.sparkSession, "ngram-keep")
+    described, classes, links, _ = _linked(docs, key, text, scratch)
+    grouped = _grouped(classes, links, scratch, "keep").select("size", "d1", "d2", "root")
+    rows = described.where("size > 0 and id is not null").groupBy("id", "th", "size", "d1", "d2").agg(F.count(F.lit(1)).alias("n"))
+    rows = scratch.put(rows.join(grouped, ["size", "d1", "d2"]).select("id", "th", "n", "root"), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct("id", "th")).alias("best"))
+    stays = F.struct("id", "th") == F.col("best")
+    judged = rows.join(best, "root").select(F.col("id").alias("_nk_id"), F.col("th").alias("_nk_th"), "n", stays.alias("stays"))
+    judged = scratch.put(judged.where("n > 1 or not stays"), "judged").drop("n")
+    same = (F.col(key).cast("long") == F.col("_nk_id")) & (_text_hash(text) == F.col("_nk_th"))
+    left = docs.join(judged.where("not stays").drop("stays"), same, "left_anti")
+    again = judged.where("stays").drop("stays")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same).dropDuplicates(["_nk_id", "_nk_th"]).drop("_nk_id", "_nk_th")
+    return left.join(again, same, "left_anti").union(once)
+
+
 def _assign_tiles(active: DataFrame, n: int, all_shingles: int) -> DataFrame:
     """(node, d1, grp, tiles): ``tiles`` lists (t, s), the tiles of a set and its side."""
     groups = active.groupBy("grp").agg(F.count("node").alias("g_n"), F.sum("size").alias("g_s"))
