@@ -27,6 +27,7 @@ HEADLINE = [
     "search_pages",
     "search_conversations",
     "search_batch",
+    "search_query_table",
     "search_incremental",
     "finding_markdown",
     "elab_prompt",

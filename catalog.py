@@ -400,7 +400,7 @@ def _populated(spark, sf_dir, **kw):
     return table
 
 
-@register("cache_hits", "SELECT path, lang <> 'fr' AS hit FROM (" + O.DOCS_V2 + ") d")
+@register("cache_hits", "SELECT path, lang IS DISTINCT FROM 'fr' AS hit FROM (" + O.DOCS_V2 + ") d")
 def cache_hits(spark, sf_dir):
     """C2 + C5: after the edit, only the edited files miss."""
     table = _populated(spark, sf_dir)
@@ -519,10 +519,12 @@ from trawl.streaming.search_stream import corpus_stream, run_until_caught_up  #
 def search_stream(spark, sf_dir):
     """The incremental search as a stream: the documents table read by a file-stream
     source, searched per micro-batch, appended to a findings table."""
-    base = os.path.join(_local_dir(spark), f"stream-{_uuid.uuid4().hex}")
+    from trawl.session import checkpoint_dir
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{_uuid.uuid4().hex}"
     schema = tables.table(spark, sf_dir, "documents").schema
     docs = corpus_stream(
-        spark, sf_dir, schema, lambda raw: raw.select(tables.document_path().alias("path"), "text"), glob="documents.parquet"
+        spark, f"{sf_dir}/documents.parquet", schema, lambda raw: raw.select(tables.document_path().alias("path"), "text")
     )
     return run_until_caught_up(docs, _LICENSE, f"{base}/findings", f"{base}/_checkpoint")
 
@@ -551,9 +553,47 @@ def search_batch(spark, sf_dir):
     return search_many(tables.documents(spark, sf_dir), BATCH)
 
 
+from trawl import search_query_table  # noqa: E402
+
+
+@register(
+    "search_query_table",
+    O.query_table_search("documents", "SELECT item_id AS query_id, text AS query FROM benchmark"),
+)
+def search_query_table_(spark, sf_dir):
+    """Every passage of ``benchmark`` as a literal query over all documents, in one pass."""
+    asked = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search_query_table(tables.documents(spark, sf_dir), asked)
+
+
 # ---------------------------------------------------------------- more single-operator checks
 
 
+@register(
+    "filter_nul_bytes",
+    "SELECT path, CASE WHEN doc_id % 3 = 0 THEN strlen(text) < 1024 ELSE doc_id % 3 = 1 AND length(text) > 0 END AS has_nul "
+    f"FROM (SELECT {O.DOCUMENT_PATH} AS path, coalesce(doc_id, 2) AS doc_id, coalesce(text, '') AS text FROM documents) d",
+)
+def filter_nul_bytes(spark, sf_dir):
+    """a third of the documents end in a NUL byte (seen in texts of under 1,024 bytes), a third begin with one."""
+    docs = tables.table(spark, sf_dir, "documents")
+    raw, nul, third = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("00")), F.coalesce("doc_id", F.lit(2)) % 3
+    content = F.when(third == 0, F.concat(raw, nul)).when((third == 1) & (F.length(raw) > 0), F.concat(nul, raw)).otherwise(raw)
+    return docs.select(tables.document_path().alias("path"), FL.has_nul(FL.probe(content)).alias("has_nul"))
+
+
+@register(
+    "corpus_dedup_sorted",
+    f"SELECT path, '/corpus' AS root, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS position FROM (SELECT DISTINCT path FROM ({O.TREE}) t) x",
+)
+def corpus_dedup_sorted(spark, sf_dir):
+    """The tree listed from ``/corpus`` and again from each source's folder, then once per path and sorted."""
+    tree = tables.document_tree(spark, sf_dir).select("path", "root", "mtime")
+    again = tree.withColumn("root", F.regexp_extract("path", "^(/corpus/[^/]+)", 1))
+    return FS.dedupe_sorted(tree.union(again)).select("path", "root", "position")
+
+
+
 @register("mtime_default", f"SELECT path, CAST(0.0 AS DOUBLE) AS mtime FROM ({O.CORPORA['documents']}) c")
 def mtime_default(spark, sf_dir):
     """The synthetic document paths do not exist as files, so every mtime is 0.0."""

@@ -21,13 +21,15 @@ def q(s: str) -> str:
 
 # --------------------------------------------------------------------------- corpora
 
-DOCUMENT_PATH = "'/corpus/' || source || '/' || lang || '/doc_' || CAST(doc_id AS VARCHAR) || '.txt'"
+DOCUMENT_PATH = (
+    "'/corpus/' || coalesce(source, '_') || '/' || coalesce(lang, '_') || '/doc_' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.txt'"
+)
 
 CORPORA = {
     "documents": f"SELECT {DOCUMENT_PATH} AS path, text, CAST(doc_id AS DOUBLE) AS mtime FROM documents",
-    "pages": "SELECT url AS path, html AS text, CAST(page_id AS DOUBLE) AS mtime FROM pages",
+    "pages": "SELECT coalesce(url, '/pages/' || coalesce(CAST(page_id AS VARCHAR), '_') || '.html') AS path, html AS text, CAST(page_id AS DOUBLE) AS mtime FROM pages",
     "conversations": (
-        "SELECT '/conversations/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.txt' AS path, "
+        "SELECT '/conversations/' || coalesce(CAST(conv_id AS VARCHAR), '_') || '/' || coalesce(CAST(turn AS VARCHAR), '_') || '.txt' AS path, "
         "text, CAST(conv_id AS DOUBLE) AS mtime FROM conversations"
     ),
 }
@@ -91,6 +93,29 @@ FROM pos
 """
 
 
+def query_table_search(corpus: str, queries: str, context: int = 3) -> str:
+    """Findings of every literal of ``queries`` (query_id, query), case-insensitive, over a corpus; queries may hold
+    newlines (lower() keeps their lengths)."""
+    return f"""
+WITH occ AS (
+  SELECT query_id, path, text, length(query) AS n, string_split(lower(text), lower(query)) AS pc
+  FROM ({CORPORA[corpus]}) c JOIN ({queries}) b ON length(query) > 0 AND contains(lower(text), lower(query))
+), each AS (
+  SELECT query_id, path, text, n, pc, unnest(range(1, len(pc))) AS k FROM occ
+), pos AS (
+  SELECT query_id, path, text, n, CAST(list_sum(list_transform(pc[1:k], lambda x: length(x))) + (k - 1) * n AS BIGINT) AS p FROM each
+), spot AS (
+  SELECT query_id, path, {splitlines('text')} AS sl, substring(text, p + 1, n) AS match_text,
+         len(string_split(left(text, p), {NL})) - 1 AS li, length(string_split(left(text, p), {NL})[-1]) AS s, n
+  FROM pos
+)
+SELECT CAST(query_id AS BIGINT) AS query_id, path AS file_path, CAST(li + 1 AS BIGINT) AS line_number, match_text,
+       CAST(s AS BIGINT) AS char_start_in_line, CAST(s + n AS BIGINT) AS char_end_in_line,
+       {snippet('sl', 'li', 's', 's + n', context)} AS snippet
+FROM spot
+"""
+
+
 def line_regex_search(corpus: str, pattern: str, case_sensitive: bool = True, context: int = 3) -> str:
     """Findings of a regex that cannot match a newline or the empty string (RE2 = Python here)."""
     p = pattern if case_sensitive else "(?i)" + pattern
@@ -156,11 +181,11 @@ def wrap_findings(inner: str) -> str:
 # --------------------------------------------------------------------------- path rules
 
 TREE_PATH = (
-    "'/corpus/' || source || '/' || CASE lang WHEN 'de' THEN '.de' WHEN 'es' THEN 'node_modules' ELSE lang END"
-    " || '/doc_' || CAST(doc_id AS VARCHAR) || '.' || CASE source WHEN 'src0' THEN 'log' WHEN 'src1' THEN 'PDF'"
+    "'/corpus/' || coalesce(source, '_') || '/' || CASE lang WHEN 'de' THEN '.de' WHEN 'es' THEN 'node_modules' ELSE coalesce(lang, '_') END"
+    " || '/doc_' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.' || CASE source WHEN 'src0' THEN 'log' WHEN 'src1' THEN 'PDF'"
     " WHEN 'src2' THEN 'tmp' WHEN 'src3' THEN 'md' ELSE 'txt' END"
 )
-TREE = f"SELECT {TREE_PATH} AS path, substring({TREE_PATH}, 9) AS rel, text FROM documents"
+TREE = f"SELECT {TREE_PATH} AS path, substring({TREE_PATH}, 9) AS rel, coalesce(text, '') AS text FROM documents"
 
 
 def tree_where(cond: str) -> str:

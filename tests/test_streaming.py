@@ -12,7 +12,7 @@ def test_stream_searches_new_files_once(spark, tmp_path):
     q = Query("alpha", context_lines=1)
 
     def run_once():
-        stream = corpus_stream(spark, src, first.schema, glob="*.parquet")
+        stream = corpus_stream(spark, src, first.schema)
         h = start_search_stream(stream, q, sink, ckpt, available_now=True)
         h.awaitTermination()
         assert h.exception() is None

@@ -6,6 +6,7 @@ and column positions and highlighted context snippets.
 """
 
 from trawl.model import FINDING_COLUMNS, Query
+from trawl.operators.query_table import search_query_table
 from trawl.plans.search import search, search_many
 
-__all__ = ["Query", "FINDING_COLUMNS", "search", "search_many"]
+__all__ = ["Query", "FINDING_COLUMNS", "search", "search_many", "search_query_table"]

@@ -53,7 +53,7 @@ def mtime_micros(mtime: Column) -> Column:
 def file_key(op: str, params: dict, path: Column, mtime: Column) -> Column:
     """sha256 of (operation, canonical parameters, file, mtime in microseconds)."""
     canon = json.dumps(params, sort_keys=True)
-    return F.sha2(F.concat_ws(SEP, F.lit(op), F.lit(canon), path, mtime_micros(mtime).cast("string")), 256)
+    return F.sha2(F.concat_ws(SEP, F.lit(op), F.lit(canon), F.coalesce(path, F.lit("")), mtime_micros(mtime).cast("string")), 256)
 
 
 def finding_hash(df: DataFrame) -> Column:
@@ -275,7 +275,7 @@ def cached_search(
 
     # The search treats ``path`` as an opaque label: carrying the key inside it keeps
     # the new rows keyed without a join back to the files.
-    labelled = missed.select(F.concat_ws(SEP, "key", "path").alias("path"), "text")
+    labelled = missed.select(F.concat_ws(SEP, "key", F.coalesce("path", F.lit(""))).alias("path"), "text")
     found = find(labelled, query).select(*FINDING_COLUMNS)
     new_rows = found.select(
         F.substring_index("file_path", SEP, 1).alias("key"),
@@ -347,12 +347,13 @@ def cached_elaborate(
     """Elaborate only findings without a live stored elaboration; store the
     successful ones (``Error:`` results are returned but never stored).
     ``use_cache=False`` bypasses the table entirely (C9)."""
-    from trawl.operators.elaborate import elaborate
+    from trawl.operators.elaborate import elaborate, one_per_path
 
     if table is None or not use_cache:
         done = elaborate(findings, corpus, model_fn, window)
         return done.select("finding_id", "elaboration", "status", F.lit(False).alias("from_cache"))
     t = _now(now)
+    corpus = one_per_path(corpus)
     mt = corpus.select(F.col("path").alias("file_path"), F.col("mtime").alias("source_mtime"))
     with_src = findings.join(mt, "file_path", "left")
     keyed = with_src.withColumn("key", elaboration_key(with_src, window, model_name, api_base))

@@ -3,9 +3,9 @@
 The original tool elaborates one finding per call.  Here the whole findings table is
 elaborated in one job:
 
-1. **context lines** - the ±``context_lines`` window of every finding is requested as
-   ``(file_path, line index)`` keys and joined with the source split into lines.  The
-   join key includes the line index, so a file with many findings does not become one
+1. **context lines** - a source file with findings gives one slice of lines for every
+   block of lines that some finding is in, and a finding meets the slice of its block.
+   The join key includes the block, so a file with many findings does not become one
    hot key; the source side is reduced to files that have findings first (broadcast of
    the file list only when its measured size is small, a shuffle join otherwise).
 2. **context block and prompt** - plain column expressions.
@@ -79,7 +79,8 @@ def _with_source_files(findings: DataFrame, corpus: DataFrame) -> tuple[DataFram
     paths = findings.select(F.col("file_path").alias("path")).distinct()
     stats = paths.agg(F.count("*").alias("n"), F.max(F.length("path")).alias("longest")).first()
     small = (stats["n"] or 0) * ((stats["longest"] or 0) + 32) <= BROADCAST_FILE_LIST_BYTES
-    return corpus.select("path", "text").join(F.broadcast(paths) if small else paths, "path", "left_semi"), small
+    columns = [c for c in ("path", "text", "mtime") if c in corpus.columns]
+    return corpus.select(*columns).join(F.broadcast(paths) if small else paths, "path", "left_semi"), small
 
 
 def resolve_report_paths(findings: DataFrame, report_dir: str, corpus: DataFrame) -> DataFrame:
@@ -102,60 +103,62 @@ def resolve_report_paths(findings: DataFrame, report_dir: str, corpus: DataFrame
     return joined.withColumn("file_path", F.when(F.col("_exists"), F.col("_cand")).otherwise(fp)).drop("_cand", "_exists")
 
 
-SENTINEL_SALT = 16  # "has content" markers per source file (spreads a hot file's requests)
+#: Lines of a source file that are cut out together (more for wide windows).
+BLOCK_LINES = 64
+
+
+def one_per_path(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with one row per path: of several the one with the latest ``mtime``, ties broken by
+    a hash of the text; rows without a text give way.  Nothing is shuffled but paths if none is repeated."""
+    if corpus.groupBy("path").count().where("count > 1").isEmpty():
+        return corpus
+    mtime = F.coalesce(F.col("mtime"), F.lit(0.0)) if "mtime" in corpus.columns else F.lit(0.0)
+    newest = F.struct(F.col("text").isNotNull(), mtime, F.xxhash64("text"))
+    row = F.struct(*[F.col(c) for c in corpus.columns])
+    return corpus.groupBy(F.col("path").alias("_path")).agg(F.max_by(row, newest).alias("_row")).select("_row.*")
 
 
 def context_lines(findings: DataFrame, corpus: DataFrame, window: int = 10) -> DataFrame:
     """E1 + E3: per finding, ``has_content`` and the numbered window of source lines.
 
-    ``findings`` needs ``finding_id, file_path, line_number``.  Every source file is read
-    once and emits its snippet lines (index >= 0) plus ``SENTINEL_SALT`` marker rows
-    (negative indices) that say whether it has content.  Each finding asks for its
-    window lines and for one marker, picked by its id, so a file with many findings
-    spreads its marker requests over several keys.  Missing sources give
+    ``findings`` needs ``finding_id, file_path, line_number``.  A file's lines are thought of as blocks;
+    each file is split into lines once and gives one row for every block some finding is in, with the
+    block's lines and a window more on either side.  So findings near each other share one slice, a
+    finding meets one row, and a file with very many findings is spread over its blocks.  A path that
+    the corpus holds several times counts once (:func:`one_per_path`).  Missing sources give
     ``has_content = false`` and an empty window (the caller falls back to the snippet).
     """
-    salt = SENTINEL_SALT
-    src, _small = _with_source_files(findings, corpus)
-    text = F.col("text")
-    flag = F.when(F.length(text) > 0, F.lit("Y")).otherwise(F.lit("N"))
-    pos = F.col("pos")
-    lines = src.select(
-        F.col("path").alias("file_path"),
-        F.posexplode(F.concat(F.array_repeat(flag, salt), splitlines(text))).alias("pos", "line"),
-    ).select("file_path", F.when(pos < salt, -(pos + 1)).otherwise(pos - salt).alias("idx"), "line")
+    size = max(BLOCK_LINES, 2 * window)
     li = F.col("line_number").cast("int") - 1
-    marker = -(F.pmod(F.col("finding_id"), F.lit(salt)) + 1).cast("int")
-    wanted = findings.select(
-        "finding_id",
-        "file_path",
-        li.alias("li"),
-        F.explode(
-            F.concat(F.array(marker), F.sequence(F.greatest(li - window, F.lit(0)), F.greatest(li + window, F.lit(0))))
-        ).alias("idx"),
-    ).where((F.col("idx") >= 0) | (F.col("idx") == marker))
-    got = wanted.join(lines, ["file_path", "idx"], "inner")
-    idx = F.col("idx")
-    marked = F.concat(
-        F.when(idx == F.col("li"), F.lit(">> ")).otherwise(F.lit("  ")),
-        F.when(idx < 9999, F.lpad((idx + 1).cast("string"), 4, " ")).otherwise((idx + 1).cast("string")),
-        F.lit(": "),
-        F.col("line"),
-    )
-    windows = got.groupBy("finding_id").agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.when(idx >= 0, F.struct(idx.alias("i"), marked.alias("text"))))),
-                lambda x: x["text"],
-            ),
-            "\n",
-        ).alias("file_context"),
-        F.max(F.when(idx < 0, F.col("line") == "Y")).alias("has_content"),
-    )
-    return (
-        findings.join(windows, "finding_id", "left")
-        .withColumn("has_content", F.coalesce("has_content", F.lit(False)))
-        .withColumn("file_context", F.coalesce("file_context", F.lit("")))
+    block = F.when(li.isNotNull(), F.floor(F.greatest(li, F.lit(0)) / size).cast("int"))
+    src, _small = _with_source_files(findings, corpus)
+    asked = findings.select(F.col("file_path").alias("path"), block.alias("block")).where("block is not null").distinct()
+    src = one_per_path(src).where("text is not null").join(asked.groupBy("path").agg(F.collect_list("block").alias("blocks")), "path")
+    start = lambda b: F.greatest(b * size - window, F.lit(0))
+
+    def cut(lines: Column) -> Column:
+        def one(b):
+            stop = (b + 1) * size + window
+            return F.struct(b.alias("_block"), start(b).alias("_first"), F.slice(lines, start(b) + 1, stop - start(b)).alias("_lines"))
+
+        return F.transform("blocks", one)
+
+    # the lines are bound by a lambda of their own, or they would be split again for every block
+    cuts = F.transform(F.array(splitlines(F.col("text"))), cut)[0]
+    parts = src.select(F.col("path").alias("_path"), (F.length("text") > 0).alias("_has"), F.inline(cuts))
+    got = findings.join(parts, (F.col("file_path") == F.col("_path")) & (block == F.col("_block")), "left")
+    first = F.greatest(li - window, F.lit(0))
+    near = F.slice("_lines", F.greatest(first - F.col("_first"), F.lit(0)) + 1, F.greatest(li + window, F.lit(0)) - first + 1)
+
+    def marked(line: Column, i: Column) -> Column:
+        at = first + i
+        number = F.when(at < 9999, F.lpad((at + 1).cast("string"), 4, " ")).otherwise((at + 1).cast("string"))
+        return F.concat(F.when(at == li, F.lit(">> ")).otherwise(F.lit("  ")), number, F.lit(": "), line)
+
+    return got.select(
+        *[F.col(c) for c in findings.columns],
+        F.coalesce("_has", F.lit(False)).alias("has_content"),
+        F.coalesce(F.array_join(F.transform(near, marked), "\n"), F.lit("")).alias("file_context"),
     )
 
 

@@ -75,17 +75,27 @@ def _occurrences(text: str, query: Query, pattern: re.Pattern | None):
         pos = hay.find(needle, pos + qlen)
 
 
+def locate(text: str, context: int):
+    """A function from (start, matched text) in ``text`` to the finding's columns after its path."""
+    newlines = [m.start() for m in re.finditer("\n", text)]
+    slines = text.splitlines()
+
+    def place(start: int, matched: str) -> tuple:
+        li = _line_index(newlines, start)
+        col = start - (newlines[li - 1] + 1 if li else 0)
+        end = col + len(matched)
+        return (li + 1, matched, col, end, _snippet(slines, li, col, end, context))
+
+    return place
+
+
 def iter_findings(path: str, text: str, query: Query, pattern=None) -> Iterator[tuple]:
     """The findings of one document one after the other, by Python semantics."""
     if not query.text or not text:
         return
-    newlines = [i for i, ch in enumerate(text) if ch == "\n"]
-    slines = text.splitlines()
+    place = locate(text, query.context_lines)
     for start, matched in _occurrences(text, query, pattern):
-        li = _line_index(newlines, start)
-        col = start - (newlines[li - 1] + 1 if li else 0)
-        end = col + len(matched)
-        yield (path, li + 1, matched, col, end, _snippet(slines, li, col, end, query.context_lines))
+        yield (path, *place(start, matched))
 
 
 def python_findings_of(path: str, text: str, query: Query, pattern=None) -> list[tuple]:

@@ -36,25 +36,27 @@ MD_TITLE = "# Code Search Results"
 # ------------------------------------------------------------------------- ids and order
 
 
-def with_finding_ids(findings: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Add ``finding_id`` (0-based, consecutive, in report order).
+def with_positions(rows: DataFrame, order: list[str], name: str, checkpoint: bool = True) -> DataFrame:
+    """``rows`` in the order of ``order``, with their 0-based position as column ``name`` in front.
 
-    The findings are written once before sorting: a range sort samples its input in a
-    separate job, which would otherwise run the whole search a second time."""
+    The rows are written once before sorting: a range sort samples its input in a
+    separate job, which would otherwise compute them a second time."""
     if checkpoint:
-        checkpoint_dir(findings.sparkSession)
-        findings = findings.checkpoint(eager=True)
-    ordered = findings.orderBy(*ORDER)
+        checkpoint_dir(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
+    ordered = rows.orderBy(*order)
     if checkpoint:
         ordered = ordered.checkpoint(eager=True)
     tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").count().orderBy("_pid").collect()  # one row per partition
     pos_in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     tagged = with_partition_offsets(tagged.withColumn("_pos", pos_in_part), [(r["_pid"], r["count"]) for r in counts])
-    return tagged.select(
-        (F.col("_off") + F.col("_pos")).cast("long").alias("finding_id"),
-        *[c for c in findings.columns],
-    )
+    return tagged.select((F.col("_off") + F.col("_pos")).cast("long").alias(name), *[c for c in rows.columns])
+
+
+def with_finding_ids(findings: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """Add ``finding_id`` (0-based, consecutive, in report order)."""
+    return with_positions(findings, ORDER, "finding_id", checkpoint)
 
 
 def lookup(findings_with_ids: DataFrame, finding_id) -> DataFrame:

@@ -42,15 +42,17 @@ ORDER = ["file_path", "line_number", "char_start_in_line"]
 
 
 def searchable(corpus: DataFrame) -> DataFrame:
-    """Only ``path`` and ``text`` go on; empty and unreadable texts have no matches."""
+    """Only ``path`` and ``text`` go on; empty and unreadable texts have no matches.  A row
+    without a path is searched under the empty name."""
     text = F.col("text")
-    return corpus.select("path", "text").where(text.isNotNull() & (F.length(text) > 0))
+    named = F.coalesce(F.col("path"), F.lit("")).alias("path")
+    return corpus.select(named, "text").where(text.isNotNull() & (F.length(text) > 0))
 
 
 def empty_findings(corpus: DataFrame) -> DataFrame:
     """No matches (empty query): keeps the lineage and the schema, reads nothing."""
     return corpus.select(
-        F.col("path").alias("file_path"),
+        F.coalesce(F.col("path"), F.lit("")).alias("file_path"),
         F.lit(0).cast("long").alias("line_number"),
         F.lit("").alias("match_text"),
         F.lit(0).cast("long").alias("char_start_in_line"),

@@ -215,6 +215,17 @@ def scan(spark: SparkSession, roots: list[str], rules: PathRules = PathRules(),
     return drop_binary_files(files.dropDuplicates(["path"]) if dedupe else files)
 
 
+def dedupe_sorted(listing: DataFrame) -> DataFrame:
+    """One row per path, the one found from the shortest root (ties: the first), in order of the path, with
+    its ``position`` from 0.  Positions come from sorted ranges of paths: no task sees all of them."""
+    from trawl.operators.report import with_positions
+
+    first = F.struct(F.length("root"), F.col("root"))
+    row = F.struct(*[F.col(c) for c in listing.columns if c != "path"])
+    files = listing.groupBy("path").agg(F.min_by(row, first).alias("_row")).select("path", "_row.*")
+    return with_positions(files, ["path"], "position")
+
+
 def read_corpus(files: DataFrame) -> DataFrame:
     """``(path, text, mtime)``; files that cannot be read drop out."""
     with_bytes = read_files(files).where(F.col("content").isNotNull())

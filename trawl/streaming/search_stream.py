@@ -20,22 +20,29 @@ from trawl.model import FINDING_COLUMNS, Query
 from trawl.plans.search import find
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system that the path belongs to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(target).isDirectory()
+
+
 def corpus_stream(
     spark: SparkSession,
-    source_dir: str,
+    source: str,
     schema,
     to_corpus: Callable[[DataFrame], DataFrame] | None = None,
     max_files_per_trigger: int | None = None,
-    glob: str | None = None,
 ) -> DataFrame:
-    """A streaming corpus ``(path, text, ...)`` over the Parquet files of ``source_dir``
-    (only the files whose name matches ``glob``, if given)."""
+    """A streaming corpus ``(path, text, ...)`` over ``source``: a folder of Parquet files, to which
+    more may come, or one Parquet file."""
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    if not _is_folder(spark, source):  # file streams watch folders: this one, for one name
+        source, _, name = source.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.parquet(source_dir)
+    raw = reader.parquet(source)
     return to_corpus(raw) if to_corpus else raw
 
 
