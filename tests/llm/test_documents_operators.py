@@ -135,6 +135,41 @@ def test_license_scan(docs, empty):
     assert license_scan.scan(empty).collect() == []
 
 
+def test_license_labels_and_scores(spark):
+    import math
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = [
+        *[f"Some words before. {t.text}, and after" for t in license_scan.OWN], *[t.text.upper() for t in license_scan.OWN],
+        "I asked under the apache license office", "the BSD license, redistribution and use in source", "zlib license", None, "",
+        "permission to use copy modify and or distribute this software for any purpose", "in source and binary forms " * 50,
+        "free and unencumbered software released into the public domain, this is", "nothing here " * 300,
+    ]
+    rows = [(i if i % 9 else None, t, 1) for i, t in enumerate(texts)] + [(1, texts[1], 2)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, label int")).collect()
+    words = [word.findall(lower(t)) for _, t, _ in rows]
+    vocabulary = {w for t in license_scan.TEMPLATES for p in (t.text, *t.phrases) for w in p.split()}
+    idf = {w: math.log((len(rows) + 1) / (sum(w in ws for ws in words) + 1)) + 1e-3 for w in vocabulary}
+    expected = []
+    for (i, _, _), ws in zip(rows, words):
+        at = lambda p: any(ws[k : k + len(p)] == p for k in range(len(ws)))  # noqa: E731, B023
+        labels, score = {t.label for t in license_scan.BASE if at(t.text.split())}, 0.0
+        for t in license_scan.OWN:
+            parts = t.text.split()
+            if any(at(p.split()) for p in t.phrases):
+                shares = [
+                    sum(idf[w] for k, w in enumerate(parts) if 0 <= rel + k < len(ws) and ws[rel + k] == w) / sum(idf[w] for w in parts)
+                    for rel in range(-len(parts), len(ws))
+                ]
+                if max(shares) >= license_scan.MIN_SHARE:
+                    labels.add(t.label)
+                    score = max(score, max(shares))
+        expected.append((str(i), len(ws), ",".join(sorted(labels)), round(score, 6)))
+    assert sorted((str(r.doc_id), r.n_words, r.labels, round(r.score, 6)) for r in got) == sorted(expected)
+    full = {i: s for i, _, _, s in expected}
+    assert all(full[str(i)] == 1 for i in range(len(license_scan.OWN)) if i % 9)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

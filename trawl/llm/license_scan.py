@@ -1,22 +1,25 @@
 """License scans: a positional rare-token index over licence templates.
 
 Templates are word sequences; their postings are (word, template, position).  The inverse
-document frequency of every template word is counted over all documents.  A file looks up
-its highest-IDF words of each template (``LOOKED_UP`` per template), with their positions;
-postings and file words that agree on the relative position (file position minus template
-position) are the places where the template's words stand in order.  A template counts
-when one of its mandatory key phrases stands complete, every word at its relative position.
+document frequency of every template word is counted over all documents and gives the posting
+its weight, so that the rarest words of a template decide.  A file looks up its template words
+with their positions; postings and file words that agree on the relative position (file
+position minus template position) are the places where the template's words stand in order.
+A (file, template) pair is a candidate where the weights that agree on one relative position
+reach ``MIN_SHARE`` of the template; it counts if a mandatory key phrase of the template
+stands complete in the file, every word at its relative position.  Base phrases count as they stand.
 
 Native: words are split, intersected and exploded by column expressions.  Only files that
-hold all words of some key phrase are exploded into positions, and of them only the looked
-up words; groups are (file, template, relative position), so a file or a word that is very
+hold all words of some key phrase are exploded into positions, and of them only template
+words; groups are (file, template, relative position), so a file or a word that is very
 frequent spreads over many groups.  The postings and the IDF table are bounded by the
 template list.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Defined cases: null
 texts are empty: no words, null positions, empty labels, score 0; repeated rows get equal
 answers; null ids are ordinary ids; an empty table gives an empty result; other columns are
-ignored.
+ignored.  A template whose phrase stands in other wording (less than ``MIN_SHARE``) gives no label and
+no score.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm.scratch import Scratch, fits_broadcast
 
-#: Highest-IDF words of a template that a file looks up.
-LOOKED_UP = 8
+#: Share of a template's weight that must agree on one relative position.
+MIN_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,15 @@ OWN = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
              ("permission is hereby granted free of charge",)),
     Template("mit", "released under the mit license", ("under the mit license",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+             ("permission to use copy modify and or distribute this software", "isc license")),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+             ("without any express or implied warranty", "zlib license")),
+    Template("epl", "made available under the terms of the eclipse public license", ("eclipse public license",)),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights",
+             ("waived all copyright and related or neighboring rights", "cc0 public domain dedication")),
+    Template("unlicense", "this is free and unencumbered software released into the public domain",
+             ("free and unencumbered software", "the unlicense")),
     Template("mpl", "subject to the terms of the mozilla public license", ("mozilla public license",)),
 )
 TEMPLATES = BASE + OWN
@@ -85,8 +97,8 @@ def _words(text: Column) -> Column:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, ``n_words``, ``n_base``, ``first_word``,
-    ``last_word``, ``base_labels``, ``labels``, ``score`` (IDF-weighted share of the best
-    labelled template that stands at one relative position)."""
+    ``last_word``, ``base_labels``, ``labels``, ``score`` (IDF-weighted share of the method's best
+    template with a complete key phrase that stands at one relative position)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -108,7 +120,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     df = {w: n for w, n in files.select(F.explode("present").alias("w")).groupBy("w").count().collect()}
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
 
-    # candidates hold all words of a key phrase; they look up the highest-IDF words per template
+    # only files that hold all words of a key phrase can have one
     held = [
         F.forall(F.array(*[F.lit(w) for w in sorted(set(p.split()))]), lambda w: F.array_contains("present", w))
         for _, p in _phrases()
@@ -116,30 +128,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     anyone = held[0]
     for h in held[1:]:
         anyone = anyone | h
-    rarest = []
-    for t in TEMPLATES:
-        by_idf = sorted(set(t.text.split()), key=lambda w: (-idf[w], w))
-        rarest.append(F.slice(F.array_intersect(F.array(*map(F.lit, by_idf)), F.col("present")), 1, LOOKED_UP))
-    words_of_phrases = F.array(*[F.lit(w) for w in sorted({w for _, p in _phrases() for w in p.split()})])
-    look = F.array_union(F.flatten(F.array(*rarest)), F.array_intersect(words_of_phrases, F.col("present")))
     candidates = scratch.put(
-        files.where(anyone).select(F.col("k").alias("ck"), F.col("th").alias("cth"), look.alias("look")).distinct(),
+        files.where(anyone).select(F.col("k").alias("ck"), F.col("th").alias("cth")).distinct(),
         "candidates",
     )
     size = candidates.agg(
         F.count("cth"), F.coalesce(F.max(F.length(F.col("ck").cast("string"))), F.lit(0))
     ).first()
     side = candidates
-    if fits_broadcast(size[0], 64 + 16 * len(vocabulary) + 4 * size[1]):
+    if fits_broadcast(size[0], 64 + 4 * size[1]):
         side = F.broadcast(side)
 
-    # positions of the looked-up words
+    # positions of the template words
     texts = slim.withColumn("th", F.xxhash64("t"))
     picked = texts.join(side, F.col("k").eqNullSafe(F.col("ck")) & (F.col("th") == F.col("cth")))
-    low = picked.select("k", "th", "look", _words(F.translate("t", _UPPER, _UPPER.lower())).alias("w"))
+    low = picked.select("k", "th", _words(F.translate("t", _UPPER, _UPPER.lower())).alias("w"))
     low = low.withColumn("skip", (F.col("w")[0] == "").cast("int"))
-    spots = low.select("k", "th", "look", "skip", F.posexplode("w").alias("i", "word"))
-    spots = spots.where(F.array_contains("look", F.col("word")))
+    spots = low.select("k", "th", "skip", F.posexplode("w").alias("i", "word"))
+    spots = spots.where(F.col("word").isin(vocabulary))
     spots = scratch.put(spots.select("k", "th", (F.col("i") - F.col("skip")).alias("pos"), "word").distinct(), "spots")
 
     # places of key phrases: all words of the phrase at one relative position
@@ -162,7 +168,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "verified",
     )
 
-    # share of each verified template at its best relative position
+    # share of each template that agrees on one relative position, at its best one
     weights = []
     for no, t in enumerate(TEMPLATES):
         words = t.text.split()
@@ -178,14 +184,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     both = verified.alias("v").join(
         aligned.alias("a"),
         F.expr("v.k <=> a.k and v.th = a.th and v.template = a.template"), "left",
-    ).select("v.*", F.least(F.lit(1.0), F.coalesce("a.share", F.lit(0.0))).alias("share"))
+    ).select("v.*", F.least(F.lit(1.0), F.round(F.coalesce("a.share", F.lit(0.0)), 9)).alias("share"))
+    both = both.where((F.col("share") >= MIN_SHARE) | F.col("base"))
     found = both.groupBy(F.col("k").alias("fk"), F.col("th").alias("fth")).agg(
         F.sum(F.when(F.col("base"), F.col("n"))).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("lo"))).alias("first_word"),
         F.max(F.when(F.col("base"), F.col("hi"))).alias("last_word"),
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
         F.collect_set("label").alias("labels"),
-        F.max("share").cast("double").alias("score"),
+        F.max(F.when(~F.col("base"), F.col("share"))).cast("double").alias("score"),
     )
     out = files.join(found, F.col("k").eqNullSafe(F.col("fk")) & (F.col("th") == F.col("fth")), "left")
 
