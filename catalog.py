@@ -566,6 +566,14 @@ def search_query_table_(spark, sf_dir):
     return search_query_table(tables.documents(spark, sf_dir), asked)
 
 
+@register("search_chunked", O.wrap_findings(O.literal_search("documents", "the")))
+def search_chunked_(spark, sf_dir):
+    """M2, M7, M8 and N1-N4 with every text cut into chunks of 1,024 bytes, each a row of its own."""
+    from trawl.operators.chunked import search_chunked
+
+    return search_chunked(tables.documents(spark, sf_dir), Query("the"), chunk_bytes=1024)
+
+
 # ---------------------------------------------------------------- more single-operator checks
 
 
