@@ -73,6 +73,29 @@ def test_kdtree_search(vectors, monkeypatch):
     assert few.count() == 3 and kdtree_search.top_k(few, F.lit(True)).count() == 6
 
 
+def test_kdtree_search_of_repeated_ids_and_large_components(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(kdtree_search, "SHARD_ROWS", 5)
+    monkeypatch.setattr(kdtree_search, "LEAF", 2)
+    rng = np.random.default_rng(9)
+    ids = [50, 50, 50, 100, *range(1, 15), 7, 7]
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** float(rng.choice([0, 6, 9, 17, 30]))]) for i in ids]
+    rows += [(50, rows[0][1]), (150, [1e308, -1e308, 1.0])]
+    low, high = -(2**63), 2**63 - 1
+    exact = [(i, [min(max(int(np.floor(256 * x)) if abs(x) < 1e300 else int(x), low), high) for x in v]) for i, v in rows]
+    expected = []
+    for at, (i, q) in enumerate(exact):
+        if i % 50 == 0:
+            found = sorted(
+                (-min(max(sum(a * b for a, b in zip(q, v)), low), high), j) for n, (j, v) in enumerate(exact) if n != at
+            )[:5]
+            expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(found)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kdtree_search.top_k(table, F.col("vec_id") % 50 == 0)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def rule_of(url):
     rest = url.split("://", 1)[1] if url and "://" in url else None
     if rest is None:

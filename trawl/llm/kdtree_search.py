@@ -1,6 +1,6 @@
 """Exact top-k inner-product search with one KD-tree per shard.
 
-Vectors are dealt over shards of about ``SHARD_ROWS`` rows by a hash of their id.  In a
+Vectors are dealt over shards of about ``SHARD_ROWS`` rows by a hash of their row number.  In a
 shard a KD-tree splits at the median of the widest dimension down to leaves of ``LEAF`` rows;
 every node keeps the tight bounding box of its rows.  The largest inner product that a
 query can have with a row of a box is the sum over dimensions of the larger of
@@ -12,8 +12,9 @@ Queries come in blocks of ``QUERY_BLOCK``; a task holds one shard and one block.
 become floor(256 * x) in double precision, scores are integers, ties go to the smaller id.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components, and rows
-with a null id, take no part; vectors of different lengths do not meet; a repeated
-id asks once (its smallest vector) and rows of the query's own id are never its answers;
+with a null id, take no part; vectors of different lengths do not meet; of rows with a repeated
+id each asks for itself, and only the asking row itself is never its answer; components and scores
+beyond 64 bits count as the largest (smallest) such integer, smaller ones are exact;
 with fewer candidates than k all are returned; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -33,6 +34,10 @@ TOP = 5
 SHARD_ROWS = 8192
 LEAF = 128
 QUERY_BLOCK = 8192
+EXACT_DOUBLE = 2.0**52  # sums of integers below this size are exact in doubles
+EXACT_LONG = 2.0**62
+ROUNDING = 1e-9  # far above the relative error of a sum of doubles
+LARGEST = 2**63 - 1
 
 
 class KDTree:
@@ -60,14 +65,25 @@ class KDTree:
                 stack += [(lo, lo + middle, number), (lo + middle, hi, number)]
         self.rows = rows[self.order]
         self.low, self.high = np.array(self.low), np.array(self.high)
+        self.peak = np.maximum(np.abs(self.low.astype(float)), np.abs(self.high.astype(float)))  # by node and dimension
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """(queries, nodes): no row of the node scores more."""
         up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
-        return up @ self.high.T.astype(float) + down @ self.low.T.astype(float)
-
-    def search(self, query: np.ndarray, own: int, ids: np.ndarray, bound: np.ndarray, k: int, least: int | None):
-        """The k best (score, id) of this tree, at least ``least``; ``ids`` in tree order."""
+        most = up @ self.high.T.astype(float) + down @ self.low.T.astype(float)
+        sizes = np.abs(queries.astype(float)) @ self.peak.T  # doubles round sums of such size
+        return np.maximum(np.where(sizes < EXACT_DOUBLE, most, most + sizes * ROUNDING), -float(LARGEST))
+
+    def scores(self, lo: int, hi: int, query: np.ndarray) -> np.ndarray:
+        """Inner products of ``query`` with rows ``lo`` to ``hi``; in Python integers where 64 bits might not do."""
+        if float(np.abs(query.astype(float)) @ self.peak[0]) < EXACT_LONG:
+            return self.rows[lo:hi] @ query
+        exact = self.rows[lo:hi].astype(object) @ query.astype(object)
+        return np.array([min(max(s, -LARGEST - 1), LARGEST) for s in exact], dtype=np.int64)
+
+    def search(self, query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int, least: int | None):
+        """The k best (score, id) of this tree, at least ``least``, without the row ``own``; ``ids`` and ``rows``
+        (the number of each row in the table) in tree order."""
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
         todo = [(-bound[0], 0)]
         while todo:
@@ -80,15 +96,15 @@ class KDTree:
                     heapq.heappush(todo, (-bound[child], child))
                 continue
             lo, hi = self.ranges[node]
-            scores = self.rows[lo:hi] @ query
+            scores = self.scores(lo, hi, query)
             if kth is not None:
                 near = np.flatnonzero(scores >= kth)
             else:
                 near = np.arange(hi - lo)
             for j in near.tolist():
-                entry = (int(scores[j]), -int(ids[lo + j]))
-                if entry[1] == -own:
+                if rows[lo + j] == own:
                     continue
+                entry = (int(scores[j]), -int(ids[lo + j]))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
@@ -96,7 +112,7 @@ class KDTree:
         return [(score, -minus) for score, minus in best]
 
 
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "row long, query_id long, vec_id long, score long"
 
 
 def _matrix(column) -> np.ndarray:
@@ -106,20 +122,20 @@ def _matrix(column) -> np.ndarray:
 
 def _search_tile(k: int):
     def run(key, rows, queries):
-        out = ([], [], [])
+        out: dict[str, list] = {name: [] for name in ("row", "query_id", "vec_id", "score")}
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by("id")
-            queries = queries.sort_by("id")
+            rows = rows.sort_by("row")
+            queries = queries.sort_by("row")
             tree = KDTree(_matrix(rows.column("v")))
             ids = rows.column("id").to_numpy()[tree.order]
+            numbers = rows.column("row").to_numpy()[tree.order]
             asked = _matrix(queries.column("v"))
             bounds = tree.bounds(asked)
-            for i, (own, least) in enumerate(zip(queries.column("id").to_pylist(), queries.column("least").to_pylist())):
-                for score, vec in tree.search(asked[i], own, ids, bounds[i], k, least):
-                    out[0].append(own)
-                    out[1].append(vec)
-                    out[2].append(score)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out)})
+            for i, query in enumerate(queries.select(["row", "id", "least"]).to_pylist()):
+                for score, vec in tree.search(asked[i], query["row"], ids, numbers, bounds[i], k, query["least"]):
+                    for name, value in zip(out, (query["row"], query["id"], vec, score)):
+                        out[name].append(value)
+        return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     return run
 
@@ -135,14 +151,15 @@ def top_k(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("raw"), is_query.alias("asks")
     ).where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False)) & (F.size("raw") > 0))
     rows = rows.select("id", F.transform("raw", lambda x: F.floor(x * 256.0)).alias("v"), "asks")
-    rows = scratch.put(rows.withColumn("dim", F.size("v")), "rows")
+    rows = rows.withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()})
+    rows = scratch.put(rows, "rows")  # written, so a row keeps its number
     count, asking = rows.agg(F.count("id"), F.coalesce(F.sum(F.col("asks").cast("int")), F.lit(0))).first()
     shards = max(1, -(-count // SHARD_ROWS))
     blocks = max(1, -(-asking // QUERY_BLOCK))
 
-    stored = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
-    queries = rows.where("asks").groupBy("dim", "id").agg(F.min("v").alias("v"))
-    queries = scratch.put(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks))), "queries")
+    stored = rows.select("dim", F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "id", "v")
+    queries = rows.where("asks").select("dim", "row", "id", "v")
+    queries = scratch.put(queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks))), "queries")
     all_blocks = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
     all_shards = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
     home = F.pmod(F.col("block"), F.lit(shards))
@@ -156,11 +173,11 @@ def top_k(
     first = scratch.put(
         run(spread.where(at_home), queries.withColumn("shard", home).withColumn("least", F.lit(None).cast("long"))), "first"
     )
-    kth = first.groupBy("query_id").agg(F.count("score").alias("n"), F.min("score").alias("least"))
-    kth = kth.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    later = queries.join(kth, "id", "left").withColumn("shard", F.explode(all_shards)).where(~at_home)
+    kth = first.groupBy("row").agg(F.count("score").alias("n"), F.min("score").alias("least"))
+    kth = kth.select("row", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    later = queries.join(kth, "row", "left").withColumn("shard", F.explode(all_shards)).where(~at_home)
     rest = run(spread.where(~at_home), later)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     hits = first.union(rest) if shards > 1 else first
     return (
         hits.withColumn("rank", F.row_number().over(best).cast("int"))
