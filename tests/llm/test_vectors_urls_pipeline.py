@@ -54,6 +54,15 @@ def test_near_duplicates(vectors, monkeypatch):
     assert embedding_dedup.near_duplicates(vectors.limit(0)).collect() == []
 
 
+def test_near_duplicates_of_doubles_of_any_size(spark):
+    base = [0.3, -0.2, 0.9, 0.1]
+    rows = [(i, [x * scale for x in base], 1) for i, scale in enumerate([1e-300, 1.0, 1e200, 1e307])]
+    rows += [(4, [1e200, 1e-300, 0.0, 0.0], 1), (5, [5e-324, 0.0, 0.0, 0.0], 1), (6, [-1e307, 0.0, 0.0, 0.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect())
+    assert got == [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
+
+
 def test_kdtree_search(vectors, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -19,7 +19,8 @@ grow.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and
 those with a null label, link with nothing; vectors of different lengths are not compared; rows
-with a null id take no part and get a null component; rows repeating an id are vectors
+with a null id take no part and get a null component; floats stay floats and everything else is read as doubles,
+of any finite size; rows repeating an id are vectors
 of their own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawl.llm.components import components, star_edges
 from trawl.llm.scratch import Scratch
@@ -70,6 +72,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small doubles would leave their range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -134,7 +137,7 @@ class Quantizer:
         return np.sqrt(np.maximum(total, 0))
 
 
-_PLACED = "label string, dim int, list int, stored boolean, id long, n long, vector array<float>, codes binary, err double"
+_PLACED = "label string, dim int, list int, stored boolean, id long, n long, vector {array}, codes binary, err double"
 
 
 def _place(shared, reach: float):
@@ -226,8 +229,10 @@ def near_duplicates(
     scratch = Scratch(spark, "embedding-dedup")
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine))
     ok = F.col("id").isNotNull() & _valid("v", "y")
+    given = vectors.select(vector).schema[0].dataType
+    array = "array<float>" if isinstance(getattr(given, "elementType", None), T.FloatType) else "array<double>"
     rows = vectors.select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.col(label).cast("string").alias("y")
+        F.col(key).cast("long").alias("id"), F.col(vector).cast(array).alias("v"), F.col(label).cast("string").alias("y")
     )
     rows = rows.withColumns({"c1": F.when(ok, F.xxhash64("y", "v")), "c2": F.when(ok, F.xxhash64(F.lit(SEED), "v", "y"))})
     classes = scratch.put(
@@ -249,7 +254,7 @@ def near_duplicates(
 
     # nodes are numbered by class hash, not by id: ids may repeat
     slim = classes.select("label", F.col("c1").alias("id"), "n", "vector", "dim")
-    placed = scratch.put(slim.mapInArrow(_place(shared, reach), _PLACED), "placed")
+    placed = scratch.put(slim.mapInArrow(_place(shared, reach), _PLACED.format(array=array)), "placed")
     group = ["label", "dim", "list"]
     blocks = placed.groupBy(*group).agg(
         F.ceil(F.sum(F.col("stored").cast("int")) / BLOCK).alias("nb"),
