@@ -38,7 +38,7 @@ LINES = 64  # lines of a text put together for snippets
 CHUNKS = "doc long, path string, no long, text string, ahead string"
 _SCANNED = (
     "doc long, path string, no long, chars long, newlines long, last_newline long, boundaries long, open boolean,"
-    " odd boolean, exits array<int>, found array<struct<start:int,newlines:int,line_start:int,matched:string>>"
+    " exits array<int>, found array<struct<start:int,newlines:int,line_start:int,matched:string>>"
 )
 
 
@@ -120,9 +120,8 @@ def _scan(query: Query):
     def one(doc, path, no, text, ahead):
         both = text + ahead[: size - 1]
         hay = both if query.case_sensitive else both.lower()
-        odd = not query.case_sensitive and LENGTH_CHANGING_LOWER in both
         ends = [m.start() for m in re.finditer("\n", text)]
-        starts, at = [], -1 if odd else hay.find(needle)
+        starts, at = [], hay.find(needle)
         while at != -1:
             starts.append(at)
             at = hay.find(needle, at + (1 if overlapping else size))
@@ -134,7 +133,7 @@ def _scan(query: Query):
         is_open = lines[-1].splitlines()[0] == lines[-1]
         exits = _exits(starts, size, len(text)) if overlapping else None
         last = ends[-1] + 1 if ends else None
-        return doc, path, no, len(text), len(ends), last, len(lines) - is_open, is_open, odd, exits, found
+        return doc, path, no, len(text), len(ends), last, len(lines) - is_open, is_open, exits, found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -264,7 +263,7 @@ def search_chunked(corpus: DataFrame, query: Query, chunk_bytes: int = CHUNK_BYT
     scanned = scanned.checkpoint(eager=True)
     if _overlaps(query.text if query.case_sensitive else folded):
         scanned = _chained(scanned, len(query.text))
-    slim = scanned.withColumn("hit", F.size("found") > 0).drop("path", "odd", "exits", "found")
+    slim = scanned.withColumn("hit", F.size("found") > 0).drop("path", "exits", "found")
     counted = _before(_before(_before(slim, "newlines_before", F.col("newlines")), "lines_before", F.col("boundaries")), "chars_before", F.col("chars"))
     counted = _before(counted, "line_at", F.col("chars_before") + F.col("last_newline"), F.max).checkpoint(eager=True)
 
