@@ -414,11 +414,15 @@ def search_incremental(spark, sf_dir):
     return C.cached_search(_docs_v2(spark, sf_dir), _LICENSE, table, now=T1)
 
 
-@register("cache_ttl", f"SELECT path, FALSE AS hit FROM ({O.CORPORA['documents']}) c")
+@register("cache_ttl", f"SELECT path, lang IS NOT DISTINCT FROM 'fr' AS hit FROM ({O.DOCS_V2}) d")
 def cache_ttl(spark, sf_dir):
-    """Entries stored with a one-hour TTL have all expired two hours later."""
+    """With a TTL of one hour, two hours after the first search only what a second one stored 90 minutes
+    later (the edited files) is still live."""
     table = _populated(spark, sf_dir, ttl_seconds=3600)
-    return C.lookup_keys(tables.documents(spark, sf_dir), _LICENSE, table, now=T0 + _dt.timedelta(hours=2)).select("path", "hit")
+    edited = _docs_v2(spark, sf_dir)
+    french = edited.where(F.split("path", "/").getItem(3) == "fr")
+    C.cached_search(french, _LICENSE, table, now=T0 + _dt.timedelta(minutes=90))
+    return C.lookup_keys(edited, _LICENSE, table, now=T0 + _dt.timedelta(hours=2)).select("path", "hit")
 
 
 @register("cache_delete", f"SELECT path, split_part(path, '/', 3) <> 'src0' AS hit FROM ({O.CORPORA['documents']}) c")
@@ -456,11 +460,11 @@ SELECT key, CAST(t AS BIGINT) AS batch FROM r WHERE running <= {EVICT_LIMIT}
 """,
 )
 def cache_evict(spark, sf_dir):
-    """Trimming a table keeps the newest entries while their total fits the limit
+    """A query over the entries finds those beyond the limit (the newest stay), and these are deleted
     (maintenance: the searches before it store and return everything)."""
     table = _populated(spark, sf_dir, size_limit_bytes=EVICT_LIMIT)
     C.cached_search(_docs_v2(spark, sf_dir), _LICENSE, table, now=T1).count()
-    table.trim()
+    table.delete(table.beyond_limit())
     return table.entries().select("key", F.when(F.col("stored_at") == F.lit(T1), 1).otherwise(0).cast("long").alias("batch"))
 
 

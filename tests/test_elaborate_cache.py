@@ -75,17 +75,18 @@ def test_cached_search_bypass_and_broken_table(corpus, spark, tmp_path):
     plain = sorted(tuple(r) for r in search(c, q, ordered=False).collect())
     table = C.ResultTable(spark, str(tmp_path / "t"))
     assert sorted(tuple(r) for r in C.cached_search(c, q, table, use_cache=False).collect()) == plain
-    assert table.versions() == []  # bypass neither reads nor writes
+    assert not (tmp_path / "t").exists()  # bypass neither reads nor writes
     first = sorted(tuple(r) for r in C.cached_search(c, q, table, now=dt.datetime(2026, 1, 1)).collect())
-    assert first == plain and table.versions() == [1]
+    assert first == plain and table.entries().count() == 2
     hits = C.lookup_keys(c, q, table, now=dt.datetime(2026, 1, 2)).collect()
     assert all(r.hit for r in hits)
-    # a table that cannot be read: everything is a miss, the search still answers
-    (tmp_path / "bad" / "search" / "v=000001" / "entries").mkdir(parents=True)
-    (tmp_path / "bad" / "search" / "v=000001" / "entries" / "_SUCCESS").write_text("")
-    (tmp_path / "bad" / "search" / "v=000001" / "entries" / "part-0.parquet").write_text("not parquet")
+    # entries that cannot be read: everything is a miss, the search still answers
     bad = C.ResultTable(spark, str(tmp_path / "bad"))
+    broken = tmp_path / "bad" / "search" / "entries" / f"query={C.query_hash(q.params())}" / "batch=b1"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_text("not parquet")
     assert all(not r.hit for r in C.lookup_keys(c, q, bad).collect())
+    assert sorted(tuple(r) for r in C.cached_search(c, q, bad).collect()) == plain
 
 
 def test_delete_and_clear_counts(corpus, spark, tmp_path):
@@ -94,6 +95,9 @@ def test_delete_and_clear_counts(corpus, spark, tmp_path):
     table = C.ResultTable(spark, str(tmp_path / "t"))
     C.cached_search(c, q, table, now=dt.datetime(2026, 1, 1)).count()
     keys = C.lookup_keys(c, q, table, now=dt.datetime(2026, 1, 1)).where("path = '/w/a.txt'").select("key")
+    assert table.delete(keys) == 1 and table.delete(keys) == 0
+    assert [r.hit for r in C.lookup_keys(c, q, table, now=dt.datetime(2026, 1, 1)).orderBy("path").collect()] == [False, True]
+    C.cached_search(c, q, table, now=dt.datetime(2026, 1, 1))  # a deleted key can be stored again
     assert table.delete(keys) == 1
     assert table.clear() == 1
     assert table.entries().count() == 0
@@ -131,9 +135,7 @@ def test_read_report(corpus, spark, tmp_path):
     assert st == {"report.json": True, "object.json": False}
 
 
-def test_rows_append_only_and_compaction(corpus, spark, tmp_path):
-    import os
-
+def test_only_edited_files_are_searched_again(corpus, spark, tmp_path):
     c1 = corpus(FILES, {"/w/a.txt": 1.0, "/w/b.txt": 2.0})
     c2 = corpus(FILES, {"/w/a.txt": 1.0, "/w/b.txt": 3.0})  # b edited
     q = Query("alpha")
@@ -141,15 +143,39 @@ def test_rows_append_only_and_compaction(corpus, spark, tmp_path):
     first = sorted(tuple(r) for r in C.cached_search(c1, q, table, now=dt.datetime(2026, 1, 1)).collect())
     second = sorted(tuple(r) for r in C.cached_search(c2, q, table, now=dt.datetime(2026, 1, 2)).collect())
     assert first == second
-    batches = sorted(os.listdir(tmp_path / "t" / "search" / "rows"))
-    assert [b for b in batches if b.startswith("batch=")] == ["batch=000001", "batch=000002"]
-    table.compact()
-    left = [b for b in os.listdir(tmp_path / "t" / "search" / "rows") if b.startswith("batch=")]
-    assert left == ["batch=000003"]
-    # the compacted table still answers every file from storage, with the same findings
-    assert all(r.hit for r in C.lookup_keys(c2, q, table, now=dt.datetime(2026, 1, 3)).collect())
-    again = sorted(tuple(r) for r in C.cached_search(c2, q, table, now=dt.datetime(2026, 1, 3)).collect())
-    assert again == second
+    stored = table.entries().orderBy("stored_at", "file_path").collect()
+    assert [(r.file_path, r.mtime) for r in stored] == [("/w/a.txt", 1.0), ("/w/b.txt", 2.0), ("/w/b.txt", 3.0)]
+    # another writer that stored the same files leaves one entry a key, and rows are not doubled
+    twin = C.ResultTable(spark, str(tmp_path / "u"))
+    C.cached_search(c2, q, twin, now=dt.datetime(2026, 1, 2))
+    for kind in ("rows", "entries"):
+        spark.read.parquet(str(tmp_path / "u" / "search" / kind)).drop("query", "batch").write.parquet(
+            str(tmp_path / "t" / "search" / kind / f"query={C.query_hash(q.params())}" / "batch=btwin")
+        )
+    assert table.entries().count() == 3
+    assert sorted(tuple(r) for r in C.cached_search(c2, q, table, now=dt.datetime(2026, 1, 3)).collect()) == second
+    # another query has entries of its own
+    assert not any(r.hit for r in C.lookup_keys(c2, Query("beta"), table, now=dt.datetime(2026, 1, 3)).collect())
+
+
+def test_the_newest_entries_stay_within_the_limit(corpus, spark, tmp_path):
+    files = {f"/f{i}": "license here" for i in range(6)}
+    table = C.ResultTable(spark, str(tmp_path / "t"))
+    for i, path in enumerate(files):
+        C.cached_search(corpus({path: files[path]}), Query("license"), table, now=dt.datetime(2026, 1, 1 + i))
+    one = table.entries().first().bytes
+    table.size_limit_bytes = 2 * one
+    assert table.delete(table.beyond_limit()) == 4
+    assert {r.file_path for r in table.entries().collect()} == {"/f4", "/f5"}
+
+
+def test_live_keys_beyond_the_broadcast_limit(corpus, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_KEY_BYTES", 0)
+    q = Query("alpha")
+    table = C.ResultTable(spark, str(tmp_path / "t"))
+    plain = sorted(tuple(r) for r in search(corpus(FILES), q, ordered=False).collect())
+    C.cached_search(corpus(FILES).where("path = '/w/a.txt'"), q, table)
+    assert sorted(tuple(r) for r in C.cached_search(corpus(FILES), q, table).collect()) == plain
 
 
 def test_search_many_mixed_batch_one_pass(corpus, spark):

@@ -1,27 +1,24 @@
-"""Result tables: the original tool's key/value result cache, as versioned Parquet tables.
+"""Stored results: the original tool's key/value result cache, as keyed Parquet rows.
 
-A result table lives in a folder (by default under the session's shared
-``spark.checkpoint.dir``)::
+For every operation and every set of parameters (a query, a model) there are two folders under the
+session's shared ``spark.checkpoint.dir`` (or any other base)::
 
-    <base>/<op>/rows/batch=000007/   key + result columns, written once by commit 7
-    <base>/<op>/v=000007/entries     key, op, file_path, mtime, stored_at, expires_at, bytes, batch
+    <base>/<op>/rows/query=<hash>/batch=<id>/      key + result columns
+    <base>/<op>/entries/query=<hash>/batch=<id>/   key, file_path, mtime, stored_at, expires_at, bytes
 
-Rows are append-only: a commit writes only the rows it computed, in a new batch
-folder, and then a new version of the (small) ``entries`` table, whose ``_SUCCESS``
-marker makes the commit visible.  An entry names the batch that holds its rows, so a
-key stored again later never picks up stale rows; rows without a live entry are
-invisible and are dropped by :meth:`ResultTable.compact`.  Readers of an older version
-are never disturbed.  Keys are per file (search) or per finding (elaboration), so a
+A call writes the rows it computed and then their entries, in a folder of its own; an entry names the
+batch that holds its rows, so rows whose entries were never written are not seen and callers
+never touch each other's files.  Keys are per file (search) or per finding (elaboration), so a
 changed file only invalidates its own results.
 
-Lookups are joins: hits are a ``left_semi`` and misses a ``left_anti`` join of the
-requested keys against live entries.  A failure to read the table never fails the
-query: every key is then a miss.
+Hits are a ``left_semi`` and misses a ``left_anti`` join of the asked keys with the live entries of
+the query.  A failure to read or write stored results never fails the call: every key is a miss then.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import logging
 import uuid
@@ -40,10 +37,10 @@ DEFAULT_TTL_SECONDS = 7 * 24 * 60 * 60
 DEFAULT_SIZE_LIMIT_BYTES = 100 * 1024 * 1024
 
 SEP = "\u001f"
-#: The keys of missing files are broadcast up to this measured size, else they are shuffled.
+#: Keys are broadcast up to this measured size, else they are shuffled.
 KEY_BYTES = 96
 BROADCAST_KEY_BYTES = 64 * 1024 * 1024
-ENTRY_COLUMNS = ["key", "op", "file_path", "mtime", "stored_at", "expires_at", "bytes", "batch"]
+ENTRY_SCHEMA = "key string, file_path string, mtime double, stored_at timestamp, expires_at timestamp, bytes bigint, batch string"
 
 
 def mtime_micros(mtime: Column) -> Column:
@@ -56,6 +53,11 @@ def file_key(op: str, params: dict, path: Column, mtime: Column) -> Column:
     return F.sha2(F.concat_ws(SEP, F.lit(op), F.lit(canon), F.coalesce(path, F.lit("")), mtime_micros(mtime).cast("string")), 256)
 
 
+def query_hash(params: dict) -> str:
+    """Names the folders of one set of parameters."""
+    return hashlib.sha256(json.dumps(params, sort_keys=True).encode("utf-8")).hexdigest()[:32]
+
+
 def finding_hash(df: DataFrame) -> Column:
     cols = ["file_path", "line_number", "match_text", "char_start_in_line", "char_end_in_line", "snippet"]
     return F.sha2(F.concat_ws(SEP, *[F.col(c).cast("string") for c in cols if c in df.columns]), 256)
@@ -87,7 +89,7 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str = "ru
 
 
 class ResultTable:
-    """C1-C10 for one operation (``search`` or ``elaborate``)."""
+    """The stored results of one operation (``search`` or ``elaborate``)."""
 
     def __init__(
         self,
@@ -96,153 +98,125 @@ class ResultTable:
         op: str = "search",
         ttl_seconds: int = DEFAULT_TTL_SECONDS,
         size_limit_bytes: int = DEFAULT_SIZE_LIMIT_BYTES,
-        keep_versions: int = 3,
     ):
         self.spark = spark
         self.base = (base or f"{checkpoint_dir(spark)}/trawl-results").rstrip("/")
         self.op = op
         self.ttl_seconds = ttl_seconds
         self.size_limit_bytes = size_limit_bytes
-        self.keep_versions = keep_versions
 
-    # ------------------------------------------------------------------ storage
+    def _folder(self, kind: str, query: str | None = None) -> str:
+        return f"{self.base}/{self.op}/{kind}" + (f"/query={query}" if query else "")
 
-    @property
-    def root(self) -> str:
-        return f"{self.base}/{self.op}"
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+    def _path(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[int]:
-        """Committed versions, oldest first."""
-        fs, root = self._fs()
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "entries/_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def _dir(self, version: int) -> str:
-        return f"{self.root}/v={version:06d}"
-
-    def entries(self, version: int | None = None) -> DataFrame:
-        vs = self.versions()
-        if version is None and not vs:
-            return self.spark.createDataFrame(
-                [],
-                "key string, op string, file_path string, mtime double, stored_at timestamp, "
-                "expires_at timestamp, bytes bigint, batch int",
-            )
-        v = vs[-1] if version is None else version
-        return self.spark.read.parquet(f"{self._dir(v)}/entries")
-
-    def rows(self, entries: DataFrame | None = None) -> DataFrame | None:
-        """Stored rows of the given (default: current) entries."""
-        fs, _root = self._fs()
-        rows_dir = f"{self.root}/rows"
-        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(rows_dir)):
-            return None
-        stored = self.spark.read.parquet(rows_dir)
-        ent = self.entries() if entries is None else entries
-        return stored.join(ent.select("key", "batch"), ["key", "batch"], "left_semi").drop("batch")
-
-    def live_keys(self, now: Column) -> DataFrame | None:
-        """Keys of entries that have not expired; ``None`` if the table cannot be read."""
+    def _read(self, folder: str, schema: str) -> DataFrame | None:
+        fs, path = self._path(folder)
+        return self.spark.read.schema(schema).parquet(folder) if fs.exists(path) else None
+
+    def entries(self, query: str | None = None) -> DataFrame:
+        """Entries that were stored and not deleted, of one query (its hash) or of all; one per key, the latest."""
+        stored = self._read(self._folder("entries", query), ENTRY_SCHEMA)
+        if stored is None:
+            return self.spark.createDataFrame([], ENTRY_SCHEMA)
+        gone = self._read(self._folder("deleted"), "key string, batch string")
+        if gone is not None:
+            stored = stored.join(gone, ["key", "batch"], "left_anti")
+        columns = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+        latest = F.max_by(F.struct(*columns), F.struct("stored_at", "batch"))
+        return stored.groupBy("key").agg(latest.alias("_e")).select("_e.*")
+
+    def live(self, query: str, now: Column) -> DataFrame | None:
+        """C2 + C3: ``(key, batch)`` of the query's entries that have not expired; ``None`` if they cannot be read."""
         try:
-            return self.entries().where(F.col("expires_at") > now).select("key")
-        except Exception as exc:  # noqa: BLE001 - C10: a broken table means "all misses"
-            log.warning("result table %s unreadable, treating all keys as misses: %s", self.root, exc)
+            found = self.entries(query).where(F.col("expires_at") > now).select("key", "batch")
+            return found.checkpoint(eager=True)
+        except Exception as exc:  # noqa: BLE001 - C10: unreadable entries mean "all misses"
+            log.warning("stored results under %s are unreadable, every key is a miss: %s", self._folder("entries", query), exc)
             return None
 
-    def commit(self, entries: DataFrame, new_rows: DataFrame | None = None, extra: dict[str, DataFrame] | None = None) -> int:
-        """Write the new rows as a batch, then the new entries version (its marker
-        commits).  Entries without a ``batch`` get this commit's batch."""
-        vs = self.versions()
-        v = (vs[-1] + 1) if vs else 1
-        if new_rows is not None:
-            new_rows.write.mode("overwrite").parquet(f"{self.root}/rows/batch={v:06d}")
-        for name, df in (extra or {}).items():
-            df.write.mode("overwrite").parquet(f"{self._dir(v)}/{name}")
-        batch = F.coalesce(F.col("batch"), F.lit(v)) if "batch" in entries.columns else F.lit(v)
-        entries.withColumn("batch", batch.cast("int")).select(*ENTRY_COLUMNS).write.mode("overwrite").parquet(
-            f"{self._dir(v)}/entries"
-        )
-        self._prune(vs + [v])
-        return v
-
-    def _prune(self, vs: list[int]) -> None:
-        fs, _root = self._fs()
-        for old in vs[: -self.keep_versions]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._dir(old)), True)
-
-    def compact(self) -> int:
-        """Rewrite the live rows into one batch and drop every older batch folder."""
-        vs = self.versions()
-        if not vs:
-            return 0
-        ent = self.entries(vs[-1])
-        live = self.rows(ent)
-        v = self.commit(ent.drop("batch"), live)
-        fs, _root = self._fs()
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path
-        for st in fs.listStatus(jpath(f"{self.root}/rows")):
-            name = st.getPath().getName()
-            if name.startswith("batch=") and int(name[6:]) < v:
-                fs.delete(st.getPath(), True)
-        return v
-
-    # ------------------------------------------------------------------ maintenance
-
-    def trim(self) -> int:
-        """Keep the newest entries while their total size stays within the limit; returns
-        how many went.  Maintenance only: no search or elaboration calls it, so the size
-        limit never touches an answer."""
-        if not self.versions():
-            return 0
-        entries = self.entries()
-        ranked = running_total(entries, [F.col("stored_at").desc(), F.col("key")], "bytes")
-        kept = ranked.where(F.col("running") <= F.lit(self.size_limit_bytes)).drop("running")
-        before = entries.count()
-        self.commit(kept)
-        return before - self.entries().count()
+    def rows(self, query: str, live: DataFrame, schema: str) -> DataFrame | None:
+        """The stored rows of ``live`` entries."""
+        stored = self._read(self._folder("rows", query), f"{schema}, batch string")
+        return None if stored is None else stored.join(live, ["key", "batch"], "left_semi").drop("batch")
+
+    def new_batch(self) -> str:
+        return f"b{uuid.uuid4().hex}"
+
+    def put_rows(self, query: str, batch: str, rows: DataFrame) -> DataFrame:
+        """Writes the rows of a batch and returns them as written; entries make them visible."""
+        folder = f"{self._folder('rows', query)}/batch={batch}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
+    def put_entries(self, query: str, batch: str, entries: DataFrame) -> None:
+        entries.write.parquet(f"{self._folder('entries', query)}/batch={batch}")
 
     def delete(self, keys: DataFrame) -> int:
-        """Remove the given keys; returns how many entries went."""
-        vs = self.versions()
-        if not vs:
-            return 0
-        old = self.entries(vs[-1])
-        before = old.count()
-        self.commit(old.join(keys.select("key"), "key", "left_anti"))
-        return before - self.entries().count()
+        """Forget the given keys; returns how many entries went."""
+        gone = self.entries().join(keys.select("key").distinct(), "key", "left_semi").select("key", "batch").checkpoint(eager=True)
+        n = gone.count()
+        if n:
+            gone.write.mode("append").parquet(self._folder("deleted"))
+        return n
 
     def clear(self) -> int:
         """Remove everything; returns how many entries went."""
-        vs = self.versions()
-        if not vs:
-            return 0
-        old = self.entries(vs[-1])
-        n = old.count()
-        self.commit(old.limit(0))
+        n = self.entries().count()
+        fs, path = self._path(f"{self.base}/{self.op}")
+        fs.delete(path, True)
         return n
 
+    def beyond_limit(self) -> DataFrame:
+        """Keys of the entries that do not fit ``size_limit_bytes`` when the newest are kept (ties by key).
+        A plain query: ``delete`` takes its result, and no search or elaboration calls it."""
+        ranked = running_total(self.entries(), [F.col("stored_at").desc(), F.col("key")], "bytes")
+        return ranked.where(F.col("running") > F.lit(self.size_limit_bytes)).select("key")
+
 
 def _now(now: dt.datetime | None) -> Column:
-    return F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
+    return F.lit(now if now is not None else dt.datetime.now()).cast("timestamp")
 
 
 def _expiry(now: Column, ttl_seconds: int) -> Column:
     return now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_seconds).cast("decimal(18,6)"))
 
 
+def _small(keys: DataFrame) -> bool:
+    return keys.count() * KEY_BYTES <= BROADCAST_KEY_BYTES
+
+
+def _entries(missed: DataFrame, sizes: DataFrame, t: Column, ttl_seconds: int) -> DataFrame:
+    """One entry per key of ``missed`` (``key, file_path, mtime``) with the size of its rows."""
+    return missed.dropDuplicates(["key"]).join(sizes, "key", "left").select(
+        "key", "file_path", "mtime", t.alias("stored_at"), _expiry(t, ttl_seconds).alias("expires_at"),
+        F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"),
+    )
+
+
 # ---------------------------------------------------------------------------- search
 
+ROW_SCHEMA = (
+    "key string, file_path string, line_number bigint, match_text string, char_start_in_line bigint, "
+    "char_end_in_line bigint, snippet string"
+)
+
+
+def _mtime(corpus: DataFrame) -> Column:
+    return F.col("mtime").cast("double") if "mtime" in corpus.columns else F.lit(0.0)
+
+
+def _without(texts: DataFrame, live: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose key is not in ``live``.  Live keys of a small measured size meet the texts next to the
+    scan; beyond it the keys alone are compared and the texts of the misses are fetched after that."""
+    known = live.select("key")
+    if _small(known):
+        return texts.join(F.broadcast(known), "key", "left_anti")
+    wanted = texts.select("key").join(known, "key", "left_anti").distinct().checkpoint(eager=True)
+    return texts.join(F.broadcast(wanted) if _small(wanted) else wanted, "key", "left_semi")
+
 
 def cached_search(
     corpus: DataFrame,
@@ -253,83 +227,69 @@ def cached_search(
 ) -> DataFrame:
     """C4: findings of ``query`` over ``corpus`` (``path, text, mtime``), computing only
     files whose (path, mtime, query) key has no live entry, then storing those (files
-    without matches too).  ``use_cache=False`` bypasses the table entirely (C9)."""
+    without matches too).  ``use_cache=False`` neither reads nor writes stored results (C9)."""
     if table is None or not use_cache:
         return find(corpus, query).select(*FINDING_COLUMNS)
-    t = _now(now)
-    mtime = F.col("mtime") if "mtime" in corpus.columns else F.lit(0.0)
-    key = file_key(table.op, query.params(), F.col("path"), F.col("mtime")).alias("key")
-    files = corpus.select("path", mtime.alias("mtime"))
-    keyed = files.select("path", "mtime", key)
+    t, name = _now(now), query_hash(query.params())
     checkpoint_dir(corpus.sparkSession)
-    live = table.live_keys(t)
-    texts = corpus.select("path", "text", mtime.alias("mtime")).withColumn("key", key)
-    if live is None:
-        misses, missed = keyed, texts
-    else:
-        # keys alone are compared; the texts of the misses are fetched after that
-        misses = keyed.join(live, "key", "left_anti").checkpoint(eager=True)
-        wanted = misses.select("key").distinct()
-        n = misses.count()
-        missed = texts.join(F.broadcast(wanted) if n * KEY_BYTES <= BROADCAST_KEY_BYTES else wanted, "key", "left_semi")
-
-    # The search treats ``path`` as an opaque label: carrying the key inside it keeps
-    # the new rows keyed without a join back to the files.
-    labelled = missed.select(F.concat_ws(SEP, "key", F.coalesce("path", F.lit(""))).alias("path"), "text")
-    found = find(labelled, query).select(*FINDING_COLUMNS)
-    new_rows = found.select(
+    path = F.coalesce("path", F.lit(""))
+    key = file_key(table.op, query.params(), F.col("path"), _mtime(corpus))
+    texts = corpus.select(key.alias("key"), path.alias("path"), "text", _mtime(corpus).alias("mtime"))
+    live = table.live(name, t)
+    stored = None
+    if live is not None and not live.isEmpty():
+        try:
+            stored = table.rows(name, live, ROW_SCHEMA)
+        except Exception as exc:  # noqa: BLE001 - C10
+            log.warning("stored rows of %s are unreadable: %s", table.op, exc)
+    missed = texts if stored is None else _without(texts, live)
+
+    # The search takes ``path`` for a label: with the key inside it the new rows are
+    # keyed without a join back to the files.
+    labelled = missed.select(F.concat_ws(SEP, "key", "path").alias("path"), "text")
+    cut = F.instr("file_path", SEP)
+    found = find(labelled, query).select(
         F.substring_index("file_path", SEP, 1).alias("key"),
-        F.expr(f"substring(file_path, instr(file_path, '{SEP}') + 1)").alias("file_path"),
-        *[c for c in FINDING_COLUMNS if c != "file_path"],
-    ).checkpoint(eager=True)  # the search runs once; sizes and rows read the result
-    sizes = new_rows.groupBy("key").agg(
-        F.sum(F.length("snippet") + F.length("match_text") + F.length("file_path") + F.lit(32)).cast("long").alias("bytes")
-    )
-    new_entries = (
-        misses.select("key", F.lit(table.op).alias("op"), F.col("path").alias("file_path"), "mtime")
-        .join(sizes, "key", "left")
-        .select(
-            "key", "op", "file_path", "mtime", t.alias("stored_at"), _expiry(t, table.ttl_seconds).alias("expires_at"),
-            F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), F.lit(None).cast("int").alias("batch"),
-        )
+        F.substring(F.col("file_path"), cut + 1, F.length("file_path")).alias("file_path"),
+        *[F.col(c) for c in FINDING_COLUMNS if c != "file_path"],
     )
-    # the answer: stored rows of live keys and the new rows, whatever the store does next
-    answer = new_rows.select(*FINDING_COLUMNS)
-    if live is None:
-        kept_entries = new_entries
-    else:
-        live_entries = table.entries().join(live, "key", "left_semi")
-        kept_entries = live_entries.unionByName(new_entries)
-        stored = table.rows(live_entries)
-        if stored is not None:
-            answer = stored.join(keyed.select("key"), "key", "left_semi").select(*FINDING_COLUMNS).unionByName(answer)
     try:
-        table.commit(kept_entries, new_rows)  # only the new rows are written
+        batch = table.new_batch()
+        found = table.put_rows(name, batch, found)  # the search runs once; sizes and the answer read what it wrote
+        size = F.sum(F.length("snippet") + F.length("match_text") + F.length("file_path") + F.lit(32))
+        entered = missed.select("key", F.col("path").alias("file_path"), "mtime")
+        table.put_entries(name, batch, _entries(entered, found.groupBy("key").agg(size.alias("bytes")), t, table.ttl_seconds))
     except Exception as exc:  # noqa: BLE001 - C10: a failed store never fails the search
-        log.warning("could not store results in %s: %s", table.root, exc)
-    return answer
+        log.warning("could not store results under %s: %s", table.base, exc)
+    answer = found.select(*FINDING_COLUMNS)
+    if stored is None:
+        return answer
+    asked = texts.select("key")
+    return stored.join(asked, "key", "left_semi").select(*FINDING_COLUMNS).unionByName(answer)
 
 
 def lookup_keys(corpus: DataFrame, query: Query, table: ResultTable, now: dt.datetime | None = None) -> DataFrame:
     """``(path, key, hit)`` for every file of the corpus."""
-    t = _now(now)
-    mtime = F.col("mtime") if "mtime" in corpus.columns else F.lit(0.0)
-    keyed = corpus.select("path", file_key(table.op, query.params(), F.col("path"), mtime).alias("key"))
-    live = table.live_keys(t)
+    keyed = corpus.select("path", file_key(table.op, query.params(), F.col("path"), _mtime(corpus)).alias("key"))
+    live = table.live(query_hash(query.params()), _now(now))
     if live is None:
         return keyed.withColumn("hit", F.lit(False))
-    hits = keyed.join(live, "key", "left_semi").withColumn("hit", F.lit(True))
-    misses = keyed.join(live, "key", "left_anti").withColumn("hit", F.lit(False))
-    return hits.unionByName(misses)
+    known = live.select("key", F.lit(True).alias("_live"))
+    joined = keyed.join(F.broadcast(known) if _small(known) else known, "key", "left")
+    return joined.select("path", "key", F.coalesce("_live", F.lit(False)).alias("hit"))
 
 
 # ---------------------------------------------------------------------------- elaboration
 
 
+def elaboration_params(window: int, model_name: str, api_base: str | None) -> dict:
+    return {"context_window_lines": window, "model": model_name, "api_base": api_base}
+
+
 def elaboration_key(findings: DataFrame, window: int, model_name: str, api_base: str | None) -> Column:
     """Finding, window, model and endpoint (never the API secret), plus the
     source's mtime so an edited source is elaborated again."""
-    params = {"context_window_lines": window, "model": model_name, "api_base": api_base}
+    params = elaboration_params(window, model_name, api_base)
     return file_key("elaborate", params, finding_hash(findings), F.col("source_mtime"))
 
 
@@ -346,48 +306,44 @@ def cached_elaborate(
 ) -> DataFrame:
     """Elaborate only findings without a live stored elaboration; store the
     successful ones (``Error:`` results are returned but never stored).
-    ``use_cache=False`` bypasses the table entirely (C9)."""
+    ``use_cache=False`` neither reads nor writes stored results (C9)."""
     from trawl.operators.elaborate import elaborate, one_per_path
 
     if table is None or not use_cache:
         done = elaborate(findings, corpus, model_fn, window)
         return done.select("finding_id", "elaboration", "status", F.lit(False).alias("from_cache"))
-    t = _now(now)
+    t, name = _now(now), query_hash(elaboration_params(window, model_name, api_base))
     corpus = one_per_path(corpus)
-    mt = corpus.select(F.col("path").alias("file_path"), F.col("mtime").alias("source_mtime"))
+    mt = corpus.select(F.col("path").alias("file_path"), _mtime(corpus).alias("source_mtime"))
     with_src = findings.join(mt, "file_path", "left")
     keyed = with_src.withColumn("key", elaboration_key(with_src, window, model_name, api_base))
-    live = table.live_keys(t)
-    misses = keyed if live is None else keyed.join(live, "key", "left_anti")
     checkpoint_dir(corpus.sparkSession)
+    live = table.live(name, t)
+    stored = None
+    if live is not None and not live.isEmpty():
+        try:
+            stored = table.rows(name, live, "key string, elaboration string")
+        except Exception as exc:  # noqa: BLE001 - C10
+            log.warning("stored elaborations are unreadable: %s", exc)
+    misses = keyed if stored is None else keyed.join(live, "key", "left_anti")
     fresh = elaborate(misses.drop("source_mtime", "key"), corpus, model_fn, window)
     # one model call per finding: the replies are written once and read from there
     fresh = fresh.join(misses.select("finding_id", "key", "file_path", "source_mtime"), "finding_id").checkpoint(eager=True)
-    ok = fresh.where(F.col("status") == "ok")
-    new_entries = ok.select(
-        "key", F.lit(table.op).alias("op"), "file_path", F.col("source_mtime").alias("mtime"), t.alias("stored_at"),
-        _expiry(t, table.ttl_seconds).alias("expires_at"), (F.length("elaboration") + 32).cast("long").alias("bytes"),
-        F.lit(None).cast("int").alias("batch"),
-    ).dropDuplicates(["key"])
-    new_rows = ok.select("key", "elaboration").dropDuplicates(["key"])
-    # the answer: stored elaborations of live keys and everything computed now
-    answer = fresh.select("finding_id", "elaboration", "status", F.lit(False).alias("from_cache"))
-    if live is None:
-        kept_entries = new_entries
-    else:
-        live_entries = table.entries().join(live, "key", "left_semi")
-        kept_entries = live_entries.unionByName(new_entries)
-        stored = table.rows(live_entries)
-        if stored is not None:
-            hits = keyed.join(stored, "key").select("finding_id", "elaboration", F.lit("ok").alias("status"), F.lit(True).alias("from_cache"))
-            answer = hits.unionByName(answer)
+    ok = fresh.where(F.col("status") == "ok").dropDuplicates(["key"])
     try:
-        table.commit(kept_entries, new_rows)
+        batch = table.new_batch()
+        rows = table.put_rows(name, batch, ok.select("key", "elaboration"))
+        size = rows.select("key", (F.length("elaboration") + 32).alias("bytes"))
+        table.put_entries(name, batch, _entries(ok.select("key", "file_path", F.col("source_mtime").alias("mtime")), size, t, table.ttl_seconds))
     except Exception as exc:  # noqa: BLE001 - C10: a failed store never fails the elaboration
-        log.warning("could not store elaborations in %s: %s", table.root, exc)
-    return answer
+        log.warning("could not store elaborations under %s: %s", table.base, exc)
+    answer = fresh.select("finding_id", "elaboration", "status", F.lit(False).alias("from_cache"))
+    if stored is None:
+        return answer
+    hits = keyed.join(stored, "key").select("finding_id", "elaboration", F.lit("ok").alias("status"), F.lit(True).alias("from_cache"))
+    return hits.unionByName(answer)
 
 
 def scratch_table(spark: SparkSession, op: str, **kw) -> ResultTable:
-    """A fresh result table in the shared checkpoint folder (used by registered queries)."""
+    """Fresh stored results in the shared checkpoint folder (used by registered queries)."""
     return ResultTable(spark, f"{checkpoint_dir(spark)}/trawl-results-{uuid.uuid4().hex}", op, **kw)
