@@ -657,3 +657,57 @@ def elab_relative_paths(spark, sf_dir):
     corpus = tables.documents(spark, sf_dir)
     resolved = EL.resolve_report_paths(ids, "/corpus", corpus)
     return EL.context_lines(resolved, corpus, 10).select("finding_id", "has_content", "file_context")
+
+
+# ---------------------------------------------------------------- rules as a table, indexed corpora
+_RULES_SQL = """
+SELECT doc_id AS rule_id, 'file' AS kind, 'doc_' || CAST(doc_id AS VARCHAR) || '.[tm]*' AS pattern FROM labels WHERE quality = 0
+UNION ALL SELECT doc_id, 'custom', '*/fr/doc_' || CAST(doc_id AS VARCHAR) || '.*' FROM labels WHERE toxic = 1
+UNION ALL SELECT min(doc_id), 'dir', source FROM documents GROUP BY source HAVING min(doc_id) % 5 = 0
+UNION ALL SELECT min(doc_id), 'custom', source || '/e?/' FROM documents GROUP BY source HAVING min(doc_id) % 5 = 1
+"""
+
+
+@register(
+    "filter_rule_table",
+    f"""
+WITH rules AS ({_RULES_SQL}),
+split AS (SELECT path, rel, string_split(rel, '/') AS parts FROM ({O.TREE}) t),
+tree AS (SELECT path, rel, parts, parts[-1] AS name, list_transform(range(1, len(parts)), lambda i: array_to_string(parts[1:i], '/')) AS dirs FROM split),
+hit AS (
+  SELECT path, min(rule_id) AS rule_id FROM tree, rules
+  WHERE CASE kind WHEN 'dir' THEN list_contains(parts[1:len(parts) - 1], pattern)
+    WHEN 'file' THEN name GLOB pattern
+    ELSE len(list_filter(dirs, lambda d: d GLOB rtrim(pattern, '/') OR string_split(d, '/')[-1] GLOB rtrim(pattern, '/'))) > 0
+      OR (NOT ends_with(pattern, '/') AND (rel GLOB pattern OR name GLOB pattern)) END
+  GROUP BY path)
+SELECT tree.path, CAST(rule_id AS BIGINT) AS excluded_by FROM tree LEFT JOIN hit USING (path)
+""",
+)
+def filter_rule_table(spark, sf_dir):
+    """A table of rules (globs for the files of documents labelled poor or toxic, some sources' folders) over the
+    whole tree: for every path the first rule that excludes it."""
+    from trawl.operators.rule_table import with_excluding_rule
+
+    named = _RULES_SQL.replace("FROM labels", "FROM {labels}").replace("FROM documents", "FROM {documents}").replace("VARCHAR", "STRING")
+    rules = spark.sql(named, labels=tables.table(spark, sf_dir, "labels"), documents=tables.table(spark, sf_dir, "documents"))
+    return with_excluding_rule(tables.document_tree(spark, sf_dir), rules).select("path", "excluded_by")
+
+
+_INDEXED = Query(r"licen[sc]e|warrant(?:y|ies)|copyright", regex=True)
+
+
+@register(
+    "docs_matching_indexed",
+    "SELECT path, CAST(len(regexp_extract_all(lower(text), 'licen[sc]e|warrant(?:y|ies)|copyright')) AS BIGINT) AS n "
+    f"FROM ({O.CORPORA['documents']}) c WHERE regexp_matches(lower(text), 'licen[sc]e|warrant(?:y|ies)|copyright')",
+)
+def docs_matching_indexed(spark, sf_dir):
+    """M9: the corpus is written with its trigram postings; a Boolean trigram query picks the documents to read."""
+    from trawl.operators.trigram_index import build_index, find_indexed
+    from trawl.session import checkpoint_dir
+
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/trawl-index-{_uuid.uuid4().hex}"
+    build_index(tables.documents(spark, sf_dir), folder)
+    found = find_indexed(spark, folder, _INDEXED)
+    return found.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
