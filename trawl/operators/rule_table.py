@@ -22,6 +22,7 @@ import fnmatch
 import re
 import uuid
 from collections import Counter
+from functools import lru_cache
 from typing import Iterable, Iterator
 
 import ahocorasick
@@ -40,12 +41,21 @@ _WILD = re.compile(r"[*?]+|\[!?\]?[^\]]*\]")
 NONE = float("inf")
 
 
+#: Compiled globs a worker keeps; a glob is compiled when a path holds its literal run for the first time.
+KEPT_GLOBS = 50_000
+
+
+@lru_cache(maxsize=KEPT_GLOBS)
+def _compiled(glob: str) -> re.Pattern:
+    return re.compile(fnmatch.translate(glob))
+
+
 class Globs:
     """The smallest rule whose glob matches one of some strings that all end in the last characters of the first."""
 
     def __init__(self, rules: Iterable[tuple[int, str]]):
         self.exact: dict[str, float] = {}
-        self.open: list[tuple[float, re.Pattern]] = []
+        self.open: list[tuple[float, str]] = []
         globs = []
         for no, pattern in rules:
             if not pattern:
@@ -57,7 +67,7 @@ class Globs:
         shared = Counter(run for _, _, runs in globs for run in set(runs))
         keyed: dict[str, list] = {}
         for no, pattern, runs in globs:
-            rule = (no, re.compile(fnmatch.translate(pattern)))
+            rule = (no, pattern)
             if runs:
                 keyed.setdefault(min(runs, key=lambda r: (shared[r], -len(r))), []).append(rule)
             else:
@@ -77,8 +87,8 @@ class Globs:
         if self.automaton is not None:
             groups += {id(found): found for _, found in self.automaton.iter(whole)}.values()
         for found in groups:
-            for no, compiled in found:
-                if no < best and any(compiled.match(s) for s in strings):
+            for no, glob in found:
+                if no < best and any(_compiled(glob).match(s) for s in strings):
                     best = no
         return best
 
