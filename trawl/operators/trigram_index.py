@@ -5,8 +5,8 @@
     texts/block=<b>/   place, path, text, mtime      the corpus, cut into blocks of documents
     postings/          trigram, block, n, deltas     the places of a block that hold a trigram
 
-``deltas`` are the differences of ascending places, so Parquet stores them as small numbers; the postings are sorted by
-trigram over the files, so that a reader of few trigrams skips most row groups.  Postings come from the written
+``deltas`` are the differences of ascending places, so Parquet stores them as small numbers; the postings of a file are
+sorted by trigram, so that a reader of few trigrams skips most row groups.  Postings come from the written
 blocks, one batch of rows at a time: nothing is grouped over the corpus, and only postings are shuffled.
 
 A search turns its query into a Boolean expression over trigrams, reads the postings of those trigrams, meets them
@@ -88,7 +88,9 @@ def build_index(corpus: DataFrame, folder: str, docs_per_block: int = DOCS_PER_B
     texts = spark.read.schema(TEXTS).parquet(f"{folder}/texts").where(F.length("text") > 0)
     raw = texts.select("block", "place", F.encode(TG.folded(F.col("text")), "UTF-8").alias("data"))
     found = raw.mapInArrow(_postings, POSTINGS)
-    found.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.parquet(f"{folder}/postings")
+    # hashed, not by ranges: their sampling would make all postings twice; groups of blocks split a common trigram
+    spread = found.repartition("trigram", F.shiftright("block", 10))
+    spread.sortWithinPartitions("trigram", "block").write.parquet(f"{folder}/postings")
 
 
 def candidates(spark: SparkSession, folder: str, query: Query) -> DataFrame | None:
