@@ -37,3 +37,16 @@ def test_null_rows_and_the_empty_table(spark):
     assert CH.search_chunked(docs, Query("")).count() == 0
     with pytest.raises(ValueError):
         CH.search_chunked(docs, Query("a+", regex=True))
+
+
+def test_the_chunks_are_summed_up_in_two_reads(spark, corpus, monkeypatch):
+    frame = type(spark.range(1))
+    plans, checkpoint = [], frame.checkpoint
+
+    def noted(df, *args, **named):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return checkpoint(df, *args, **named)
+
+    monkeypatch.setattr(frame, "checkpoint", noted)
+    assert CH.search_chunked(corpus(FILES), Query("the cat"), 64).count() > 0
+    assert max(plan.count("LogicalRDD") + plan.count("ExistingRDD") for plan in plans) <= 2
