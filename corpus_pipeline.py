@@ -1,8 +1,8 @@
 """Corpus pipeline over the ``documents`` table: STAGES, each one operator of trawl.llm.
 
 1. language ID: documents without a letter, or whose confidence (that of their positions, so
-   a text in several languages keeps its own) stays below the least one calibrated on the labelled
-   rows, go; a null ``lang`` is filled with the prediction.
+   a text in several languages keeps its own) stays below the least one calibrated on the whole
+   texts of all labelled rows, go; a null ``lang`` is filled with the prediction.
 2. n-gram Jaccard join: of each group of linked texts the row with the smallest id stays, once; a
    text that is like no kept text never goes, whatever other rows have its id.
 3. secret scans: every span is masked and ``n_chars`` follows; no document goes.
@@ -25,7 +25,7 @@ from trawl.session import ship_package
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    net = language_id.fit(docs, ~held_out())
+    net = language_id.fit(docs, ~held_out(), calibrate=True)
     taken = {c.lower() for c in docs.columns}
     into = tuple(next(c + "_" * n for n in range(1, len(taken) + 2) if c + "_" * n not in taken) for c in ("lang_pred", "score", "sure"))
     kept = language_id.predict(docs, net, keep=tuple(docs.columns), into=into)

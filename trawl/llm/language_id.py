@@ -42,9 +42,9 @@ SEED = 7
 RUN_WINDOWS = 4096
 RUN_ROWS = 10_000
 WIDE = 64
-#: Labelled windows whose confidence sets the least one of a text, and the share of their
-#: first percentile that it is.
-CALIBRATION_WINDOWS = 2000
+#: Steps of the confidences counted in calibration, and the share of the first percentile that
+#: the least one of a text is.
+CALIBRATION_STEPS = 1 << 16
 CALIBRATION_SHARE = 0.5
 #: Index of the symbol that fills up windows.
 PAD = 256
@@ -182,14 +182,32 @@ def _confidence(highest: np.ndarray, seen: np.ndarray, langs: int) -> np.ndarray
     return np.clip((highest / np.maximum(seen, 1) - 1 / langs) / (1 - 1 / langs), 0, 1)
 
 
-def _least_confidence(net: Network, windows: list[bytes]) -> float:
-    some = pa.array(windows[:: -(-len(windows) // CALIBRATION_WINDOWS)], pa.binary())
-    sure = []
-    for symbols, _, used in _windows_of(some, _at_once(RUN_WINDOWS, len(net.langs))):
-        found = position_probabilities(net, symbols).max(axis=2)
-        found[symbols == PAD] = 0
-        sure.append(_confidence(found.sum(axis=0, dtype=np.float64), used, len(net.langs)))
-    return CALIBRATION_SHARE * float(np.percentile(np.concatenate(sure), 1))
+def _confidence_counts(shared):
+    """Batches (text) to (step, n): the bytes in windows of that confidence, a row per task and step."""
+
+    def run(batches):
+        net, counts = shared.value, np.zeros(CALIBRATION_STEPS + 1, np.int64)
+        for batch in batches:
+            for symbols, _, used in _windows_of(batch.column(0), _at_once(RUN_WINDOWS, len(net.langs))):
+                found = position_probabilities(net, symbols).max(axis=2)
+                found[symbols == PAD] = 0
+                sure = _confidence(found.sum(axis=0, dtype=np.float64), used, len(net.langs))
+                np.add.at(counts, np.floor(sure * CALIBRATION_STEPS).astype(np.int64), used)
+        step = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(counts[step])], names=["step", "n"])
+
+    return run
+
+
+def _least_confidence(net: Network, texts: DataFrame) -> float:
+    """From every window of every text of the one column of ``texts``, weighed by its bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)
+    counts = texts.mapInArrow(_confidence_counts(shared), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    step, n = (counts.column(c).to_numpy() for c in ("step", "n"))
+    order = np.argsort(step)
+    upto = np.cumsum(n[order])
+    first = int(np.searchsorted(100 * upto, upto[-1])) if len(upto) else 0
+    return CALIBRATION_SHARE * float(step[order][first]) / CALIBRATION_STEPS if len(upto) else 0.0
 
 
 def _windows_of(texts: pa.Array, most: int = RUN_WINDOWS):
@@ -248,8 +266,11 @@ def _predict(shared, names):
     return run
 
 
-def fit(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network | None:
-    """Trains on rows where ``allowed`` holds; None without a labelled row."""
+def fit(
+    docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", calibrate: bool = False
+) -> Network | None:
+    """Trains on rows where ``allowed`` holds; None without a labelled row.  With ``calibrate`` the least
+    confidence is read off the whole texts of all these rows."""
     rows = docs.where(allowed & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).cast("string").alias("y"), F.col(text).alias("t"), F.xxhash64(F.lit(SEED), F.col(key)).alias("h")
     )
@@ -280,8 +301,8 @@ def fit(docs: DataFrame, allowed: Column, text: str = "text", lang: str = "lang"
     labels = np.array([number[y] for y, _, _ in pairs])
     windows = [w.encode()[:WINDOW] for _, _, w in pairs]
     net = train(windows, labels, langs)
-    if net is not None:
-        net.least = _least_confidence(net, windows)
+    if calibrate and net is not None:
+        net.least = _least_confidence(net, rows.select("t"))
     return net
 
 
