@@ -170,6 +170,25 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == ids
 
 
+def test_near_duplicate_stage_leaves_texts_in_place(spark):
+    """The ids to drop go to the texts, whatever size the session broadcasts by itself."""
+    from trawl.llm import ngram_join
+
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(30)) + (" end" if i % 2 else "")) for i in range(20)]
+    rows += [(0, rows[0][1]), (None, rows[0][1]), (30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.representatives(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = [r.doc_id for r in kept.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert sorted(got, key=str) == sorted([*range(0, 20, 2), 30, None], key=str)
+
+
 def letters_net(k):
     """A network that is sure of language i at the i-th letter and of nothing at 'z'."""
     from trawl.llm import language_id

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm import shingles
 from trawl.llm.components import UnionFind, components, star_edges
-from trawl.llm.scratch import Scratch
+from trawl.llm.scratch import Scratch, fits_broadcast
 
 #: Entries of the broadcast table of common shingles (12 bytes each), and how often a slice of
 #: ``SLICE_SHINGLES`` must hold a shingle to report it for the table.
@@ -53,6 +53,9 @@ BLOCK_SHINGLES = 1 << 19
 #: Shingles held at once by a slice of texts.
 SLICE_SHINGLES = 1 << 19
 
+#: Bytes of an id and text hash that is broadcast.
+JUDGED_BYTES = 24
+
 _FLAT = "kind int, id long, size int, d1 long, d2 long, th long"
 
 
@@ -408,9 +411,14 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     judged = rows.join(best, "root").select(F.col("id").alias("_nk_id"), F.col("th").alias("_nk_th"), "n", stays.alias("stays"))
     judged = scratch.put(judged.where("n > 1 or not stays"), "judged").drop("n")
     same = (F.col(key).cast("long") == F.col("_nk_id")) & (_text_hash(text) == F.col("_nk_th"))
-    left = docs.join(judged.where("not stays").drop("stays"), same, "left_anti")
-    again = judged.where("stays").drop("stays")
-    if again.isEmpty():
+    counts = judged.agg(F.count_if(~F.col("stays")), F.count_if("stays")).first()
+    # texts stay where they are as long as the ids that meet them fit beside them
+    gone, again = (
+        F.broadcast(part) if fits_broadcast(n, JUDGED_BYTES) else part
+        for part, n in zip((judged.where("not stays").drop("stays"), judged.where("stays").drop("stays")), counts)
+    )
+    left = docs.join(gone, same, "left_anti")
+    if not counts[1]:
         return left
     once = left.join(again, same).dropDuplicates(["_nk_id", "_nk_th"]).drop("_nk_id", "_nk_th")
     return left.join(again, same, "left_anti").union(once)
