@@ -303,6 +303,27 @@ def test_languages_share_a_bounded_sample(spark, monkeypatch):
     assert len(counts) == 3 and 1 <= counts[0] <= 12 and 1 <= counts[1] <= 12 and counts[2] == 1
 
 
+def test_least_confidence_is_that_of_all_labelled_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # sure of one language at "a", of the other at "b", of nothing at "z"
+    size = language_id.HIDDEN
+    shapes = ((2, 257, 3 * size), (2, size, 3 * size), (2, size, 2), (2,))
+    net = language_id.Network(["x", "y"], *(np.zeros(s, np.float32) for s in shapes))
+    net.inputs[:, :, :size] = -20
+    for i, letter in enumerate(b"ab"):
+        net.inputs[:, letter, 2 * size + i] = 5
+        net.out[:, i, i] = 5
+    monkeypatch.setattr(language_id, "train", lambda windows, labels, langs: net)
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 2)
+    # one in fifty labelled texts is unsure, and each only in its last window
+    rows = [(i, "a" * 128 if i % 50 else "b" * 64 + "z" * 64, "xy"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (600, "z" * 9000, None)], "doc_id long, text string, lang string").repartition(3)
+    least = language_id.fit(docs, F.lit(True), calibrate=True).least
+    assert least < 0.01
+    assert language_id.fit(docs.where("doc_id % 50 != 0"), F.lit(True), calibrate=True).least > 0.45
+
+
 def test_backpropagation_matches_differences():
     rng = np.random.default_rng(0)
     net = language_id.Network(
@@ -325,6 +346,26 @@ def test_backpropagation_matches_differences():
         assert abs((up - down) / 2e-2 - grad[at]) < 0.05 * abs(grad[at]) + 1e-3
 
 
+def test_sentencepiece_cuts_where_no_piece_joins():
+    """A cut is met again with other signs after it; what pieces join stays whole."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, reference = sentencepiece_codec.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    mark = sentencepiece_codec.MARK
+    text = f"{mark}esly.{mark}esly,\nesly!!{mark}({mark}x.y{mark}{mark}{mark}a_b²."
+    cuts = model.cut.findall(text)
+    assert "".join(cuts) == text and cuts.count(f"{mark}esly") == 2 and "!!" in cuts and "\n" in cuts
+    joined = {pair for i in model.ids.tolist() for pair in zip(model.pieces[i], model.pieces[i][1:])}
+    assert not any((a[-1], b[0]) in joined for a, b in zip(cuts, cuts[1:]) if b[0] != mark)
+    rng = np.random.default_rng(5)
+    signs = list("ab1 .,!?\n\t_-()'\"²é/:;=<>{}[]#*\\") + ["  ", "the", "...", "://", "\U0001f600"]
+    texts = ["".join(rng.choice(signs, 60)) for _ in range(300)]
+    for text, ids in zip(texts, sentencepiece_codec.Encoder(model).encode(texts)):
+        assert ids.tolist() == reference.encode(text)
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
     import sentencepiece

@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch of texts is cut before every run of word marks (no piece of the model crosses such a
-cut; models with other pieces are refused), and the distinct cuts are joined into one batch text.
+cut; models with other pieces are refused), before every run of signs that no piece joins to a
+letter before them, and around characters that no piece joins to anything.  The distinct cuts are
+joined into one batch text.
 Its suffixes are sorted by their first symbols (prefix doubling up to the longest piece); every
 piece of the vocabulary finds its range of occurrences in the suffix array by binary
 search, for all pieces at once; the resulting edges (position, length, piece) are sorted
@@ -27,20 +29,23 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-#: Characters indexed together, and encoded cuts kept per worker.
+#: Characters indexed together, characters of texts cut together (and texts, at most), and encoded
+#: cuts kept per worker.
 INDEX_CHARS = 1 << 18
-CACHED_CUTS = 300_000
+TEXT_CHARS, TEXTS = 1 << 22, 2000
+CACHED_CUTS = 600_000
 #: Cuts longer than this are relaxed one by one with a heap.
 LONG_CUT = 48
-_CUT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NORMAL, _BYTE = 1, 6
 
 
@@ -70,6 +75,7 @@ class Model:
         scores = np.array([proto.pieces[i].score for i in normal])
         self.rank = np.unique(-scores, return_inverse=True)[1]
         self.longest = max(len(self.pieces[i]) for i in normal)
+        self.cut = _cut([self.pieces[i] for i in normal])
         alphabet = sorted({ord(c) for i in normal for c in self.pieces[i]})
         self.letter = np.ones(0x110000, np.int64)  # 0: end of a cut, 1: no letter of the model
         self.letter[alphabet] = np.arange(2, len(alphabet) + 2)
@@ -90,6 +96,26 @@ class Model:
         ]
 
 
+def _cut(pieces: list[str]) -> re.Pattern:
+    """What matches the cuts of a text one after another.  A merge makes a piece, so two neighbouring characters
+    that stand together in no piece are never merged.  The signs are those of
+    ASCII and what pieces join before them: small classes match fast."""
+    seen = {c for p in pieces for c in p}
+    joined = {pair for p in pieces for pair in zip(p, p[1:])}
+    alone = {chr(c) for c in range(128)} - {c for pair in joined for c in pair}
+    signs = {c for c in seen | alone if not c.isalpha()} - {MARK}
+    while crossed := {b for a, b in joined if b in signs and a not in signs and a != MARK}:
+        signs -= crossed
+    chosen = {c for c in signs if ord(c) < 128}
+    while before := {a for a, b in joined if b in chosen and a != MARK} - chosen:
+        chosen |= before
+    alone, signs = alone & signs, chosen
+    first, single = ("".join(map(re.escape, sorted(part))) for part in (signs - alone, alone))
+    word = f"[^{MARK}{first}{single}]"
+    ways = [f"{MARK}+[{first}]*{word}*", f"[{first}]+{word}*"] if first else [f"{MARK}+{word}*"]
+    return re.compile("|".join([*ways, f"{word}+", *([f"[{single}]+"] if single else [])]))
+
+
 def _packed(symbols: np.ndarray) -> np.ndarray:
     """(n, width) symbols to (width / 4, n) keys of four symbols that compare as they do."""
     out = np.zeros((symbols.shape[1] // 4, len(symbols)), np.uint64)
@@ -110,13 +136,13 @@ def suffix_array(text: np.ndarray, width: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(4):
         key = (key << np.uint64(16)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     have = 4
     while have < width:
         rank = _ranks(key, order)
         after = np.concatenate([rank[have:], np.zeros(min(have, n), np.uint64)])[:n]
         key = (rank << np.uint64(32)) | after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         have *= 2
     return order
 
@@ -158,7 +184,7 @@ def edges(model: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     piece = np.repeat(np.arange(len(many)), many)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
     position = order[at]
-    by_place = np.argsort(position, kind="stable")
+    by_place = np.argsort(position)
     return position[by_place], piece[by_place]
 
 
@@ -279,20 +305,23 @@ class Encoder:
     def __init__(self, model: Model):
         self.model = model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         prefix = MARK if self.model.dummy_prefix else ""
-        cut = [_CUT.findall(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > CACHED_CUTS:
-            self.known = {}
-        new = list({c: None for cs in cut for c in cs if c not in self.known})
+        cut = [self.model.cut.findall(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.known) > CACHED_CUTS // 2:
+            self.older, self.known = self.known, {}
+        new = set(itertools.chain.from_iterable(cut)).difference(self.known)
+        self.known.update((c, self.older[c]) for c in new.intersection(self.older))
+        new = list(new.difference(self.older))
         self.known.update(zip(new, encode_cuts(self.model, new)))
         known = self.known.__getitem__
         return [np.frombuffer(b"".join(map(known, cs)), "<i4") for cs in cut]
 
 
 def decode(model: Model, ids: np.ndarray) -> str:
-    text = b"".join([model.bytes[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
+    text = b"".join(map(model.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -304,14 +333,24 @@ def _encoder(path: str) -> Encoder:
 _SCHEMA = "n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
 
 
+def _parts(texts: pa.Array):
+    """The texts in order, as lists of bounded size."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        held = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + TEXTS, int(np.searchsorted(ends, held + TEXT_CHARS, side="right"))))
+        yield texts.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def _run(path: str, with_ids: bool):
     def run(batches):
         coder = _encoder(path)
         for batch in batches:
             n, crc, back, same, kept = [], [], [], [], []
             texts = batch.column(1)
-            for lo in range(0, len(texts), 200):
-                part = texts.slice(lo, 200).to_pylist()
+            for part in _parts(texts):
                 for text, ids in zip(part, coder.encode(part)):
                     again = decode(coder.model, ids)
                     n.append(len(ids))
